@@ -80,7 +80,7 @@ _NOTE = re.compile(
 )
 # The head of a text: opener, slot, closer.
 _HEAD = re.compile(
-    r"(?P<open>>>\s*|)(?:\[(?P<a>[^\[\]\n]{1,60})\]|<(?P<b>[^<>\n]{1,60})>|(?P<c>[^:：\[\]<>{}\n]{1,60}?)(?P<colon>\s?[:：])|(?P<d>[^:\[\]<>{}\n]{1,60}?)(?P<dash>\s+[-–—]\s+))"
+    r"(?P<open>>>\s*|)(?:\[(?P<a>[^\[\]\n]{1,60})\]|<(?P<b>[^<>\n]{1,60})>|(?P<c>[^:：\[\]<>{}\n]{1,60}?)(?P<colon>\s?[:：])|(?P<d>[^:\[\]<>{}\n]{1,60}?)(?P<dash>\s+[-–—](?:\s+|$)))"
 )
 _WORD = re.compile(r"[\w'’\-]+")
 
