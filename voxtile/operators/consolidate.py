@@ -36,6 +36,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtile.session import shuffle_partitions
 
@@ -86,7 +87,7 @@ def _read_by(command: str) -> str | None:
     return posixpath.join(folder, operands[0]) if operands else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _stored_path_udf(kind: pd.Series, source: pd.Series) -> pd.Series:
     known: dict[tuple, str | None] = {}
     out = []
