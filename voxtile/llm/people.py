@@ -21,6 +21,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Labels that name nobody.
 NOBODY = frozenset(
@@ -78,7 +79,7 @@ def key_of(labels: pd.Series) -> pd.Series:
     return pd.Series([known[x] if x in known else known.setdefault(x, label_key(x)) for x in labels], dtype=object)
 
 
-label_key_udf = F.pandas_udf(key_of, "string")
+label_key_udf = F.pandas_udf(key_of, T.StringType())
 
 
 def registry_keys(speakers: DataFrame) -> DataFrame:

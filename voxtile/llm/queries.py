@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtile.llm import packing, pieces, splits, tokens, turns
+from voxtile.llm import packing, pieces, sentences, splits, tokens, turns
 from voxtile.plans.problems import settings
 from voxtile.session import table
 
@@ -67,9 +67,17 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(*_packed(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents")).select("doc_id", "start_char")
+
+
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p4_found, p4_splits, p5_found, p5_pieces, p6_ids, p7_found, p7_containers, p7_fill)
+    for f in (p1_found, p1_turns, p4_found, p4_splits, p5_found, p5_pieces, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_sentences)
 }
 
 _FIRST = """

@@ -30,6 +30,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtile.llm.people import label_key, label_key_udf, resolve
 from voxtile.session import first_delivery, whole_ms
@@ -155,7 +156,7 @@ def has_spoken_word(cleaned: str) -> bool:
     return False
 
 
-@F.pandas_udf("struct<path:string,slot:string,key:string,is_time:boolean>")
+@F.pandas_udf(T.StructType().add("path", "string").add("slot", "string").add("key", "string").add("is_time", "boolean"))
 def _layout_udf(text: pd.Series) -> pd.DataFrame:
     rows = []
     for t in text:
@@ -177,7 +178,7 @@ def mine_layouts(heads: DataFrame, resolved: DataFrame, min_share: float = MIN_S
     return leaf.select("path", kind.alias("kind"), "n", "share")
 
 
-@F.pandas_udf("struct<words:boolean,text:string>")
+@F.pandas_udf(T.StructType().add("words", "boolean").add("text", "string"))
 def _clean_udf(text: pd.Series, labelled: pd.Series, language: pd.Series) -> pd.DataFrame:
     rows = []
     for t, lab, code in zip(text, labelled, language):
