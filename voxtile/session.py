@@ -38,6 +38,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over at least as many partitions as there are cores, for work that is heavy per row.
+
+    A large table has more partitions than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def first_delivery(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
     """One row per key: of repeated deliveries the earliest (ties: the smallest row).
 
