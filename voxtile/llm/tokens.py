@@ -31,6 +31,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from voxtile.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts texts into words for this vocabulary.
 WORD_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -197,7 +199,7 @@ def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 flat = np.fromiter((t for x in ids for t in x), dtype=np.int32, count=int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
-    return documents.select(documents["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select(documents["doc_id"].cast("long"), "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -209,4 +211,4 @@ def token_counts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
             for b in _slices(whole):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v.count_batch(b.column(1).to_pylist()), pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.select(documents["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return spread(documents.select(documents["doc_id"].cast("long"), "text")).mapInArrow(run, "doc_id long, n_tokens long")

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxtile.llm.people import label_key, label_key_udf, resolve
-from voxtile.session import first_delivery, whole_ms
+from voxtile.llm.people import label_key, label_key_udf, registry_keys
+from voxtile.session import first_delivery, spread, whole_ms
 
 CHUNK_MS = 600_000
 MIN_SHARE = 0.5
@@ -165,10 +165,10 @@ def _layout_udf(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["path", "slot", "key", "is_time"])
 
 
-def mine_layouts(heads: DataFrame, resolved: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+def mine_layouts(heads: DataFrame, registry: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """(path, kind, n, share): the leaves of the tree and what their slot holds. At most 252 rows."""
     counted = heads.where("path is not null").groupBy("path", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_time").cast("int")).alias("times"))
-    told = counted.join(resolved.select("key", "known"), "key", "left")
+    told = counted.join(registry, "key", "left").withColumn("known", F.col("person").isNotNull() | F.coalesce(F.col("key").startswith("role:"), F.lit(False)))
     leaf = told.groupBy("path").agg(
         F.sum("n").alias("n"),
         (F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"),
@@ -194,22 +194,22 @@ def _clean_udf(text: pd.Series, labelled: pd.Series, language: pd.Series) -> pd.
 
 def labelled_segments(supervision: DataFrame, speakers: DataFrame, with_text: bool = True) -> DataFrame:
     """(recording_id, id, start_ms, person, text): the segments with a start and a spoken word; person is null where nobody is told."""
-    segs = first_delivery(supervision, "id", "received_at", ["id", "recording_id", "start", "text", "speaker", "language"])
-    segs = (
-        segs.where("recording_id is not null and text is not null")
-        .withColumn("start_ms", whole_ms(F.col("start")))
-        .where("start_ms is not null")
-        .withColumn("head", _layout_udf("text"))
-        .select("recording_id", "id", "start_ms", "text", "language", label_key_udf("speaker").alias("said"), "head.path", "head.key", "head.is_time")
-    )
-    keys = segs.select(F.explode(F.array("said", "key")).alias("key"))
-    resolved = resolve(keys, speakers)
-    layouts = mine_layouts(segs.select("path", "key", "is_time"), resolved)
+    # Heads are parsed before the shuffle that drops repeated deliveries: all that follows reads that one shuffle.
+    cols = ["id", "recording_id", "start", "text", "language"]
+    raw = supervision.where("id is not null and recording_id is not null").select(*cols, "speaker", "received_at")
+    parsed = spread(raw).withColumn("head", _layout_udf("text")).withColumn("said", label_key_udf("speaker"))
+    parsed = parsed.select(*cols, "said", "head.path", "head.key", "head.is_time", "received_at")
+    segs = first_delivery(parsed, "id", "received_at", [*cols, "said", "path", "key", "is_time"])
+    segs = segs.where("text is not null").withColumn("start_ms", whole_ms(F.col("start"))).where("start_ms is not null")
+    registry = registry_keys(speakers)
+    layouts = mine_layouts(segs.select("path", "key", "is_time"), registry)
     # The tree has at most 252 leaves, whatever the corpus: a broadcast of proven size.
     slots = F.broadcast(layouts.select("path", "kind"))
-    by_column = resolved.select(F.col("key").alias("said"), F.col("person").alias("said_person"))
-    by_text = resolved.where("known").select("key", F.col("person").alias("text_person"))
-    full = segs.join(slots, "path", "left").join(by_column, "said", "left").join(by_text, "key", "left")
+    said = registry.select(F.col("key").alias("said"), F.col("person").alias("said_registered"))
+    told = registry.select("key", F.col("person").alias("text_registered"))
+    full = segs.join(slots, "path", "left").join(said, "said", "left").join(told, "key", "left")
+    full = full.withColumn("said_person", F.coalesce("said_registered", "said"))
+    full = full.withColumn("text_person", F.coalesce("text_registered", F.when(F.col("key").startswith("role:"), F.col("key"))))
     labelled = F.col("text_person").isNotNull() & (F.col("kind") != "time")
     full = full.withColumn("labelled", F.coalesce(labelled, F.lit(False)))
     full = full.withColumn("cleaned", _clean_udf("text", "labelled", "language")).where("cleaned.words")
