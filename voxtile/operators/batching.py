@@ -233,3 +233,37 @@ def collated(batches: DataFrame, batch: str, values: str, pad_value: float = 0.0
     kind = batches.schema[values].dataType.elementType
     fill = F.array_repeat(F.lit(pad_value).cast(kind), F.col("__n") - F.size(values))
     return wide.withColumn(values, F.concat(values, fill) if direction == "right" else F.concat(fill, values)).drop("__n")
+
+
+def paired_batches(df: DataFrame, source: Constraint, target: Constraint, source_measure: str, target_measure: str, stratum: str | None = None, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(stratum, id, batch): batches of pairs under two constraints at once; a pair that would break either opens the next batch."""
+    schema = pa.schema([("stratum", pa.int64()), ("id", pa.string()), ("batch", pa.int64())])
+
+    class State:
+        def __init__(self, key):
+            self.key, self.out, self.batch, self.n = key[0], [], 0, 0
+            self.long, self.sums = [0.0, 0.0], [0.0, 0.0]
+
+        def add(self, row):
+            sizes = [source.size(row[2]), target.size(row[3])]
+            longest = [max(a, b) for a, b in zip(self.long, sizes)]
+            sums = [a + b for a, b in zip(self.sums, sizes)]
+            if self.n and (source.exceeded(self.n + 1, longest[0], sums[0]) or target.exceeded(self.n + 1, longest[1], sums[1])):
+                self.batch, self.n, longest, sums = self.batch + 1, 0, sizes, sizes
+            self.n, self.long, self.sums = self.n + 1, longest, sums
+            self.out.append((self.key, row[1], self.batch))
+
+        def finish(self):
+            return self.out
+
+    cols = df.select(
+        (F.col(stratum).cast("long") if stratum else F.lit(0).cast("long")).alias("stratum"), F.col("id").cast("string").alias("id"),
+        F.col(source_measure).cast("double").alias("a"), F.col(target_measure).cast("double").alias("b"), F.struct(*order).alias("__o"),
+    ).where("a is not null and b is not null")
+    work = cols.repartition("stratum").sortWithinPartitions("stratum", "__o", "id").select("stratum", "id", "a", "b")
+    return work.mapInArrow(keyed_stream(["stratum"], State, lambda rows: rows_to_batch(rows, schema)), "stratum long, id string, batch long")
+
+
+def resumed(batches: DataFrame, position: int, batch: str = "batch") -> DataFrame:
+    """The batches from a saved position on. Batches depend on seed and epoch alone, so the position is the whole state."""
+    return batches.where(F.col(batch) >= position)

@@ -34,11 +34,11 @@ from urllib.parse import unquote
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxtile.session import shuffle_partitions
+from voxtile.session import checkpointed, shuffle_partitions
 
 _FILE_URL = re.compile(r"file:(?://(?:localhost)?)?(?=/)", re.IGNORECASE)
 
@@ -176,7 +176,8 @@ def shard_plan(audio: DataFrame, stored_files: DataFrame, target: int, least: in
     """(shard, key, kind, name, n_bytes): every entry once, in key order, in outputs of about ``target`` bytes.
 
     A stored file above the target fills an output alone. An output is closed before the
-    entry that would exceed the target, unless it holds fewer than ``least`` bytes.
+    entry that would exceed the target, unless it holds fewer than ``least`` bytes; a last
+    output of a range with fewer joins the one before it.
     """
     e = entries(audio, stored_files)
     if ranges is None:
@@ -186,8 +187,14 @@ def shard_plan(audio: DataFrame, stored_files: DataFrame, target: int, least: in
     e = e.repartitionByRange(ranges, "key").withColumn("range", F.spark_partition_id().cast("long"))
     e = e.sortWithinPartitions("range", "key", "kind", "name").select("range", "key", "kind", "name", "n_bytes")
     rolled = e.mapInArrow(_roll(target, least), "range long, key string, kind string, name string, n_bytes long, output long")
-    return rolled.select(
-        F.format_string("%06d-%06d", F.col("range"), F.col("output")).alias("shard"), "key", "kind", "name", "n_bytes"
+    # The entries are names and sizes, little beside the files: written once, so that ranges stay as they were cut.
+    rolled = checkpointed(rolled)
+    outputs = rolled.groupBy("range", "output").agg(F.sum("n_bytes").alias("held"))
+    last = F.max("output").over(Window.partitionBy("range"))
+    short = (F.col("output") == last) & (F.col("output") > 0) & (F.col("held") < least)
+    outputs = outputs.select("range", "output", (F.col("output") - short.cast("int")).alias("into"))
+    return rolled.join(outputs, ["range", "output"]).select(
+        F.format_string("%06d-%06d", F.col("range"), F.col("into")).alias("shard"), "key", "kind", "name", "n_bytes"
     )
 
 
@@ -230,16 +237,26 @@ def _footers(paths: list[str], key: str) -> list[tuple]:
 
 
 def _rows_of(path: str, key: str, lo, hi) -> Iterator[tuple]:
-    """Rows of a sorted file with lo <= key < hi (None: no bound; null keys come first), a row group at a time."""
+    """Rows of a sorted file with lo <= key < hi (None: no bound; null keys come first); row groups out of range are skipped."""
     f = pq.ParquetFile(path)
-    for batch in f.iter_batches(batch_size=4096):
-        for row in batch.to_pylist():
-            k = row[key]
-            if k is None:
-                if lo is None:
-                    yield (("", ), row)
-            elif (lo is None or k >= lo) and (hi is None or k < hi):
-                yield (("0", k), row)
+    at = f.schema_arrow.names.index(key)
+    for g in range(f.metadata.num_row_groups):
+        s = f.metadata.row_group(g).column(at).statistics
+        if s is not None and s.has_min_max and s.null_count == 0:
+            if hi is not None and s.min >= hi:
+                return
+            if lo is not None and s.max < lo:
+                continue
+        for batch in f.iter_batches(batch_size=4096, row_groups=[g]):
+            for row in batch.to_pylist():
+                k = row[key]
+                if k is None:
+                    if lo is None:
+                        yield (("",), row)
+                elif hi is not None and k >= hi:
+                    return
+                elif lo is None or k >= lo:
+                    yield (("0", k), row)
 
 
 def consolidate_files(spark: SparkSession, paths: list[str], key: str, out_dir: str, target: int, ranges: int = 8) -> DataFrame:
@@ -261,7 +278,7 @@ def consolidate_files(spark: SparkSession, paths: list[str], key: str, out_dir:
         lambda bs: (pa.RecordBatch.from_pandas(d, schema=pa.schema([("path", pa.string()), ("n", pa.int64()), ("bytes", pa.int64()), ("lo", pa.string()), ("hi", pa.string())]), preserve_index=False) for d in read_footers(bs)),
         "path string, n long, bytes long, lo string, hi string",
     )
-    cuts = feet.where("lo is not null").agg(F.expr(f"array_sort(collect_set(lo))").alias("los")).first()["los"] if len(paths) <= 100_000 else None
+    cuts = feet.where("lo is not null").agg(F.array_sort(F.collect_set("lo")).alias("los")).first()["los"] if len(paths) <= 100_000 else None
     if cuts is None:
         cuts = [r["lo"] for r in feet.where("lo is not null").sample(0.01, seed=7).select("lo").distinct().orderBy("lo").limit(100_000).collect()]
     step = max(1, len(cuts) // max(1, ranges))

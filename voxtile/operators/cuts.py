@@ -450,3 +450,25 @@ def unmix(df: DataFrame) -> DataFrame:
 def to_mono(df: DataFrame) -> DataFrame:
     """Multi-channel segments or cuts, one row per channel."""
     return df.withColumn("channel", F.explode("channel")) if df.schema["channel"].dataType.typeName() == "array" else df
+
+
+def trim_to_alignments(supervisions: DataFrame, kind: str = "word", max_pause: float = 0.0, max_duration: float = 1e9, delimiter: str = " ") -> DataFrame:
+    """(id, recording_id, start, duration, text): spans of alignment items merged over short pauses, ids ``{id}-{i}``."""
+    items = F.try_element_at("alignment", F.lit(kind))
+    wide = supervisions.where(items.isNotNull()).select("id", "recording_id", F.posexplode(alignment_groups(items, max_pause, max_duration)).alias("i", "g"))
+    return wide.select(
+        F.concat_ws("-", "id", F.col("i").cast("string")).alias("id"), "recording_id", F.col("g.start").alias("start"),
+        r8(F.col("g.end") - F.col("g.start")).alias("duration"), F.array_join("g.symbols", delimiter).alias("text"),
+    )
+
+
+def speaker_masks(df: DataFrame, frame_shift: float) -> DataFrame:
+    """(id, speaker, mask): frames in which each speaker of a cut is active, speakers in code point order."""
+    sr = F.coalesce("recording.sampling_rate", F.lit(16000))
+    total = num_frames(F.col("duration"), frame_shift, sr)
+    clipped = F.filter(trimmed_supervisions(), lambda s: s["speaker"].isNotNull())
+    who = F.array_sort(F.array_distinct(F.transform(clipped, lambda s: s["speaker"])))
+    wide = df.withColumn("__c", clipped).select("*", F.explode(who).alias("speaker"))
+    spans = F.transform(F.filter("__c", lambda s: s["speaker"] == F.col("speaker")), lambda s: F.struct(F.rint(s["start"] / frame_shift).cast("long").alias("a"), F.rint(sup_end(s) / frame_shift).cast("long").alias("b")))
+    mask = F.transform(F.sequence(F.lit(0).cast("long"), total - 1), lambda i: F.exists(spans, lambda x: (x["a"] <= i) & (i < x["b"])).cast("int"))
+    return wide.select("id", "speaker", mask.alias("mask"))

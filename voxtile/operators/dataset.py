@@ -220,3 +220,17 @@ def permuted(df: DataFrame, n: int, seed: int = 0, pos: str = "_pos") -> DataFra
         return pd.Series(feistel(n, seed)(x.to_numpy()))
 
     return df.withColumn("_perm", apply(F.col(pos)))
+
+
+def draw_with_replacement(df: DataFrame, n: int, key: str = "id", seed: int = 0, first: int = 0) -> DataFrame:
+    """n independent draws with ids ``{id}_it{k}``; draw k depends on the seed and k alone, so any stretch of the endless sequence can be had."""
+    placed = with_position(df, key)
+    size = placed.count()
+    draws = df.sparkSession.range(first, first + n).withColumnRenamed("id", "_draw")
+    draws = draws.withColumn("_pos", F.pmod(hash_int("_draw", seed), F.lit(max(size, 1))))
+    return draws.join(placed, "_pos").withColumn(key, F.concat(key, F.lit("_it"), F.col("_draw").cast("string"))).drop("_pos")
+
+
+def kept_and_dropped(df: DataFrame, predicate: Column) -> DataFrame:
+    """One row: how many rows a predicate keeps and drops (null counts as dropped)."""
+    return df.agg(F.count_if(predicate).alias("kept"), (F.count(F.lit(1)) - F.count_if(predicate)).alias("dropped"))

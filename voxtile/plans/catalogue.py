@@ -731,3 +731,88 @@ def islands_of_events(spark, d):
 
     e = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("start_us"), F.round(F.col("value") * 600_000_000).cast("long").alias("len"))
     return islands(e.withColumn("end_us", F.col("start_us") + F.col("len")), "user_id", 60_000_000)
+
+
+# ---- mixing, alignments, masks, characters -----------------------------------------------------------------------
+
+
+@query()
+def alignment_spans(spark, d):
+    return C.trim_to_alignments(sup(spark, d), "word", 0.05, 5.0).select("id", us("start").alias("start_us"), us("duration").alias("duration_us"), "text")
+
+
+@query()
+def speaker_frames(spark, d):
+    return C.speaker_masks(cuts(spark, d), 0.1).select("id", "speaker", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("active"))
+
+
+@query()
+def noise_mixed(spark, d):
+    from voxtile.operators.mixing import mix_noise
+
+    c = cuts(spark, d).dropDuplicates(["id"])
+    return mix_noise(c, c.where("channel = 1"), (5.0, 15.0), 0.8, seed=4).select("id", us("duration").alias("duration_us"), F.size("tracks").alias("n_tracks"))
+
+
+@query("""SELECT CAST(p AS BIGINT) AS position, CAST(round(greatest(x.duration, y.duration) * 1000000.0) AS BIGINT) AS duration_us FROM
+(SELECT row_number() OVER (ORDER BY id) - 1 AS p, duration FROM (SELECT DISTINCT id, duration FROM cuts)) x JOIN
+(SELECT row_number() OVER (ORDER BY id) - 1 AS p, duration FROM (SELECT DISTINCT id, duration FROM cuts WHERE channel = 0)) y USING (p)""")
+def mixed_by_position(spark, d):
+    from voxtile.operators.mixing import mix_by_position
+
+    c = cuts(spark, d).dropDuplicates(["id"])
+    return mix_by_position([c, c.where("channel = 0")]).select("position", us("duration").alias("duration_us"))
+
+
+@query(f"SELECT id, {us_sql('duration + 1.0')} AS duration_us FROM cuts")
+def extra_padding(spark, d):
+    from voxtile.operators.mixing import extra_padding as pad_more
+
+    return pad_more(cuts(spark, d), 1.0).select("id", us("duration").alias("duration_us"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM (SELECT DISTINCT id FROM audio)), a AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS p FROM (SELECT DISTINCT id FROM audio))
+SELECT a.id || '_it' || k AS id FROM range(200) t(k), n JOIN a ON a.p = CAST(('0x' || substr(md5(k || '|9'), 1, 8)) AS BIGINT) % n.n""")
+def drawn_with_replacement(spark, d):
+    return D.draw_with_replacement(audio(spark, d).select("id").distinct(), 200, seed=9).select("id")
+
+
+@query("SELECT count(*) FILTER (duration > 5) AS kept, count(*) - count(*) FILTER (duration > 5) AS dropped FROM supervision")
+def filter_counts(spark, d):
+    return D.kept_and_dropped(sup(spark, d), F.col("duration") > 5)
+
+
+@query("SELECT id, len(text) + 2 AS n FROM (SELECT DISTINCT id, text FROM supervision WHERE text IS NOT NULL AND id IN (SELECT id FROM supervision GROUP BY id HAVING count(*) = 1))")
+def encoded_characters(spark, d):
+    s = sup(spark, d).where("text is not null")
+    once = s.join(sup(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("id"), "id", "left_semi")
+    return T.encoded_characters(once, "text", T.vocabulary(s, "text")).select("id", F.size("ids").cast("long").alias("n"))
+
+
+@query()
+def paired_batches(spark, d):
+    pairs = sup(spark, d).where("duration > 0 and text is not null").select("id", "duration", F.length("text").alias("chars")).dropDuplicates(["id"])
+    return B.paired_batches(pairs.withColumn("s", F.pmod(O.hash_int("id"), F.lit(16))), B.Constraint(max_total=120.0), B.Constraint(max_total=2000.0), "duration", "chars", "s")
+
+
+@query()
+def simulated_meetings(spark, d):
+    from voxtile.operators import meetings
+
+    chosen = meetings.sampled(sup(spark, d).where("duration > 0").dropDuplicates(["id"]), 50, 3, 30.0, seed=2)
+    return meetings.conversational(chosen, seed=2)
+
+
+@query()
+def recognition_batches(spark, d):
+    from voxtile.operators import task_batches
+
+    c = cuts(spark, d).dropDuplicates(["id"])
+    out = task_batches.recognition(c, B.greedy_batches(c, B.Constraint(max_total=120.0)))
+    return out.select("batch", F.size("cut_ids").alias("n_cuts"), F.size("texts").alias("n_texts"))
+
+
+@query("""SELECT recording_id, speaker, count(*) AS n, CAST(sum(CAST(round(duration * 1000000.0) AS BIGINT)) AS BIGINT) AS total_us FROM supervision
+WHERE duration > 0 GROUP BY GROUPING SETS ((recording_id, speaker), (recording_id), ())""")
+def speaking_time_rollup(spark, d):
+    return sup(spark, d).where("duration > 0").rollup("recording_id", "speaker").agg(F.count(F.lit(1)).alias("n"), F.sum(us("duration")).alias("total_us"))

@@ -254,3 +254,48 @@ def read_pointer(text: str) -> bytes:
     with open(path, "rb") as f:
         f.seek(offset)
         return f.read(end - offset)
+
+
+def write_bundles(df: DataFrame, out_dir: str, payload: str, shard_size: int = 1000, key: str = "id") -> DataFrame:
+    """Archives of ``shard_size`` rows, each row as ``{key}.json`` and ``{key}.bin`` side by side; gives (shard, n)."""
+    os.makedirs(out_dir, exist_ok=True)
+    rows = split_chunks(df, shard_size, key)
+    meta = F.to_json(F.struct(*[c for c in df.columns if c != payload]))
+    work = rows.select("chunk", F.col(key).cast("string").alias("k"), meta.alias("m"), payload).repartition("chunk").sortWithinPartitions("chunk", "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, tar, n, done = None, None, 0, []
+        for b in batches:
+            for chunk, k, m, p in zip(*(c.to_pylist() for c in b.columns)):
+                if chunk != shard:
+                    if tar is not None:
+                        tar.close()
+                        done.append((shard, n))
+                    shard, n = chunk, 0
+                    tar = tarfile.open(os.path.join(out_dir, f"bundle.{shard:06d}.tar"), "w")
+                _add(tar, f"{k}.json", m.encode())
+                if p is not None:
+                    _add(tar, f"{k}.bin", p)
+                n += 1
+        if tar is not None:
+            tar.close()
+            done.append((shard, n))
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int64()), pa.array([k for _, k in done], pa.int64())], names=["shard", "n"])
+
+    return work.mapInArrow(run, "shard long, n long")
+
+
+def read_bundles(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of such archives with ``payload``; an archive streams through one task."""
+    register(spark)
+    pairs = members_as_pairs(spark.read.format("tar").option("path", path).load())
+    return pairs.select(F.from_json("meta", schema).alias("c"), "payload").select("c.*", "payload")
+
+
+def shard_order(n: int, seed: int = 0, epoch: int = 0, rank: int = 0, world: int = 1) -> list[int]:
+    """The shards of one reader in a seeded order that all readers share."""
+    import random
+
+    order = list(range(n))
+    random.Random(f"{seed}/{epoch}").shuffle(order)
+    return order[rank::world]
