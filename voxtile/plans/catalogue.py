@@ -5,6 +5,7 @@ Times go out as whole microseconds, sums as 64-bit integers, averages rounded to
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -816,3 +817,161 @@ def recognition_batches(spark, d):
 WHERE duration > 0 GROUP BY GROUPING SETS ((recording_id, speaker), (recording_id), ())""")
 def speaking_time_rollup(spark, d):
     return sup(spark, d).where("duration > 0").rollup("recording_id", "speaker").agg(F.count(F.lit(1)).alias("n"), F.sum(us("duration")).alias("total_us"))
+
+
+# ---- streams -----------------------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of files: its folder, or the one file of that name among the tables."""
+    path = f"{d}/{name}.parquet"
+    reader = spark.readStream.schema(table(spark, d, name).schema)
+    return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), m AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS p FROM e),
+n AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p >= 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, min(t) AS start_us, max(t) + 7200000000 AS end_us, count(*) AS n FROM n GROUP BY user_id, k""")
+def session_windows(spark, d):
+    e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    s = e.groupBy("user_id", F.session_window("t", "2 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return s.select("user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
+
+
+@query("SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, count(*) AS n FROM events GROUP BY 1")
+def hourly_windows(spark, d):
+    from voxtile.streaming.sessions import windowed_counts
+
+    return windowed_counts(table(spark, d, "events"), size="1 hour").select(F.unix_micros("start").alias("start_us"), "n")
+
+
+@query()
+def session_stream(spark, d):
+    from voxtile.streaming.sessions import session_stream as sessions
+    from voxtile.streaming.sessions import settled
+
+    stream = _stream(spark, d, "events")
+    return settled(sessions(stream, gap="2 hours"), "user_id long, start timestamp, end timestamp, n long").drop("_batch")
+
+
+@query("""WITH first AS (SELECT id, min((received_at, recording_id, "start", duration)) AS r FROM supervision WHERE id IS NOT NULL GROUP BY id),
+spans AS (SELECT r[2] AS recording_id, CAST(round(r[3] * 1000) AS BIGINT) AS s, CAST(round((r[3] + r[4]) * 1000) AS BIGINT) AS e FROM first WHERE r[2] IS NOT NULL AND r[3] IS NOT NULL AND r[4] > 0),
+m AS (SELECT *, s // 600000 AS chunk, max(e) OVER (PARTITION BY recording_id, s // 600000 ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM spans),
+n AS (SELECT *, sum(CASE WHEN edge IS NULL OR s > edge THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id, chunk ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT recording_id, chunk, min(s) AS start_ms, max(e) AS end_ms FROM n GROUP BY recording_id, chunk, k""")
+def coverage_stream(spark, d):
+    from voxtile.streaming.coverage import OUT, latest_periods, period_stream
+    from voxtile.streaming.sessions import settled
+
+    stream = _stream(spark, d, "supervision")
+    return latest_periods(settled(period_stream(stream), OUT, "update"))
+
+
+# ---- interchange formats -----------------------------------------------------------------------------------------
+
+
+@query("""SELECT printf('SPEAKER %s %d %.3f %.3f <NA> <NA> %s <NA> <NA>', recording_id, coalesce(channel[1], 0), start, duration, coalesce(speaker, '<NA>')) AS value
+FROM supervision WHERE recording_id IS NOT NULL AND start IS NOT NULL AND duration > 0""")
+def rttm_lines(spark, d):
+    from voxtile.sources.manifests import format_rttm
+
+    return format_rttm(sup(spark, d).where("recording_id is not null and start is not null and duration > 0"))
+
+
+@query("""WITH w AS (SELECT recording_id, coalesce(channel[1], 0) AS ch, unnest(alignment['word']) AS w FROM supervision WHERE alignment IS NOT NULL)
+SELECT coalesce(recording_id, 'null') AS rec, ch, w.symbol AS symbol, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY ALL""")
+def ctm_words(spark, d):
+    from voxtile.sources.manifests import format_ctm
+
+    p = F.split("value", " ")
+    lines = format_ctm(sup(spark, d))
+    # the times are rounded by the engine's own rule, so the comparison is on what the lines name
+    return lines.groupBy(p[0].alias("rec"), p[1].cast("int").alias("ch"), p[4].alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT id, recording.id AS recording_id, CASE WHEN len(supervisions) = 1 THEN supervisions[1].text END AS text, CASE WHEN len(supervisions) <> 1 THEN len(supervisions) END AS n_segments FROM cuts""")
+def flat_rows(spark, d):
+    from voxtile.sources.manifests import flat_table
+
+    return flat_table(cuts(spark, d)).select("id", "recording_id", "text", F.when(F.col("segments").isNotNull(), F.size("segments")).cast("long").alias("n_segments"))
+
+
+@query(f"SELECT id || '_tp0.9' AS id, {_PERT.format(t='duration').replace('1.1', '0.9').replace('CAST(round(', 'CAST(ceil(').replace(', 8)) AS BIGINT)', ', 8) - 0.5) AS BIGINT)')} AS duration_samples FROM cuts WHERE recording.sampling_rate IS NOT NULL")
+def perturb_tempo(spark, d):
+    out = C.perturb_speed(cuts(spark, d), 0.9, kind="tp")
+    return out.select("id", F.round(F.col("duration") * F.col("recording.sampling_rate")).cast("long").alias("duration_samples"))
+
+
+@query()
+def signal_mixes(spark, d):
+    from voxtile.functions import signal
+
+    e = table(spark, d, "embeddings").withColumn("noise", F.reverse("embedding"))
+    return signal.mix_rows(e, "embedding", "noise", 8, 10.0).select("vec_id", F.size("mixed").alias("n"), F.round(signal.energy(F.col("mixed")), 4).alias("energy"))
+
+
+@query()
+def augmented_features(spark, d):
+    from voxtile.functions import signal
+
+    e = table(spark, d, "embeddings").select("vec_id", F.array_repeat("embedding", 20).alias("m"))
+    return signal.spec_augment(e, "m", "vec_id", seed=1, warp=None).select("vec_id", F.size("m").alias("frames"))
+
+
+@query()
+def cepstra(spark, d):
+    from voxtile.functions import signal
+
+    e = table(spark, d, "embeddings").select("vec_id", F.flatten(F.array_repeat("embedding", 20)).alias("samples"))
+    return signal.extract(e, "samples", "mfcc").select("vec_id", F.size("features").alias("frames"), F.size(F.col("features")[0]).alias("bins"))
+
+
+# ---- SQL of sequential operators: one recursive step per place within a stratum ----------------------------------
+
+
+def _greedy_sql(source: str, limit: float, simple: bool, items: int | None = None) -> str:
+    """Recursion over places: state is the open batch; ``simple`` closes before an item that exceeds, else after one that nearly does."""
+    longest = "greatest(g.longest, x.m)"
+    over = f"(g.n + 1) * {longest} > {limit}" + (f" OR g.n + 1 > {items}" if items else "")
+    close = f"(g.n + 1) * g.longest > {limit}" + (f" OR g.n >= {items}" if items else "")
+    opens = f"({over})" if simple else f"({close})"
+    return f"""WITH RECURSIVE x AS ({source}),
+g AS (SELECT s, p, id, m, CAST(0 AS BIGINT) AS batch, 1 AS n, m AS longest FROM x WHERE p = 0
+UNION ALL SELECT x.s, x.p, x.id, x.m, g.batch + CASE WHEN {opens} THEN 1 ELSE 0 END, CASE WHEN {opens} THEN 1 ELSE g.n + 1 END, CASE WHEN {opens} THEN x.m ELSE {longest} END
+FROM g JOIN x ON x.s = g.s AND x.p = g.p + 1)
+SELECT s AS stratum, id, m AS measure, batch FROM g"""
+
+
+def _strata_sql(rows: str) -> str:
+    return f"SELECT s, id, m, row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS p FROM (SELECT id, m, CAST(('0x' || substr(md5(id || '|0'), 1, 8)) AS BIGINT) % 16 AS s FROM ({rows}))"
+
+
+_LENGTH_SQL = "SELECT DISTINCT id, duration AS m FROM supervision WHERE duration > 0"
+ORACLES["greedy_dynamic"] = _greedy_sql(_strata_sql(_LENGTH_SQL), 120.0, False)
+ORACLES["greedy_simple"] = _greedy_sql(_strata_sql(_LENGTH_SQL), 120.0, True, 20)
+ORACLES["windows_balanced"] = f"""{CUTS}, cand AS (SELECT rid, w, round(duration - (nw - 1) * (w - 1.0), 8) AS last, nw FROM (
+  SELECT rid, duration, w, ceil(greatest(duration - w, 0) / (w - 1.0)) + CASE WHEN duration - ceil(greatest(duration - w, 0) / (w - 1.0)) * (w - 1.0) > 0 THEN 1 ELSE 0 END AS nw
+  FROM c, (SELECT unnest([8, 9, 10, 11, 12]) AS w) WHERE duration > 12)),
+best AS (SELECT rid, w, nw FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY last DESC, w) AS k FROM cand) WHERE k = 1),
+p AS (SELECT c.rid, c.id || '-' || i AS nid, round(i * (w - 1.0), 8) AS off, round(least(CAST(w AS DOUBLE), c.duration - round(i * (w - 1.0), 8)), 8) AS dur FROM (SELECT rid, w, unnest(range(0, CAST(nw AS BIGINT))) AS i FROM best) b JOIN c ON c.rid = b.rid),
+k AS (SELECT p.rid, p.nid, p.off, p.dur, g.sid, round(g.st - p.off, 8) AS st FROM p LEFT JOIN seg g ON g.rid = p.rid AND round(g.st - p.off, 8) < p.dur AND round(round(g.st - p.off, 8) + g.du, 8) > 0 WHERE p.dur > 0)
+SELECT k.nid AS id, {us_sql('round(c.start + k.off, 8)')} AS start_us, {us_sql('k.dur')} AS duration_us, count(k.sid) AS n_sups, coalesce(string_agg(k.sid, ',' ORDER BY k.st, k.sid), '') AS sup_ids
+FROM k JOIN c ON c.rid = k.rid GROUP BY k.rid, k.nid, k.off, k.dur, c.start
+UNION ALL SELECT id, {us_sql('start')}, {us_sql('duration')}, len(supervisions), array_to_string(list_transform(supervisions, lambda s: s.id), ',') FROM c WHERE duration <= 12"""
+_TOTAL_FRAMES = "CAST(floor((round_even(c.duration * coalesce(c.recording.sampling_rate, 16000), 0) + floor(round_even({f} * coalesce(c.recording.sampling_rate, 16000), 0) / 2)) / round_even({f} * coalesce(c.recording.sampling_rate, 16000), 0)) AS BIGINT)"
+
+
+def _mask_sql(shift: float, by: str) -> str:
+    return f"""{CUTS}, cl AS (SELECT seg.rid, seg.speaker, greatest(st, 0.0) AS a, round(greatest(st, 0.0) + round(least(en, c.duration) - greatest(st, 0.0), 8), 8) AS b, {_TOTAL_FRAMES.format(f=shift)} AS n
+FROM seg JOIN c ON c.rid = seg.rid WHERE round(least(en, c.duration) - greatest(st, 0.0), 8) > 0),
+fr AS (SELECT DISTINCT rid{by}, unnest(range(CAST(round_even(a / {shift}, 0) AS BIGINT), least(CAST(round_even(b / {shift}, 0) AS BIGINT), n))) AS i FROM cl),
+cn AS (SELECT rid{by}, count(*) AS k FROM fr GROUP BY rid{by})"""
+
+
+ORACLES["frame_masks"] = _mask_sql(0.01, "") + " SELECT c.id, CAST(coalesce(cn.k, 0) AS INTEGER) AS active FROM c LEFT JOIN cn ON cn.rid = c.rid"
+ORACLES["speaker_frames"] = _mask_sql(0.1, ", speaker") + ", w AS (SELECT DISTINCT rid, speaker FROM cl WHERE speaker IS NOT NULL) SELECT c.id, w.speaker, CAST(coalesce(cn.k, 0) AS INTEGER) AS active FROM w JOIN c ON c.rid = w.rid LEFT JOIN cn ON cn.rid = w.rid AND cn.speaker = w.speaker"
+ORACLES["describe_speech"] = f"""{_SWEEP}, l AS (SELECT rid, n, sum({us_sql('round(b - a, 15)')}) AS t FROM w GROUP BY rid, n),
+x AS (SELECT coalesce(sum(t) FILTER (n >= 1), 0) AS sp, coalesce(sum(t) FILTER (n = 1), 0) AS si, coalesce(sum(t) FILTER (n >= 2), 0) AS ov, coalesce(sum(t) FILTER (n = 2), 0) AS s2, coalesce(sum(t) FILTER (n = 3), 0) AS s3, coalesce(sum(t) FILTER (n = 4), 0) AS s4 FROM l),
+y AS (SELECT count(*) AS n, sum({us_sql('duration')}) AS d FROM c), z AS (SELECT sum({us_sql('round(b - a, 8)')}) AS k FROM cl)
+SELECT n, CAST(d AS BIGINT) AS duration_us, CAST(k AS BIGINT) AS speaking_us, CAST(sp AS BIGINT) AS speech_us, CAST(si AS BIGINT) AS single_us, CAST(ov AS BIGINT) AS overlap_us, CAST(s2 AS BIGINT) AS speakers_2_us,
+CAST(s3 AS BIGINT) AS speakers_3_us, CAST(s4 AS BIGINT) AS speakers_4_us, CAST(d - sp AS BIGINT) AS silence_us, round(sp / d, 6) AS speech_share FROM x, y, z"""

@@ -48,3 +48,9 @@ def period_stream(deliveries: DataFrame, late: str = "7 days", chunk_ms: int = C
     d = d.withColumn("received", F.col("received_at").cast("timestamp")).withWatermark("received", late)
     d = d.select("recording_id", F.floor(F.col("start_ms") / chunk_ms).cast("long").alias("chunk"), "start_ms", "end_ms", "received")
     return d.groupBy("recording_id", "chunk").applyInPandasWithState(_update, OUT, STATE, "update", "EventTimeTimeout")
+
+
+def latest_periods(written: DataFrame) -> DataFrame:
+    """(recording_id, chunk, start_ms, end_ms): of what a period stream wrote, each chunk's last version."""
+    newest = written.groupBy("recording_id", "chunk").agg(F.max("version").alias("version"))
+    return written.join(newest, ["recording_id", "chunk", "version"]).select("recording_id", "chunk", "start_ms", "end_ms")

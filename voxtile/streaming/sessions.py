@@ -38,3 +38,24 @@ def windowed_counts(events: DataFrame, time: str = "ts", size: str = "10 minutes
     timed = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", late)
     w = F.window("__t", size, slide) if slide else F.window("__t", size)
     return timed.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def settled(stream: DataFrame, schema: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now and gives what it wrote, with the number of the micro-batch in ``_batch``.
+
+    Checkpoint and output lie in the shared checkpoint folder, under a name of their own.
+    """
+    import uuid
+
+    from voxtile.session import ensure_checkpoint_dir
+
+    spark = stream.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/stream-{uuid.uuid4().hex}"
+
+    def write(df: DataFrame, number: int) -> None:
+        df.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{base}/out/part={number}")
+
+    started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start()
+    started.awaitTermination()
+    return spark.read.schema(f"{schema}, _batch long").parquet(f"{base}/out/*")
