@@ -72,7 +72,9 @@ def test_merge_fill_extend_pad(some):
     m = by_id(cuts.merge_supervisions(some))["c1"].supervisions
     assert len(m) == 1 and m[0].id == "cat#s1#s2#s3" and m[0].text == "t u t" and m[0].duration == 7.5
     with pytest.raises(Exception, match="several segments"):
-        cuts.fill_supervisions(some).collect()
+        cuts.fill_supervisions(some.where("id = 'c1'")).collect()
+    with pytest.raises(Exception, match="would shrink"):
+        cuts.fill_supervisions(some.where("id = 'c3'")).collect()
     assert by_id(cuts.fill_supervisions(some.where("id <> 'c1'"), shrink_ok=True))["c2"].supervisions[0].duration == 95.0
     e = by_id(cuts.extend_by(some, 6.0))["c1"]
     assert (e.start, e.duration, e.pad_left, e.pad_right) == (0.0, 16.0, 1.0, 5.0) and e.supervisions[0].start == 5.0
