@@ -156,13 +156,32 @@ def has_spoken_word(cleaned: str) -> bool:
     return False
 
 
-@F.pandas_udf(T.StructType().add("path", "string").add("slot", "string").add("key", "string").add("is_time", "boolean"))
-def _layout_udf(text: pd.Series) -> pd.DataFrame:
+_PARSED = (
+    T.StructType().add("path", "string").add("key", "string").add("is_time", "boolean")
+    .add("words_after_head", "boolean").add("words", "boolean").add("after_head", "string").add("whole", "string")
+)
+
+
+@F.pandas_udf(_PARSED)
+def _parse_udf(text: pd.Series, language: pd.Series) -> pd.DataFrame:
+    """The head's layout and key, and the text cleaned both ways: without its head, and whole.
+
+    Which of the two holds is known once the layouts are mined; until then only flags
+    travel, so texts are shuffled only where they are wanted.
+    """
     rows = []
-    for t in text:
-        h = head_layout(t) if t else None
-        rows.append((None, None, None, False) if h is None else (h[0], h[1], label_key(h[1]), bool(_STAMP.fullmatch(h[1]))))
-    return pd.DataFrame(rows, columns=["path", "slot", "key", "is_time"])
+    for t, code in zip(text, language):
+        if not t:
+            rows.append((None, None, False, False, False, None, None))
+            continue
+        lang, head = language_of(code), head_layout(t)
+        whole = clean(t, lang)
+        if head is None:
+            rows.append((None, None, False, False, has_spoken_word(whole), None, whole))
+            continue
+        rest = clean(t[head[2]:], lang)
+        rows.append((head[0], label_key(head[1]), bool(_STAMP.fullmatch(head[1])), has_spoken_word(rest), has_spoken_word(whole), rest, whole))
+    return pd.DataFrame(rows, columns=_PARSED.names)
 
 
 def mine_layouts(heads: DataFrame, registry: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
@@ -178,44 +197,34 @@ def mine_layouts(heads: DataFrame, registry: DataFrame, min_share: float = MIN_S
     return leaf.select("path", kind.alias("kind"), "n", "share")
 
 
-@F.pandas_udf(T.StructType().add("words", "boolean").add("text", "string"))
-def _clean_udf(text: pd.Series, labelled: pd.Series, language: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, lab, code in zip(text, labelled, language):
-        if not t:
-            rows.append((False, None))
-            continue
-        if lab:
-            t = t[head_layout(t)[2]:]
-        c = clean(t, language_of(code))
-        rows.append((has_spoken_word(c), c))
-    return pd.DataFrame(rows, columns=["words", "text"])
-
-
 def labelled_segments(supervision: DataFrame, speakers: DataFrame, with_text: bool = True) -> DataFrame:
     """(recording_id, id, start_ms, person, text): the segments with a start and a spoken word; person is null where nobody is told."""
-    # Heads are parsed before the shuffle that drops repeated deliveries: all that follows reads that one shuffle.
-    cols = ["id", "recording_id", "start", "text", "language"]
-    raw = supervision.where("id is not null and recording_id is not null").select(*cols, "speaker", "received_at")
-    parsed = spread(raw).withColumn("head", _layout_udf("text")).withColumn("said", label_key_udf("speaker"))
-    parsed = parsed.select(*cols, "said", "head.path", "head.key", "head.is_time", "received_at")
-    segs = first_delivery(parsed, "id", "received_at", [*cols, "said", "path", "key", "is_time"])
-    segs = segs.where("text is not null").withColumn("start_ms", whole_ms(F.col("start"))).where("start_ms is not null")
+    # Texts are parsed before the shuffle that drops repeated deliveries: all that follows reads that one shuffle.
+    raw = supervision.where("id is not null and recording_id is not null and text is not null")
+    raw = raw.select("id", "recording_id", whole_ms(F.col("start")).alias("start_ms"), "text", "language", "speaker", "received_at").where("start_ms is not null")
+    parsed = spread(raw).select("id", "recording_id", "start_ms", "received_at", label_key_udf("speaker").alias("said"), _parse_udf("text", "language").alias("t"))
+    texts = ["after_head", "whole"] if with_text else []
+    kept = ["path", "key", "is_time", "words_after_head", "words", *texts]
+    parsed = parsed.select("id", "recording_id", "start_ms", "received_at", "said", *[f"t.{c}" for c in kept])
+    segs = first_delivery(parsed, "id", "received_at", ["id", "recording_id", "start_ms", "said", *kept])
     registry = registry_keys(speakers)
     layouts = mine_layouts(segs.select("path", "key", "is_time"), registry)
     # The tree has at most 252 leaves, whatever the corpus: a broadcast of proven size.
     slots = F.broadcast(layouts.select("path", "kind"))
-    said = registry.select(F.col("key").alias("said"), F.col("person").alias("said_registered"))
-    told = registry.select("key", F.col("person").alias("text_registered"))
-    full = segs.join(slots, "path", "left").join(said, "said", "left").join(told, "key", "left")
+    said = registry.select(F.col("key").alias("__said"), F.col("person").alias("said_registered"))
+    told = registry.select(F.col("key").alias("__key"), F.col("person").alias("text_registered"))
+    # Most texts have no label: their rows are spread by id, or they would all meet in one task. No key begins with a zero.
+    spread_by = lambda c: F.coalesce(c, F.concat(F.lit("\x00"), F.xxhash64("id").cast("string")))
+    full = segs.withColumn("__said", spread_by("said")).withColumn("__key", spread_by("key"))
+    full = full.join(slots, "path", "left").join(said, "__said", "left").join(told, "__key", "left")
     full = full.withColumn("said_person", F.coalesce("said_registered", "said"))
     full = full.withColumn("text_person", F.coalesce("text_registered", F.when(F.col("key").startswith("role:"), F.col("key"))))
     labelled = F.col("text_person").isNotNull() & (F.col("kind") != "time")
     full = full.withColumn("labelled", F.coalesce(labelled, F.lit(False)))
-    full = full.withColumn("cleaned", _clean_udf("text", "labelled", "language")).where("cleaned.words")
+    full = full.where(F.when(F.col("labelled"), F.col("words_after_head")).otherwise(F.col("words")))
     person = F.coalesce("said_person", F.when(F.col("labelled"), F.col("text_person")))
-    kept = full.select("recording_id", "id", "start_ms", person.alias("person"), *([F.col("cleaned.text").alias("text")] if with_text else []))
-    return kept
+    text = [F.when(F.col("labelled"), F.col("after_head")).otherwise(F.col("whole")).alias("text")] if with_text else []
+    return full.select("recording_id", "id", "start_ms", person.alias("person"), *text)
 
 
 def mark_turns(segs: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
