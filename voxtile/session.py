@@ -48,16 +48,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def first_delivery(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
-    """One row per key: of repeated deliveries the earliest (ties: the smallest row).
+    """One row per key: of repeated deliveries the most complete, then the earliest (ties: the smallest row).
 
     The minimum of a struct is aggregated before the shuffle, so a key with very
     many deliveries costs one row per input partition. Rows with a null key are dropped.
     """
     rest = [c for c in cols if c != key]
+    nulls = sum((F.col(c).isNull().cast("int") for c in rest), F.lit(0))
     picked = (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.min(F.struct(F.col(order).alias("__order"), *rest)).alias("__row"))
+        .agg(F.min(F.struct(nulls.alias("__nulls"), F.col(order).alias("__order"), *rest)).alias("__row"))
     )
     return picked.select(key, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
