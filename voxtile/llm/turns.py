@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtile.llm.people import label_key, label_key_udf, registry_keys
-from voxtile.session import first_delivery, spread, whole_ms
+from voxtile.session import checkpointed, first_delivery, spread, whole_ms
 
 CHUNK_MS = 600_000
 MIN_SHARE = 0.5
@@ -257,7 +257,8 @@ def turns(supervision: DataFrame, speakers: DataFrame, chunk_ms: int = CHUNK_MS,
     A turn that runs on over a chunk border goes on as another row of the same ``id``
     with a later start, so no task gathers an unbounded turn.
     """
-    marked = mark_turns(labelled_segments(supervision, speakers), chunk_ms)
+    # read three times below: written once
+    marked = checkpointed(mark_turns(labelled_segments(supervision, speakers), chunk_ms))
     upto = Window.partitionBy("recording_id", "chunk").orderBy("start_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
     opener = F.last(F.when(F.col("opens"), F.struct("start_ms", "id", "person")), ignorenulls=True).over(upto)
     local = marked.withColumn("opener", opener)
