@@ -182,3 +182,55 @@ def test_sessions(spark):
     df = spark.createDataFrame(rows, "user_id long, start_us long, end_us long")
     for chunk in (10**9, 6):
         assert {tuple(r) for r in sessions.islands(df, "user_id", 5, chunk).collect()} == {(1, 0, 20, 3), (1, 30, 31, 1), (2, 0, 1, 1)}
+
+
+def test_recordings_and_payloads(spark, tmp_path):
+    from voxtile.operators import cuts, mixing, recordings
+    from voxtile.sources import arrays
+
+    rec = spark.createDataFrame([("r", 8000, 8000, 1.0)], "id string, sampling_rate int, num_samples long, duration double")
+    fast = recordings.perturb_recordings(rec, 1.1).first()
+    assert (fast.id, fast.num_samples, fast.transforms[0]["name"]) == ("r_sp1.1", 7273, "speed")
+    assert recordings.perturb_recordings(rec, 2.0, "volume").first().num_samples == 8000
+    assert recordings.resample_recordings(rec, 16000).first().num_samples == 16000
+    assert recordings.transformed(rec, "reverb", "_rvb").first().id == "r_rvb"
+    sup = spark.createDataFrame([("s", "r", 0.5, 0.25, {"word": [("a", 0.5, 0.1, None)]})], "id string, recording_id string, start double, duration double, alignment map<string,array<struct<symbol:string,start:double,duration:double,score:double>>>")
+    p = recordings.perturb_segments(sup, rec.select(F.col("id").alias("recording_id"), "sampling_rate"), 2.0).first()
+    assert (p.id, p.start, p.duration, p.alignment["word"][0].start) == ("s_sp2", 0.25, 0.125, 0.25)
+
+    x = np.sin(np.arange(8000) / 10) * 0.5
+    for k in "ab":
+        with open(tmp_path / f"{k}.wav", "wb") as f:
+            f.write(audio.wav_bytes(x, 8000))
+    seg = "struct<id:string,recording_id:string,start:double,duration:double,channel:array<int>,text:string,speaker:string>"
+    c = spark.createDataFrame([(k, 0.0, 0.5, 0, []) for k in "ab"], f"id string, start double, duration double, channel int, supervisions array<{seg}>")
+    paths = spark.createDataFrame([(k, str(tmp_path / f"{k}.wav")) for k in "ab"], "recording_id string, path string")
+    both = cuts.mix(c.where("id = 'a'").withColumn("k", F.lit(1)), c.where("id = 'b'").withColumn("k", F.lit(1)), "k", 0.25, 10.0)
+    got = audio.load_mixed(both, paths).first()
+    assert len(got.samples) == 6000 and abs(got.samples[10] - x[10]) < 1e-3
+    noisy = mixing.mix_noise(c, c.where("id = 'b'").withColumn("duration", F.lit(0.2)), 10.0).where("id = 'a'").first()
+    assert [t.offset for t in noisy.tracks] == [0.0, 0.0, 0.2, 0.4] and noisy.tracks[3].cut.duration == 0.1
+    assert mixing.mix_by_position([c, c]).count() == 2
+
+    signals = spark.createDataFrame([("a", x.tolist()), ("b", x.tolist())], "id string, samples array<float>")
+    store = str(tmp_path / "feats")
+    assert audio.extract_and_store(signals.where("id = 'a'"), store) == 1 and audio.extract_and_store(signals, store) == 1
+    assert len(arrays.unpacked_column(spark.read.parquet(store), "payload").first().features[0]) == 80
+    m = np.random.default_rng(0).normal(size=(50, 8))
+    assert np.array_equal(arrays.unpack(arrays.pack(m)), m) and np.abs(arrays.unpack_lossy(arrays.pack_lossy(m, -6)) - m).max() <= 2.0**-7 + 1e-6
+    kept = arrays.copy_files(paths, "path", str(tmp_path / "copies")).collect()
+    assert all(os.path.exists(r.path) and "copies" in r.path for r in kept)
+    assert arrays.open_any("pipe:echo hi", "r").read() == "hi\n"
+    with pytest.raises(ValueError):
+        arrays.open_any("s3://x/y")
+
+
+def test_bundles(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i:02d}", 1.5, b"x" * i if i else None) for i in range(12)], "id string, duration double, payload binary")
+    assert archives.write_bundles(df, str(tmp_path), "payload", 5).agg(F.sum("n")).first()[0] == 12
+    back = {r.id: r for r in archives.read_bundles(spark, str(tmp_path), "id string, duration double").collect()}
+    assert len(back) == 12 and back["k03"].payload == b"xxx" and back["k00"].payload is None
+    tars = archives.expand(str(tmp_path))
+    assert archives.write_tar_index(spark, tars).agg(F.sum("n")).first()[0] == 23 and all(archives.index_is_fresh(t) for t in tars)
+    parts = [archives.shard_order(10, 3, 1, r, 3) for r in range(3)]
+    assert sorted(sum(parts, [])) == list(range(10))

@@ -205,6 +205,24 @@ def write_line_index(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 200))).mapInArrow(run, "path string, n long")
 
 
+def write_tar_index(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Beside each archive an ``.idx`` of the offsets of its members' headers and the end of the last; gives (path, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, counts = b.column(0).to_pylist(), []
+            for p in paths:
+                with tarfile.open(p) as tar, open(p + ".idx", "wb") as out:
+                    members = [m for m in tar if m.isfile()]
+                    for m in members:
+                        out.write(struct.pack("<Q", m.offset))
+                    out.write(struct.pack("<Q", os.path.getsize(p)))
+                counts.append(len(members))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["path", "n"])
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 200))).mapInArrow(run, "path string, n long")
+
+
 def index_is_fresh(path: str) -> bool:
     """Whether an index exists and its last entry is the file's size."""
     if not os.path.exists(path + ".idx"):

@@ -113,3 +113,47 @@ def save_audio(df: DataFrame, out_dir: str, samples: str = "samples", rate: str
             yield pd.DataFrame({"id": pdf[key], "path": paths})
 
     return df.select(F.col(key).alias(key), samples, rate).mapInPandas(run, "id string, path string")
+
+
+def load_mixed(mixed: DataFrame, paths: DataFrame) -> DataFrame:
+    """(id, samples, rate) of mixed cuts (id, tracks): each track's span read, scaled by its ratio to the first track, and summed.
+
+    ``paths`` (recording_id, path) says where the recordings lie; a track's recording is its
+    first segment's, or the cut's id where it has none.
+    """
+    from voxtile.functions.signal import mix_signals
+
+    t = mixed.select("id", F.posexplode("tracks").alias("k", "t"))
+    rec = F.coalesce(F.try_element_at(F.col("t.cut.supervisions"), F.lit(1))["recording_id"], F.col("t.cut.id"))
+    t = t.withColumn("recording_id", rec).join(paths, "recording_id")
+    one = F.struct("k", "path", F.col("t.offset").alias("offset"), F.col("t.snr").alias("snr"), F.col("t.cut.start").alias("start"), F.col("t.cut.duration").alias("duration"))
+    rows = t.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("tracks"))
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            samples, rates = [], []
+            for tracks in pdf["tracks"]:
+                read = [read_samples(x["path"], x["start"], x["duration"], [0]) for x in tracks]
+                rate = read[0][1]
+                offsets = [int(round(x["offset"] * rate)) for x in tracks]
+                snrs = [None if x["snr"] is None or np.isnan(x["snr"]) else float(x["snr"]) for x in tracks]
+                samples.append(mix_signals([a[0] for a, _ in read], offsets, snrs).astype(np.float32).tolist())
+                rates.append(rate)
+            yield pd.DataFrame({"id": pdf["id"], "samples": samples, "rate": rates})
+
+    return rows.mapInPandas(run, "id string, samples array<float>, rate int")
+
+
+def extract_and_store(signals: DataFrame, path: str, kind: str = "fbank", codec: str = "npy", samples: str = "samples", key: str = "id") -> int:
+    """Features of each row's signal, packed, appended to a Parquet table; rows already there are skipped. Gives how many were new."""
+    from voxtile.functions.signal import extract
+    from voxtile.sources.arrays import packed_column
+
+    spark = signals.sparkSession
+    todo = signals
+    if os.path.isdir(path):
+        todo = signals.join(spark.read.parquet(path).select(key), key, "left_anti")
+    out = packed_column(extract(todo.select(key, samples), samples, kind), "features", codec)
+    before = spark.read.parquet(path).count() if os.path.isdir(path) else 0
+    out.select(key, F.size("features").alias("num_frames"), F.lit(kind).alias("type"), F.lit(codec).alias("storage_type"), "payload").write.mode("append").parquet(path)
+    return spark.read.parquet(path).count() - before
