@@ -97,6 +97,11 @@ def test_mix_append_unmix(some):
     a = cuts.append_all(some.withColumn("g", F.lit(0)), "g", "id").first()
     assert a.duration == 109.0 and [t.offset for t in a.tracks] == [0.0, 10.0, 105.0]
     assert cuts.unmix(m).count() == 2
+    f = cuts.perturb_mixed(m, 2.0, 16000).first()
+    assert f.duration == 6.0 and f.id.endswith("_sp2") and [t.offset for t in f.tracks] == [0.0, 4.0] and f.tracks[1].cut.supervisions[0].start == 1.75
+    g = cuts.map_mixed_supervisions(m, lambda s: s.withField("text", F.upper(s["text"]))).first()
+    assert g.tracks[0].cut.supervisions[0].text == "T"
+    assert cuts.filter_mixed_supervisions(m, lambda s: s["speaker"] == "b").select(F.size(cuts.mixed_supervisions(F.col("tracks")))).first()[0] == 1
 
 
 def test_frames(some):

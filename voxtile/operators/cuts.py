@@ -472,3 +472,28 @@ def speaker_masks(df: DataFrame, frame_shift: float) -> DataFrame:
     spans = F.transform(F.filter("__c", lambda s: s["speaker"] == F.col("speaker")), lambda s: F.struct(F.rint(s["start"] / frame_shift).cast("long").alias("a"), F.rint(sup_end(s) / frame_shift).cast("long").alias("b")))
     mask = F.transform(F.sequence(F.lit(0).cast("long"), total - 1), lambda i: F.exists(spans, lambda x: (x["a"] <= i) & (i < x["b"])).cast("int"))
     return wide.select("id", "speaker", mask.alias("mask"))
+
+
+def perturb_mixed(df: DataFrame, factor: float, sampling_rate: int, kind: str = "sp") -> DataFrame:
+    """Mixed cuts (id, tracks, duration) at another speed or tempo: offsets, spans and segments of all tracks rescaled, ids affixed."""
+    scaled = lambda t: perturbed_samples(num_samples(t, F.lit(sampling_rate)), factor) / sampling_rate
+    tag = F.lit(f"_{kind}{factor:g}")
+
+    def seg(s: Column) -> Column:
+        return s.withField("start", scaled(s["start"])).withField("duration", scaled(s["duration"])).withField("id", F.concat(s["id"], tag))
+
+    def track(t: Column) -> Column:
+        cut = t["cut"].withField("start", scaled(t["cut"]["start"])).withField("duration", scaled(t["cut"]["duration"])).withField("id", F.concat(t["cut"]["id"], tag))
+        return t.withField("offset", scaled(t["offset"])).withField("cut", cut.withField(SUPS, F.transform(t["cut"][SUPS], seg)))
+
+    out = df.withColumn("tracks", F.transform("tracks", track)).withColumn("id", F.concat("id", tag))
+    return out.withColumn("duration", mixed_duration(F.col("tracks")))
+
+
+def map_mixed_supervisions(df: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
+    """The segments of all tracks mapped."""
+    return df.withColumn("tracks", F.transform("tracks", lambda t: t.withField("cut", t["cut"].withField(SUPS, F.transform(t["cut"][SUPS], fn)))))
+
+
+def filter_mixed_supervisions(df: DataFrame, predicate: Callable[[Column], Column]) -> DataFrame:
+    return df.withColumn("tracks", F.transform("tracks", lambda t: t.withField("cut", t["cut"].withField(SUPS, F.filter(t["cut"][SUPS], predicate)))))
