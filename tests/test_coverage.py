@@ -89,3 +89,29 @@ def test_files_on_disk_are_merged(spark, tmp_path):
     got = [(r["key"], r["n"]) for m in sorted(meta, key=lambda m: m.file) for r in pq.read_table(m.file).to_pylist()]
     assert sorted(got) == sorted(rows) and [k for k, _ in got] == sorted(k for k, _ in rows)
     assert len(meta) < 20 and all(os.path.getsize(m.file) == m.n_bytes for m in meta)
+
+
+def test_null_keys_and_absent_statistics_lose_nothing(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    keys = [[f"k{(i * 7 + f) % 60:03d}" for i in range(f, 60, 3)] for f in range(6)]
+    keys[1] = [k for k in keys[1] if k > "k040"]
+    rows, paths = [], []
+    for f, ks in enumerate(keys):
+        first, last = (2 if f in (1, 3) else 0), (3 if f in (2, 5) else 0)
+        part = [None] * first + sorted(ks) + [None] * last
+        number = [f * 1000 + i for i in range(len(part))]
+        rows += zip(part, number)
+        paths.append(str(tmp_path / f"in{f}.parquet"))
+        # a struct before the key: its leaves come first in the file
+        note = pa.array([{"a": "z", "b": i} for i in number], pa.struct([("a", pa.string()), ("b", pa.int64())]))
+        pq.write_table(pa.table({"note": note, "key": pa.array(part, pa.string()), "n": number}), paths[-1], row_group_size=7, write_statistics=f not in (4, 5))
+    paths.append(str(tmp_path / "nulls.parquet"))
+    pq.write_table(pa.table({"note": pa.array([{"a": "z", "b": 1}], note.type), "key": pa.array([None], pa.string()), "n": [9000]}), paths[-1])
+    rows.append((None, 9000))
+    meta = consolidate.consolidate_files(spark, paths, "key", str(tmp_path / "out"), 1500, ranges=3).collect()
+    got = [(r["key"], r["n"]) for m in sorted(meta, key=lambda m: m.file) for r in pq.read_table(m.file).to_pylist()]
+    order = lambda k: (k is not None, k or "")
+    assert sorted(got, key=lambda r: r[1]) == sorted(rows, key=lambda r: r[1])
+    assert [k for k, _ in got] == sorted((k for k, _ in rows), key=order) and len(meta) > 3

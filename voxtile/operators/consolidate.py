@@ -22,6 +22,7 @@ Empty tables give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import os
 import posixpath
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxtile.session import checkpointed, shuffle_partitions
+from voxtile.session import checkpointed, rows_to_batch, shuffle_partitions
 
 _FILE_URL = re.compile(r"file:(?://(?:localhost)?)?(?=/)", re.IGNORECASE)
 
@@ -222,27 +223,59 @@ def shared_files(audio: DataFrame, ranges: int | None = None) -> DataFrame:
 # ---- files on disk ---------------------------------------------------------------------------------------------
 
 
+_FEET = pa.schema([("path", pa.string()), ("n", pa.int64()), ("bytes", pa.int64()), ("lo", pa.string()), ("hi", pa.string()), ("nulls", pa.bool_())])
+
+
+def _leaf(f: pq.ParquetFile, key: str) -> int | None:
+    """The Parquet leaf column of a top-level column; None where a nested one has the same path."""
+    at = [i for i in range(len(f.schema)) if f.schema.column(i).path == key]
+    return at[0] if len(at) == 1 else None
+
+
+def _statistics(f: pq.ParquetFile, group: int, at: int | None):
+    """The key's statistics of a row group if they tell of every row, nulls included; else None."""
+    g = f.metadata.row_group(group)
+    s = None if at is None else g.column(at).statistics
+    return s if s is not None and s.has_null_count and (s.has_min_max or s.null_count == g.num_rows) else None
+
+
+def _keys(f: pq.ParquetFile, group: int, key: str) -> Iterator[str | None]:
+    for batch in f.iter_batches(batch_size=4096, row_groups=[group], columns=[key]):
+        yield from batch.column(batch.schema.names.index(key)).to_pylist()
+
+
 def _footers(paths: list[str], key: str) -> list[tuple]:
+    """(path, rows, bytes, least and greatest key, whether some key is null); keys are read where a footer does not tell."""
     out = []
     for p in paths:
         f = pq.ParquetFile(p)
-        at = f.schema_arrow.names.index(key)
+        at = _leaf(f, key)
         lo = hi = None
+        nulls = False
         for g in range(f.metadata.num_row_groups):
-            s = f.metadata.row_group(g).column(at).statistics
-            if s is not None and s.has_min_max:
-                lo, hi = (s.min if lo is None else min(lo, s.min)), (s.max if hi is None else max(hi, s.max))
-        out.append((p, f.metadata.num_rows, os.path.getsize(p), lo, hi))
+            s = _statistics(f, g, at)
+            if s is None:
+                seen = _keys(f, g, key)
+            else:
+                seen = ([s.min, s.max] if s.has_min_max else []) + [None] * (s.null_count > 0)
+            for k in seen:
+                if k is None:
+                    nulls = True
+                else:
+                    lo, hi = (k if lo is None else min(lo, k)), (k if hi is None else max(hi, k))
+        out.append((p, f.metadata.num_rows, os.path.getsize(p), lo, hi, nulls))
     return out
 
 
 def _rows_of(path: str, key: str, lo, hi) -> Iterator[tuple]:
-    """Rows of a sorted file with lo <= key < hi (None: no bound; null keys come first); row groups out of range are skipped."""
+    """Rows of a sorted file with lo <= key < hi (None: no bound), without null keys; row groups out of range are skipped."""
     f = pq.ParquetFile(path)
-    at = f.schema_arrow.names.index(key)
+    at = _leaf(f, key)
     for g in range(f.metadata.num_row_groups):
-        s = f.metadata.row_group(g).column(at).statistics
-        if s is not None and s.has_min_max and s.null_count == 0:
+        s = _statistics(f, g, at)
+        if s is not None:
+            if not s.has_min_max:
+                continue
             if hi is not None and s.min >= hi:
                 return
             if lo is not None and s.max < lo:
@@ -251,40 +284,52 @@ def _rows_of(path: str, key: str, lo, hi) -> Iterator[tuple]:
             for row in batch.to_pylist():
                 k = row[key]
                 if k is None:
-                    if lo is None:
-                        yield (("",), row)
-                elif hi is not None and k >= hi:
+                    continue
+                if hi is not None and k >= hi:
                     return
-                elif lo is None or k >= lo:
-                    yield (("0", k), row)
+                if lo is None or k >= lo:
+                    yield (k, row)
+
+
+def _null_rows_of(path: str, key: str) -> Iterator[dict]:
+    """Rows of a file with a null key, wherever they lie in it."""
+    f = pq.ParquetFile(path)
+    at = _leaf(f, key)
+    for g in range(f.metadata.num_row_groups):
+        s = _statistics(f, g, at)
+        if s is not None and s.null_count == 0:
+            continue
+        for batch in f.iter_batches(batch_size=4096, row_groups=[g]):
+            yield from (row for row in batch.to_pylist() if row[key] is None)
 
 
 def consolidate_files(spark: SparkSession, paths: list[str], key: str, out_dir: str, target: int, ranges: int = 8) -> DataFrame:
     """Merge small Parquet files, each sorted by ``key`` (a string column), into files of about ``target`` bytes.
 
-    One task per key range opens the files whose footer overlaps it, merges them k ways
-    and rolls outputs by bytes. Gives the range metadata: (file, first_key, last_key, n_rows, n_bytes).
-    Duplicates are kept. Output names depend on range and number only, so a repeated task writes the same files.
+    One task per key range opens the files that have keys in it, merges them k ways and rolls
+    outputs by bytes. Gives the range metadata: (file, first_key, last_key, n_rows, n_bytes).
+    Duplicates are kept; rows with a null key, first or last in their file, come first. Files are
+    written once, and their rows are checked against the footers'. Output names depend on range
+    and number only, so a repeated task writes the same files.
     """
     os.makedirs(out_dir, exist_ok=True)
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 200)))
 
     def read_footers(batches):
         for b in batches:
-            rows = _footers(b.column(0).to_pylist(), key)
-            yield pd.DataFrame(rows, columns=["path", "n", "bytes", "lo", "hi"]) if rows else pd.DataFrame(columns=["path", "n", "bytes", "lo", "hi"])
+            yield rows_to_batch(_footers(b.column(0).to_pylist(), key), _FEET)
 
-    feet = listed.mapInArrow(
-        lambda bs: (pa.RecordBatch.from_pandas(d, schema=pa.schema([("path", pa.string()), ("n", pa.int64()), ("bytes", pa.int64()), ("lo", pa.string()), ("hi", pa.string())]), preserve_index=False) for d in read_footers(bs)),
-        "path string, n long, bytes long, lo string, hi string",
-    )
+    # read three times below: written once
+    feet = checkpointed(listed.mapInArrow(read_footers, "path string, n long, bytes long, lo string, hi string, nulls boolean"))
     cuts = feet.where("lo is not null").agg(F.array_sort(F.collect_set("lo")).alias("los")).first()["los"] if len(paths) <= 100_000 else None
     if cuts is None:
         cuts = [r["lo"] for r in feet.where("lo is not null").sample(0.01, seed=7).select("lo").distinct().orderBy("lo").limit(100_000).collect()]
     step = max(1, len(cuts) // max(1, ranges))
     bounds = [None, *cuts[step::step], None]
     spans = spark.createDataFrame([(i, bounds[i], bounds[i + 1]) for i in range(len(bounds) - 1)], "range int, from_key string, to_key string")
-    overlap = feet.join(F.broadcast(spans), (F.col("to_key").isNull() | F.col("lo").isNull() | (F.col("lo") < F.col("to_key"))) & (F.col("from_key").isNull() | (F.col("hi") >= F.col("from_key"))))
+    within = (F.col("to_key").isNull() | (F.col("lo") < F.col("to_key"))) & (F.col("from_key").isNull() | (F.col("hi") >= F.col("from_key")))
+    touches = (F.col("lo").isNotNull() & within) | (F.col("nulls") & F.col("from_key").isNull())
+    overlap = feet.join(F.broadcast(spans), touches)
     work = overlap.groupBy("range").agg(F.first("from_key").alias("lo"), F.first("to_key").alias("hi"), F.array_sort(F.collect_set("path")).alias("paths"))
 
     def merge(pdfs):
@@ -294,7 +339,11 @@ def consolidate_files(spark: SparkSession, paths: list[str], key: str, out_dir:
                 rows += _merge_range(int(r["range"]), list(r["paths"]), key, r["lo"], r["hi"], out_dir, target)
             yield pd.DataFrame(rows, columns=["file", "first_key", "last_key", "n_rows", "n_bytes"])
 
-    return work.repartition("range").mapInPandas(merge, "file string, first_key string, last_key string, n_rows long, n_bytes long")
+    done = checkpointed(work.repartition("range").mapInPandas(merge, "file string, first_key string, last_key string, n_rows long, n_bytes long"))
+    read, written = (x or 0 for x in (feet.agg(F.sum("n")).first()[0], done.agg(F.sum("n_rows")).first()[0]))
+    if read != written:
+        raise ValueError(f"{written} rows were written of {read}")
+    return done
 
 
 def _merge_range(number: int, paths: list[str], key: str, lo, hi, out_dir: str, target: int) -> list[tuple]:
@@ -310,7 +359,8 @@ def _merge_range(number: int, paths: list[str], key: str, lo, hi, out_dir: str,
             done.append((name, rows[0][key], rows[-1][key], len(rows), os.path.getsize(name)))
             rows, held, part = [], 0, part + 1
 
-    for _, row in merge_runs(runs):
+    nulls = (row for p in paths for row in _null_rows_of(p, key)) if lo is None else ()
+    for row in itertools.chain(nulls, (row for _, row in merge_runs(runs))):
         size = len(json.dumps(row, default=str))
         if rows and held + size > target:
             close()
