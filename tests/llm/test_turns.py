@@ -69,3 +69,19 @@ def test_turn_text(spark, speakers):
 
 def test_empty(spark, speakers):
     assert turns.turn_openers(spark.createDataFrame([], SUP), speakers).count() == 0
+
+
+def test_chunks_change_no_turn(spark, speakers):
+    people = ["spk00010001", None, "spk00010002", None, None, None, "?"]
+    said = [(f"i{k:03d}", f"r{k % 2}", float((k * 37) % 90), f"word{k}", people[(k * k) % 7] if k % 5 else None) for k in range(90)]
+    df = spark.createDataFrame(rows(*said), SUP)
+    exp = {}
+    for i, r, start, text, p in sorted(said, key=lambda x: (x[1], x[2], x[0])):
+        p = None if p == "?" else p
+        of = exp.setdefault(r, [])
+        if not of or (p is not None and p != of[-1][2]):
+            of.append([int(start * 1000), i, p, 0, ""])
+        of[-1][3:] = [of[-1][3] + 1, f"{of[-1][4]} {text}".strip()]
+    exp = sorted((r, *turn) for r, of in exp.items() for turn in of)
+    for chunk in (10**9, 20_000, 3_000):
+        assert sorted(tuple(x) for x in turns.turns(df, speakers, chunk).collect()) == exp, chunk

@@ -251,11 +251,11 @@ def turn_openers(supervision: DataFrame, speakers: DataFrame) -> DataFrame:
     return mark_turns(labelled_segments(supervision, speakers, with_text=False)).where("opens").select("recording_id", "id")
 
 
-def turns(supervision: DataFrame, speakers: DataFrame, chunk_ms: int = CHUNK_MS, max_part_ms: int = CHUNK_MS) -> DataFrame:
-    """(recording_id, start_ms, id, person, n_segments, text): the turns in order of start_ms and id, one person each.
+def turns(supervision: DataFrame, speakers: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """(recording_id, start_ms, id, person, n_segments, text): the turns in order of start_ms and id, one row and one person each.
 
-    A turn that runs on over a chunk border goes on as another row of the same ``id``
-    with a later start, so no task gathers an unbounded turn.
+    Segments are put together within their chunks first; the parts of a turn that runs on
+    over chunk borders then meet, one per chunk.
     """
     # read three times below: written once
     marked = checkpointed(mark_turns(labelled_segments(supervision, speakers), chunk_ms))
@@ -267,10 +267,7 @@ def turns(supervision: DataFrame, speakers: DataFrame, chunk_ms: int = CHUNK_MS,
     every = marked.select("recording_id", "chunk").distinct().join(last, ["recording_id", "chunk"], "left")
     carried = every.select("recording_id", "chunk", F.last("o", ignorenulls=True).over(before).alias("carried"))
     full = local.join(carried, ["recording_id", "chunk"]).withColumn("t", F.coalesce("opener", "carried"))
-    parts = full.groupBy("recording_id", "chunk", F.col("t.id").alias("id")).agg(
-        F.min("start_ms").alias("start_ms"),
-        F.max("person").alias("person"),
-        F.count(F.lit(1)).alias("n_segments"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "id", "text"))), lambda x: x["text"]), " ").alias("text"),
-    )
-    return parts.select("recording_id", "start_ms", "id", "person", "n_segments", "text")
+    joined = lambda place: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place, "text"))), lambda x: x["text"]), " ").alias("text")
+    parts = full.groupBy("recording_id", "chunk", "t").agg(F.count(F.lit(1)).alias("n"), joined(["start_ms", "id"]))
+    whole = parts.groupBy("recording_id", "t").agg(F.sum("n").alias("n_segments"), joined(["chunk"]))
+    return whole.select("recording_id", "t.start_ms", "t.id", "t.person", "n_segments", "text")
