@@ -68,3 +68,11 @@ def test_operator_has_two_ways(spark):
     b = {tuple(r) for r in sentences(df, small=-1 + 1).select("doc_id", "start_char").collect()}
     assert a == b and len(a) == 90
     assert sentences(df.limit(0)).count() == 0
+
+
+def test_each_part_of_a_text_keeps_the_rule_of_its_script():
+    latin = ["The tape was started again after the second break and the", "crew stayed in the studio until the last reel was done."]
+    chinese = ["现场小组在同一段录音里重复了三遍测试并且记录了全部的数值和时间以及每一个频道的编号还有所有设备的名称", "第二天早上他们又从头开始录制新的磁带并且检查了每一个频道的声音和电平以及所有设备的连接是否正常可用"]
+    for k in (1, 30):
+        assert cut("\n\n".join(["\n".join(latin)] * k + ["\n".join(chinese)])) == ["\n".join(latin)] * k + chinese
+        assert cut("\n\n".join(["\n".join(chinese)] * k + ["\n".join(latin)])) == chinese * k + ["\n".join(latin)]

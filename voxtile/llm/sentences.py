@@ -79,6 +79,8 @@ _LABEL = re.compile(r"\s*[^\W\d_][\w'’-]{0,30}(?: [\w.'’-]{1,20}){0,2}\s?[:
 _FILE = re.compile(r"[\w-]*[\d_-][\w-]*(?:\.\w+)+|\w+\.(?:wav|flac|sph|mp3|json|jsonl|gz|txt|csv|tar|yaml|parquet)\b")
 _UNSPACED = re.compile(r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
+_LETTER = re.compile(r"[^\W\d_]")
+
 
 def _is_cjk(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿"
@@ -123,6 +125,12 @@ _THAI_GAP = re.compile(r"(?<=[\u0e00-\u0e7f])[ \u00a0]+(?=[\u0e00-\u0e7f“(])")
 _ENDS = re.compile(r"[.!?…。！？｡．؟।॥۔‼⁇⁈⁉;][\"'”’“»›」』）)\]】}\s]*$")
 
 
+def _unspaced(near: list[tuple[int, int]], whole: list[tuple[int, int]]) -> bool:
+    """Whether a script without spaces prevails in two neighbouring lines, or in the whole text where they have no letter."""
+    found = near if any(map(any, near)) else whole
+    return sum(u for u, _ in found) * 3 > sum(n for _, n in found)
+
+
 def _blocks(doc: _Document) -> list[tuple[int, int]]:
     """Runs of lines between hard breaks: (start, end) in the text."""
     text = doc.text
@@ -132,8 +140,7 @@ def _blocks(doc: _Document) -> list[tuple[int, int]]:
         return [lines[0]]
     width = max(map(len, stripped))
     ended = [bool(_ENDS.search(s)) for s in stripped]
-    sample = text[:2000]  # only tells which script prevails
-    unspaced = len(_UNSPACED.findall(sample)) * 3 > len(re.findall(r"[^\W\d_]", sample))
+    scripts = [(len(_UNSPACED.findall(s)), len(_LETTER.findall(s))) for s in stripped]
     inner = any(re.search(r"[.!?…؟।][\"”’»)]*\s", s) for s in stripped)
     caption_like = not any(ended) and not inner
     out, start = [], None
@@ -146,7 +153,7 @@ def _blocks(doc: _Document) -> list[tuple[int, int]]:
         if start is None:
             start = a
         soft = False
-        if i + 1 < len(lines) and stripped[i + 1] and not unspaced and len(s) >= 40 and len(s) >= 0.6 * width:
+        if i + 1 < len(lines) and stripped[i + 1] and len(s) >= 40 and len(s) >= 0.6 * width and not _unspaced(scripts[i : i + 2], scripts):
             below = stripped[i + 1]
             if ended[i]:
                 # a stop at the line's end may be an abbreviation's: what follows decides
