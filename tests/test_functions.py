@@ -115,3 +115,12 @@ def test_schedule_and_masks(spark):
     assert value(spark, S.length_mask(F.lit(2), F.lit(3))) == [True, True, False]
     assert value(spark, F.size(S.padded(F.array(F.lit(1.0).cast("float")), F.lit(4)))) == 4
     assert value(spark, S.sliced(F.array(*[F.lit(float(i)) for i in range(10)]), F.lit(0.2), 0.1, F.lit(0.3))) == [2.0, 3.0, 4.0]
+
+
+def test_characters_of_repeated_and_null_keys(spark):
+    rows = [("a", "aba"), ("a", "aba"), ("a", "bc"), (None, "cab"), ("b", ""), ("c", None), ("d", "axa")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    vocab = T.vocabulary(spark.createDataFrame([("abc",)], "text string"), "text")
+    got = sorted(((r.id, r.ids) for r in T.encoded_characters(df, "text", vocab).collect()), key=repr)
+    of = {"a": 4, "b": 5, "c": 6}
+    assert got == sorted(((i, [2, *[of.get(c, 1) for c in t], 3]) for i, t in rows if t is not None), key=repr)

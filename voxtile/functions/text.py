@@ -90,11 +90,12 @@ def encoded_characters(df: DataFrame, text: str, vocab: DataFrame, key: str = "i
     """(key, ids): character ids of each text between the marks of its begin and end; characters outside the vocabulary are <unk>.
 
     A text's characters meet the vocabulary in one join, made distinct per text before it.
+    Texts are told apart by their digest, so repeated and null keys give a row for each of their texts.
     """
     special = {r["token"]: r["token_id"] for r in vocab.where(F.col("token").isin("<pad>", "<unk>", "<bos>", "<eos>")).collect()}
-    chars = df.where(F.col(text).isNotNull()).select(key, F.filter(F.split(text, ""), lambda x: x != "").alias("__c"))
-    wide = chars.select(key, F.explode(F.array_distinct("__c")).alias("token")).join(vocab, "token")
-    per = wide.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("__m"))
+    chars = df.where(F.col(text).isNotNull()).select(key, F.sha2(text, 256).alias("__t"), F.filter(F.split(text, ""), lambda x: x != "").alias("__c"))
+    wide = chars.select("__t", F.explode(F.array_distinct("__c")).alias("token")).distinct().join(vocab, "token")
+    per = wide.groupBy("__t").agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("__m"))
     ids = F.transform("__c", lambda c: F.coalesce(F.try_element_at("__m", c), F.lit(special["<unk>"]).cast("long")))
     one = lambda name, on: F.array(F.lit(special[name]).cast("long")) if on else F.expr("cast(array() as array<bigint>)")
-    return chars.join(per, key, "left").select(key, F.concat(one("<bos>", bos), F.coalesce(ids, F.expr("cast(array() as array<bigint>)")), one("<eos>", eos)).alias("ids"))
+    return chars.join(per, "__t", "left").select(key, F.concat(one("<bos>", bos), F.coalesce(ids, F.expr("cast(array() as array<bigint>)")), one("<eos>", eos)).alias("ids"))
