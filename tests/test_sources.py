@@ -234,3 +234,11 @@ def test_bundles(spark, tmp_path):
     assert archives.write_tar_index(spark, tars).agg(F.sum("n")).first()[0] == 23 and all(archives.index_is_fresh(t) for t in tars)
     parts = [archives.shard_order(10, 3, 1, r, 3) for r in range(3)]
     assert sorted(sum(parts, [])) == list(range(10))
+
+
+def test_noise_reaches_the_end_of_a_long_cut(spark):
+    from voxtile.operators import mixing
+
+    c = spark.createDataFrame([("a", 0.0, 11.0, 0, []), ("b", 0.0, 0.001, 0, [])], "id string, start double, duration double, channel int, supervisions array<struct<id:string>>")
+    last = mixing.mix_noise(c, c.where("id = 'b'"), 10.0).where("id = 'a'").first().tracks[-1]
+    assert round(last.offset + last.cut.duration, 8) == 11.0

@@ -6,7 +6,7 @@ position, so neither set is held in memory.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtile.functions.timeops import hash_int, r8, uniform
@@ -28,7 +28,8 @@ def mix_noise(cuts: DataFrame, noise: DataFrame, snr: float | tuple[float, float
     """(id, duration, tracks): each cut with noises one after another over its whole length, with a chance of ``mix_prob``.
 
     The last noise is cut where the cut ends. How many noises a cut is offered follows
-    from the shortest noise, and those that would begin beyond its end are dropped.
+    from the shortest noise, and those that would begin beyond its end are dropped before
+    they are gathered.
     """
     placed = with_position(noise.where("duration > 0").select("id", "start", "duration", "channel", "supervisions"), "id")
     size = placed.agg(F.count(F.lit(1)).alias("n"), F.min("duration").alias("least")).first()
@@ -36,20 +37,16 @@ def mix_noise(cuts: DataFrame, noise: DataFrame, snr: float | tuple[float, float
     if not size["n"]:
         return cuts.select("id", "duration", tracks.alias("tracks"))
     chosen = uniform("id", seed) < mix_prob
-    offers = F.least(F.ceil(F.col("duration") / F.lit(size["least"])), F.lit(10_000)).cast("int")
-    wide = cuts.where(chosen & (F.col("duration") > 0)).select(F.col("id").alias("cut_id"), F.col("duration").alias("cut_duration"), F.explode(F.sequence(F.lit(1), offers)).alias("k"))
+    offers = F.ceil(F.col("duration") / F.lit(size["least"])).cast("long")
+    wide = cuts.where(chosen & (F.col("duration") > 0)).select(F.col("id").alias("cut_id"), F.col("duration").alias("cut_duration"), F.explode(F.sequence(F.lit(1).cast("long"), offers)).alias("k"))
     wide = wide.withColumn("_pos", F.pmod(hash_int(F.concat_ws("/", "cut_id", F.col("k").cast("string")), seed + 1), F.lit(size["n"])))
-    found = wide.join(placed, "_pos").groupBy("cut_id", "cut_duration").agg(F.array_sort(F.collect_list(F.struct("k", F.struct("id", "start", "duration", "channel", "supervisions").alias("cut")))).alias("c"))
-    ratio = snr_of("cut_id", snr, seed + 2)
-    zero = F.expr("cast(array() as array<double>)")
-    offsets = F.aggregate("c", F.struct(zero.alias("o"), F.lit(0.0).alias("at")), lambda acc, x: F.struct(F.concat(acc["o"], F.array(acc["at"])).alias("o"), r8(acc["at"] + x["cut"]["duration"]).alias("at")), lambda acc: acc["o"])
-
-    def track(x: Column, o: Column) -> Column:
-        cut = x["cut"].withField("duration", F.least(x["cut"]["duration"], r8(F.col("cut_duration") - o)))
-        return F.struct(o.alias("offset"), ratio.alias("snr"), F.lit("noise").alias("tag"), cut.alias("cut"))
-
-    noises = F.filter(F.zip_with("c", offsets, track), lambda t: t["offset"] < F.col("cut_duration"))
-    per = found.select(F.col("cut_id").alias("id"), noises.alias("noises"))
+    before = Window.partitionBy("cut_id", "cut_duration").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    found = wide.join(placed, "_pos").withColumn("offset", r8(F.coalesce(F.sum("duration").over(before), F.lit(0.0)))).where("offset < cut_duration")
+    length = F.least("duration", r8(F.col("cut_duration") - F.col("offset")))
+    cut = F.struct("id", "start", length.alias("duration"), "channel", "supervisions")
+    track = F.struct("offset", snr_of("cut_id", snr, seed + 2).alias("snr"), F.lit("noise").alias("tag"), cut.alias("cut"))
+    per = found.groupBy("cut_id", "cut_duration").agg(F.array_sort(F.collect_list(F.struct("k", track.alias("track")))).alias("c"))
+    per = per.select(F.col("cut_id").alias("id"), F.transform("c", lambda x: x["track"]).alias("noises"))
     out = cuts.join(per, "id", "left")
     return out.select("id", "duration", F.when(F.col("noises").isNotNull(), F.concat(tracks, "noises")).otherwise(tracks).alias("tracks"))
 
