@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtile.session import finite, first_delivery, keyed_stream, rows_to_batch, whole_ms
+from voxtile.session import SEGMENT_FIELDS, finite, first_delivery, keyed_stream, rows_to_batch, whole_ms
 
 CHUNK_MS = 600_000
 MAX_GAP_MS = 600_000
@@ -48,8 +48,7 @@ class IntervalMap:
 
 def segment_spans(supervision: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """(recording_id, start_ms, end_ms, id, extra...) of the segments that take part."""
-    cols = ["id", "recording_id", "start", "duration", *(extra or [])]
-    segs = first_delivery(supervision, "id", "received_at", cols)
+    segs = first_delivery(supervision, SEGMENT_FIELDS, ["recording_id", "start", "duration", *(extra or [])])
     return (
         segs.where(F.col("recording_id").isNotNull() & (finite(F.col("duration")) > 0))
         .withColumn("start_ms", whole_ms(F.col("start")))

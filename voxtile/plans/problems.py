@@ -11,7 +11,7 @@ from voxtile.session import table
 
 def settings(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     """job_settings holds eight fixed rows."""
-    return {r["name"]: r["amount"] for r in table(spark, sf_dir, "job_settings").limit(100).collect()}
+    return {r["name"]: r["amount"] for r in table(spark, sf_dir, "job_settings").collect()}
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +48,12 @@ def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_shards, p2_ranges, p3_found, p3_periods, p3_coverage)}
 
 _SPANS = """
-WITH first AS (SELECT id, min((received_at, recording_id, "start", duration)) AS r FROM supervision
-               WHERE id IS NOT NULL GROUP BY id),
-spans AS (SELECT r[2] AS recording_id, CAST(round(r[3] * 1000) AS BIGINT) AS s,
-                 CAST(round((r[3] + r[4]) * 1000) AS BIGINT) AS e
-          FROM first WHERE r[2] IS NOT NULL AND r[3] IS NOT NULL AND r[4] > 0),
+WITH ranked AS (SELECT *, CAST(recording_id IS NULL AS INT) + CAST("start" IS NULL AS INT) + CAST(duration IS NULL AS INT)
+                          + CAST(text IS NULL AS INT) + CAST(language IS NULL AS INT) + CAST(speaker IS NULL AS INT) AS nulls FROM supervision),
+first AS (SELECT id, min((nulls, received_at, recording_id, "start", duration)) AS r FROM ranked WHERE id IS NOT NULL GROUP BY id),
+spans AS (SELECT r[3] AS recording_id, CAST(round(r[4] * 1000) AS BIGINT) AS s,
+                 CAST(round((r[4] + r[5]) * 1000) AS BIGINT) AS e
+          FROM first WHERE r[3] IS NOT NULL AND r[4] IS NOT NULL AND r[5] > 0),
 marked AS (SELECT *, max(e) OVER (PARTITION BY recording_id ORDER BY s, e
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM spans),
 numbered AS (SELECT *, sum(CASE WHEN edge IS NULL OR s > edge THEN 1 ELSE 0 END)

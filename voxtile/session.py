@@ -47,20 +47,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def first_delivery(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
-    """One row per key: of repeated deliveries the most complete, then the earliest (ties: the smallest row).
+#: The fields whose nulls tell how complete a delivery is; one list for all callers, so that all choose the same one.
+SEGMENT_FIELDS = ("recording_id", "start", "duration", "text", "language", "speaker")
+RECORDING_FIELDS = ("sampling_rate", "num_samples", "duration", "sources")
 
-    The minimum of a struct is aggregated before the shuffle, so a key with very
-    many deliveries costs one row per input partition. Rows with a null key are dropped.
+
+def delivered(df: DataFrame, fields: tuple[str, ...], order: str = "received_at") -> DataFrame:
+    """Adds ``__rank``: fewest nulls in the fields that the table has, then the earliest, then a hash of the fields."""
+    have = [c for c in fields if c in df.columns]
+    nulls = sum((F.col(c).isNull().cast("int") for c in have), F.lit(0))
+    return df.withColumn("__rank", F.struct(nulls.alias("nulls"), F.col(order).alias("order"), F.xxhash64(*have).alias("hash")))
+
+
+def first_of(ranked: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """One row per key: the one of least ``__rank`` (ties: the smallest row). Rows with a null key are dropped.
+
+    The minimum of a struct is aggregated before the shuffle, so a key with very many
+    deliveries costs one row per input partition.
     """
-    rest = [c for c in cols if c != key]
-    nulls = sum((F.col(c).isNull().cast("int") for c in rest), F.lit(0))
-    picked = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min(F.struct(nulls.alias("__nulls"), F.col(order).alias("__order"), *rest)).alias("__row"))
-    )
-    return picked.select(key, *[F.col(f"__row.{c}").alias(c) for c in rest])
+    picked = ranked.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("__rank", *cols)).alias("__row"))
+    return picked.select(key, *[F.col(f"__row.{c}").alias(c) for c in cols])
+
+
+def first_delivery(df: DataFrame, fields: tuple[str, ...], cols: list[str], key: str = "id") -> DataFrame:
+    """One row per key: of repeated deliveries the most complete, then the earliest."""
+    return first_of(delivered(df, fields), key, cols)
 
 
 def finite(c: Column) -> Column:
