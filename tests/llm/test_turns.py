@@ -85,3 +85,36 @@ def test_chunks_change_no_turn(spark, speakers):
     exp = sorted((r, *turn) for r, of in exp.items() for turn in of)
     for chunk in (10**9, 20_000, 3_000):
         assert sorted(tuple(x) for x in turns.turns(df, speakers, chunk).collect()) == exp, chunk
+
+
+def _layouts(df, speakers):
+    return turns.told_layouts(turns.mine_layouts(df.withColumn("said", turns.label_key_udf("speaker")), turns.registry_keys(speakers)))
+
+
+def test_layouts_are_mined_from_the_values(spark, speakers):
+    said = [(f"a{k}", "r", float(k), f"Vanik Klemebrám | so it went on {k}", None) for k in range(6)]
+    said += [(f"b{k}", "r", 60.0 + k, f"00:01:{k:02d} Risen Muporont: hello again", None) for k in range(6)]
+    said += [(f"c{k}", "r", 100.0 + k, f"[Static hum] words {k}", "spk00010001") for k in range(6)]
+    said += [(f"d{k}", "r", 200.0 + k, f"it took {k}.25 seconds", "spk00010001") for k in range(6)]
+    kinds = _layouts(spark.createDataFrame(rows(*said), SUP), speakers).kinds
+    assert kinds["none|word|2||"] == "speaker" and kinds["none|word|2|:"] == "speaker"
+    assert kinds["|#:#:#|"] == "time" and kinds["|#.#|"] == "text" and kinds["[|word|2|]"] == "text"
+
+
+def test_a_layout_takes_labels_that_the_registry_lacks(spark, speakers):
+    said = [(f"a{k}", "r", float(k), "00:00:0%d Vanik Klemebrám: yes" % k, None) for k in range(8)]
+    said += [("u", "r", 8.0, "00:00:08 Bob Jones: well then 00:00:09 Vanik Klemebrám: no", None), ("v", "r", 9.0, "Note: it ends", None), ("w", "r", 10.0, "[Static hum] more", None)]
+    df = spark.createDataFrame(rows(*said), SUP)
+    got = [(r.id, r.person, r.text) for r in turns.turns(df, speakers).orderBy("start_ms").collect()]
+    assert got == [("a0", "spk00010002", " ".join(["yes"] * 8)), ("u", "n:bob jones", "well then no Note: it ends more")]
+
+
+def test_what_the_leaves_hold_decides(spark, speakers):
+    said = [("a", "r", 1.0, "Vanik Klemebrám: yes", None), ("b", "r", 2.0, "Risen Muporont: no", None), ("c", "r", 3.0, "[Green Hall] more", None), ("d", "r", 4.0, "Vanik Klemebrám: yes", None)]
+    df = spark.createDataFrame(rows(*said), SUP)
+    mined = _layouts(df, speakers)
+    found = {}
+    for kind in (None, "speaker", "text", "time"):
+        forced = mined if kind is None else turns.Layouts({path: kind for path in mined.kinds})
+        found[kind] = {r.id for r in turns.mark_turns(turns.labelled_segments(df, speakers, False, forced)).where("opens").collect()}
+    assert found == {None: {"a", "b", "d"}, "speaker": {"a", "b", "c", "d"}, "text": {"a"}, "time": {"a"}}

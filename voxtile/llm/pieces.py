@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtile.operators.coverage import IntervalMap, segment_spans, silences
-from voxtile.session import finite, first_delivery, keyed_stream, rows_to_batch
+from voxtile.session import RECORDING_FIELDS, finite, first_delivery, keyed_stream, rows_to_batch
 
 SECTION_MS = 3_600_000
 BLOCK = 4
@@ -145,7 +145,7 @@ def _section_state(piece_max: int, overlap: int):
 
 def recording_ends(audio: DataFrame) -> DataFrame:
     """(recording_id, end_ms): num_samples / sampling_rate or, where that is absent, the duration; above zero."""
-    a = first_delivery(audio, "id", "received_at", ["id", "sampling_rate", "num_samples", "duration"])
+    a = first_delivery(audio, RECORDING_FIELDS, ["sampling_rate", "num_samples", "duration"])
     by_samples = F.when((F.col("sampling_rate") > 0) & F.col("num_samples").isNotNull(), F.col("num_samples") * 1000.0 / F.col("sampling_rate"))
     end = F.coalesce(by_samples, finite(F.col("duration")) * 1000.0)
     return a.select(F.col("id").alias("recording_id"), end.alias("rec_end")).where("rec_end > 0")

@@ -81,18 +81,21 @@ QUERIES = {
 }
 
 _FIRST = """
-WITH first AS (SELECT id, min((received_at, recording_id, "start", duration)) AS r FROM supervision
-               WHERE id IS NOT NULL GROUP BY id),
-spans AS (SELECT r[2] AS recording_id, CAST(round(r[3] * 1000) AS BIGINT) AS s,
-                 CAST(round((r[3] + r[4]) * 1000) AS BIGINT) AS e
-          FROM first WHERE r[2] IS NOT NULL AND r[3] IS NOT NULL AND r[4] > 0),
+WITH ranked AS (SELECT *, CAST(recording_id IS NULL AS INT) + CAST("start" IS NULL AS INT) + CAST(duration IS NULL AS INT)
+                          + CAST(text IS NULL AS INT) + CAST(language IS NULL AS INT) + CAST(speaker IS NULL AS INT) AS nulls FROM supervision),
+first AS (SELECT id, min((nulls, received_at, recording_id, "start", duration)) AS r FROM ranked WHERE id IS NOT NULL GROUP BY id),
+spans AS (SELECT r[3] AS recording_id, CAST(round(r[4] * 1000) AS BIGINT) AS s,
+                 CAST(round((r[4] + r[5]) * 1000) AS BIGINT) AS e
+          FROM first WHERE r[3] IS NOT NULL AND r[4] IS NOT NULL AND r[5] > 0),
 marked AS (SELECT *, max(e) OVER (PARTITION BY recording_id ORDER BY s, e
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM spans),
 numbered AS (SELECT *, sum(CASE WHEN edge IS NULL OR s > edge THEN 1 ELSE 0 END)
                        OVER (PARTITION BY recording_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM marked),
 periods AS (SELECT recording_id, min(s) AS s, max(e) AS e FROM numbered GROUP BY recording_id, n),
-heard AS (SELECT id, min((received_at, sampling_rate, num_samples, duration)) AS r FROM audio WHERE id IS NOT NULL GROUP BY id),
-ends AS (SELECT id, coalesce(CASE WHEN r[2] > 0 THEN r[3] * 1000.0 / r[2] END, r[4] * 1000) AS stop FROM heard)
+heard AS (SELECT id, min((CAST(sampling_rate IS NULL AS INT) + CAST(num_samples IS NULL AS INT) + CAST(duration IS NULL AS INT)
+                         + CAST(sources IS NULL AS INT), received_at, sampling_rate, num_samples, duration)) AS r
+          FROM audio WHERE id IS NOT NULL GROUP BY id),
+ends AS (SELECT id, coalesce(CASE WHEN r[3] > 0 THEN r[4] * 1000.0 / r[3] END, r[5] * 1000) AS stop FROM heard)
 """
 
 ORACLES = {

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtile.llm.people import label_key_udf, resolve
-from voxtile.session import checkpointed, first_delivery
+from voxtile.session import SEGMENT_FIELDS, checkpointed, first_delivery
 
 LARGE = 1000
 CELLS = 256
@@ -92,7 +92,7 @@ def _place_large(large: list, shares: list[tuple[str, float]], totals: dict[str,
 def assign_splits(supervision: DataFrame, speakers: DataFrame, shares: dict[str, float], groups: DataFrame | None = None) -> DataFrame:
     """(id, recording_id, split): one split per segment, the same for all that share a recording or a person."""
     groups = connected_groups(record_entities(supervision, speakers)) if groups is None else groups
-    segs = first_delivery(supervision, "id", "received_at", ["id", "recording_id", "language"]).where("recording_id is not null")
+    segs = first_delivery(supervision, SEGMENT_FIELDS, ["recording_id", "language"]).where("recording_id is not null")
     lang = F.coalesce(F.lower(F.substring(F.trim("language"), 1, 2)), F.lit("?"))
     per = segs.groupBy("recording_id", lang.alias("k")).agg(F.count(F.lit(1)).alias("n"))
     per = per.join(groups.withColumnRenamed("record", "recording_id"), "recording_id", "left").withColumn("label", F.coalesce("label", "recording_id"))

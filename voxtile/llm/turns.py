@@ -1,39 +1,50 @@
 """Speech transcripts into clean, ordered speaker turns (problem 1).
 
-Method: layouts are mined by a token tree of fixed depth. Time stamps and sound notes that
-stand before a label are masked first; then the head of a text is walked down three
-levels: the opener, the shape of the words up to the closer, and the closer. Leaves count
-over the whole corpus how often their slot holds a label that the registry or the roles
-explain, and how often a time; a leaf whose slot is mostly explained is a speaker slot.
-A layout applies to a text only where its slot's value is itself explained, so a heading
-such as "Note:" stays text. Extraction takes the label from the slot, cleaning drops time
-stamps, sound notes and fillers, and merging opens a turn at the first segment of a
-recording and wherever the person differs from the last known one.
-
-Scale: the tree's paths are combinations of 7 openers, 6 shapes and 6 closers, at most
-252, so its statistics are small whatever the corpus; counting aggregates before the
-shuffle. Turns look back within a time chunk of the recording, and a summary with one row
-per recording and chunk carries the last known person from chunk to chunk, so a recording
-with a third of all rows is spread over many tasks.
+Method: line templates are mined by a token tree of fixed depth. A head of a text is
+tokenised into delimiters and slots and walked down four levels: the opener, the class of
+the slot's tokens (those with digits are wildcards), their number, and the closer; numbers
+with separators anywhere in a text go down the same tree by their delimiters and format.
+Leaves count over the whole corpus what their slot holds: how many of its values are
+explained by the registry, the roles or the row's own ``speaker``, and how many agree with
+the segment's time. From the values each leaf's slot is inferred: "speaker", "mixed",
+"time" or "text".
+
+Extraction goes by layout. In a speaker leaf any name, identifier or role is the label,
+whether the registry has it or not; in a mixed leaf only values that are explained; in a
+text leaf none. Time leaves are dropped wherever they stand, with a label that follows
+them inside a text. Cleaning also drops sound notes and fillers, and merging opens a turn
+at the first segment of a recording and wherever the person differs from the last known
+one.
+
+Scale: mining counts (leaf, label) before its shuffle, and only leaves with more than
+1/10,000 of all counts are told to the tasks, so fewer than 10,000; values of rarer leaves
+count as mixed. Turns look back within a time chunk of the recording, and a summary with
+one row per recording and chunk carries the last known person from chunk to chunk, so a
+recording with a third of all rows is spread over many tasks. Labels meet the registry in
+salted parts.
 
 Defined results: null ids, null recording ids and starts that are absent or not finite
 take no part; a null, empty or blank text has no spoken word; ties in start go by id;
 repeated deliveries of one id count once; empty tables give empty results; extra columns
-are ignored.
+are ignored; a label of a speaker leaf that the registry does not know is a person of its
+own, by its key.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtile.llm.people import label_key, label_key_udf, registry_keys
-from voxtile.session import checkpointed, first_delivery, spread, whole_ms
+from voxtile.session import SEGMENT_FIELDS, checkpointed, delivered, first_of, spread, whole_ms
 
 CHUNK_MS = 600_000
 MIN_SHARE = 0.5
@@ -63,11 +74,6 @@ _FILLER = {code: frozenset(words.split()) for code, words in FILLERS.items()}
 _ANY_FILLER = frozenset().union(*_FILLER.values())
 _UNSPACED = sorted((w for c in ("zh", "ja", "th") for w in _FILLER[c]), key=len, reverse=True)
 
-_TIME = r"\d{1,3}(?::\d{2}){1,2}(?:[.,]\d{1,3})?"
-_STAMP = re.compile(
-    rf"[\[({{<]\s*(?:{_TIME}|\d+(?:\.\d+)?\s*s|\d+\.\d+)(?:\s*-->\s*{_TIME})?\s*[\])}}>]"
-    rf"|@\s?{_TIME}|{_TIME}\s*-->(?:\s*{_TIME})?"
-)
 # What the notes in round brackets are about; other round brackets are spoken asides.
 _SOUNDS = (
     r"(?:\b(?:laugh|cough|sigh|breath|inhal|exhal|sniff|sneez|throat|clears|nois|music|applau|clap|door|phone|pause|silence|inaudible"
@@ -79,56 +85,162 @@ _NOTE = re.compile(
     rf"|[(（][^()（）]*(?:{_SOUNDS})[^()（）]*[)）]",
     re.IGNORECASE,
 )
-# The head of a text: opener, slot, closer.
-_HEAD = re.compile(
-    r"(?P<open>>>\s*|)(?:\[(?P<a>[^\[\]\n]{1,60})\]|<(?P<b>[^<>\n]{1,60})>|(?P<c>[^:：\[\]<>{}\n]{1,60}?)(?P<colon>\s?[:：])|(?P<d>[^:\[\]<>{}\n]{1,60}?)(?P<dash>\s+[-–—](?:\s+|$)))"
+# A number with separators or a unit, and the delimiters around it; a range "from --> to" is one item.
+_NUMBER = r"\d+(?:[:.,]\d+){1,3}(?:\s?s\b)?|\d+\s?s\b"
+_ITEM = re.compile(
+    rf"(?P<o>(?P<open>[\[({{<【（]{{1,2}}\s*)|[@#]\s?|(?<![\w:])(?<!\d[.,]))(?P<v>{_NUMBER})(?P<to>\s*-->(?:\s*(?:{_NUMBER})(?![\w]))?)?"
+    r"(?P<c>(?(open)\s*[\])}>】）]{1,2}|(?(to)|(?![\w:]))))"
+)
+# A slot between an opener and a closer: in brackets, or up to a delimiter.
+_SLOT = re.compile(
+    r"(?P<o>[>*#|•~=+]{0,2}\s*)"
+    r"(?:(?P<open>[\[<{【]{1,2}|(?P<round>[(（]{1,2}))\s*(?P<a>[^\s\[\]<>{}()（）【】\n][^\[\]<>{}【】\n]{0,59}?)\s*(?P<close>(?(round)[)）]{1,2}|[\]}>】]{1,2})(?:\s?[:：])?)"
+    r"|(?P<b>[^\W_][^\n:：|=>→\[\]<>{}（）【】♪*~]{0,59}?)(?P<end>\s?[:：](?!\d)|\s*(?:\|{1,2}|=>?|→|>{1,2})|\s+[-–—](?:\s+|$)))"
 )
-_WORD = re.compile(r"[\w'’\-]+")
+_NAME_WORD = re.compile(r"(?:[^\W\d_]\.?|[^\W\d_][\w'’\-]*|(?:Dr|Prof|Mr|Mrs|Ms|Mx)\.)")
+# Words that head a line and name nobody.
+HEADINGS = frozenset("note notes warning summary question answer q example topic title subject date time place remark remarks todo update chapter part section".split())
+
+
+def seconds_of(value: str) -> float | None:
+    """A clock or a decimal in seconds; None where its minutes or seconds exceed 59."""
+    whole = value.rstrip("s ").replace(",", ".").split(":")
+    try:
+        parts = [float(x) for x in whole]
+    except ValueError:
+        return None
+    if any(x >= 60 for x in parts[1:]) or len(parts) > 3:
+        return None
+    total = 0.0
+    for x in parts:
+        total = total * 60 + x
+    return total
+
 
+def _item_path(m: re.Match) -> str:
+    number = re.sub(r"\d+", "#", m["v"]).replace(" ", "")
+    return f"{m['o'].strip()}|{number}|{'-->' if m['to'] else ''}{m['c'].strip()}"
 
-def _shape(slot: str) -> str:
-    words = slot.split()
+
+def _token_class(slot: str) -> str:
+    """The class of a slot's tokens and their number: the inner levels of the tree."""
+    tokens = slot.split()
     if any(c.isdigit() for c in slot):
-        return "number" if not any(c.isalpha() for c in slot) else "identifier"
-    if len(words) == 1:
-        return "joined" if "_" in slot else "word"
-    return "words" if len(words) <= 3 else "phrase"
+        kind = "*" if any(c.isalpha() for c in slot) else "#"
+    else:
+        kind = "joined" if len(tokens) == 1 and "_" in slot else "word"
+    return f"{kind}|{min(len(tokens), 4)}"
+
+
+class Layouts:
+    """What the slots of the mined leaves hold; leaves that are not known count by their form."""
+
+    def __init__(self, kinds: dict[str, str] | None = None):
+        self.kinds = kinds or {}
+
+    def is_time(self, m: re.Match) -> bool:
+        kind = self.kinds.get(_item_path(m))
+        if kind is not None:
+            return kind == "time"
+        delimited = bool(m["o"].strip() or m["to"] or m["c"].strip())
+        return delimited and seconds_of(m["v"]) is not None
+
+    def of_slot(self, path: str) -> str:
+        return self.kinds.get(path, "mixed")
 
 
-def head_layout(text: str) -> tuple[str, str, int] | None:
-    """(path in the tree, slot value, end of the head) of a text whose stamps and notes before the label are skipped."""
+def _is_sound(slot: str) -> bool:
+    return re.search(_SOUNDS, slot.replace("_", " ").replace("/", " "), re.I) is not None
+
+
+def _slot_at(text: str, at: int) -> tuple[str, str, int] | None:
+    """(path, slot, end) of the layout that begins at a place."""
+    m = _SLOT.match(text, at)
+    if m is None:
+        return None
+    slot = (m["a"] if m["a"] is not None else m["b"]).strip()
+    opener = m["o"].strip() + (m["open"] or "")
+    closer = (m["close"] or m["end"]).replace(" ", "").replace("：", ":").strip()
+    closer = "-" if closer in "–—-" else closer
+    return f"{opener or 'none'}|{_token_class(slot)}|{closer}", slot, m.end()
+
+
+def head_slots(text: str, layouts: Layouts | None = None) -> Iterator[tuple[str, str, int]]:
+    """(path, slot, end) of the layouts at the head of a text, first to last.
+
+    Numbers with delimiters are passed over, or with mined layouts those that are times;
+    bracketed slots may stand one after another, a slot that is not bracketed is the last.
+    """
     at = 0
     while True:
         while at < len(text) and text[at].isspace():
             at += 1
-        if m := _STAMP.match(text, at):
+        m = _ITEM.match(text, at)
+        if m and (layouts is None or layouts.is_time(m)):
             at = m.end()
             continue
-        m = _HEAD.match(text, at)
-        if m:
-            slot = next(g for g in (m["a"], m["b"], m["c"], m["d"]) if g is not None).strip()
-            opener = (">>" if m["open"] else "") + ("[" if m["a"] is not None else "<" if m["b"] is not None else "")
-            closer = "]" if m["a"] is not None else ">" if m["b"] is not None else ":" if m["c"] is not None else "-"
-            if label_key(slot) is None or (closer in "]>" and re.search(_SOUNDS, slot.replace("_", " "), re.I)):
-                if (n := _NOTE.match(text, at)) is not None:
-                    at = n.end()
-                    continue
-                return None
-            return f"{opener or 'none'}|{_shape(slot)}|{closer}", slot, m.end()
+        found = _slot_at(text, at)
+        if found is not None:
+            yield found
+            if found[0].rsplit("|", 1)[1][:1] in "])}>）】":
+                at = found[2]
+                continue
+            return
         if n := _NOTE.match(text, at):
             at = n.end()
             continue
-        return None
+        return
+
+
+def _may_be_label(slot: str) -> bool:
+    """Whether a slot's value looks like a name or an identifier, and not like a heading or a clause."""
+    words = slot.replace(",", " ").replace("_", " ").split()
+    if not words or len(words) > 4 or slot.casefold() in HEADINGS or _is_sound(slot):
+        return False
+    if any(c.isdigit() for c in slot):
+        return len(words) <= 3 and any(c.isalpha() for c in slot)
+    return all(_NAME_WORD.fullmatch(w) and not w[0].islower() for w in words)
+
+
+def label_of(text: str, layouts: Layouts) -> tuple[str | None, bool, int]:
+    """(key, sure, end of the head): the label at the head; ``sure`` where its leaf decides, else the registry has to know the key."""
+    maybe = sound = None
+    for path, slot, end in head_slots(text, layouts):
+        kind = layouts.of_slot(path)
+        if kind not in ("speaker", "mixed") or (key := label_key(slot)) is None:
+            continue
+        if (key.startswith("role:") and not _is_sound(slot)) or (kind == "speaker" and _may_be_label(slot)):
+            return key, True, end
+        # a name may begin like a sound: the registry tells
+        if _is_sound(slot):
+            sound = sound or (key, False, end)
+        else:
+            maybe = maybe or (key, False, end)
+    return maybe or sound or (None, False, 0)
 
 
 def language_of(code: str | None) -> str | None:
     return None if code is None else _CODE.get(re.split(r"[-_]", code.strip().lower())[0])
 
 
-def clean(text: str, language: str | None = None) -> str:
+def _without_times(text: str, layouts: Layouts) -> str:
+    """The text without the items of time leaves, and without a label of a speaker leaf that follows one inside it."""
+    out, at = [], 0
+    for m in _ITEM.finditer(text):
+        if m.start() < at or not layouts.is_time(m):
+            continue
+        out += [text[at : m.start()], " "]
+        at = m.end()
+        gap = len(text[at:]) - len(text[at:].lstrip())
+        found = _slot_at(text, at + gap) if out[0].strip() or len(out) > 2 else None
+        if found and layouts.kinds.get(found[0]) == "speaker" and label_key(found[1]) and _may_be_label(found[1]):
+            at = found[2]
+    return "".join([*out, text[at:]])
+
+
+def clean(text: str, language: str | None = None, layouts: Layouts | None = None) -> str:
     """The text without time stamps, sound notes and fillers; spaces are single."""
-    t = unicodedata.normalize("NFC", text)
-    t = _NOTE.sub(" ", _STAMP.sub(" ", t))
+    t = _NOTE.sub(" ", _without_times(unicodedata.normalize("NFC", text), layouts or Layouts()))
     t = re.sub(r"^\s*>>\s*", "", t)
     fillers = _FILLER.get(language, _ANY_FILLER)
     kept = []
@@ -156,74 +268,127 @@ def has_spoken_word(cleaned: str) -> bool:
     return False
 
 
-_PARSED = (
-    T.StructType().add("path", "string").add("key", "string").add("is_time", "boolean")
-    .add("words_after_head", "boolean").add("words", "boolean").add("after_head", "string").add("whole", "string")
-)
-
+_COUNTS = "path string, key string, n long, known long, near long, clock long"
 
-@F.pandas_udf(_PARSED)
-def _parse_udf(text: pd.Series, language: pd.Series) -> pd.DataFrame:
-    """The head's layout and key, and the text cleaned both ways: without its head, and whole.
 
-    Which of the two holds is known once the layouts are mined; until then only flags
-    travel, so texts are shuffled only where they are wanted.
-    """
-    rows = []
-    for t, code in zip(text, language):
-        if not t:
-            rows.append((None, None, False, False, False, None, None))
-            continue
-        lang, head = language_of(code), head_layout(t)
-        whole = clean(t, lang)
-        if head is None:
-            rows.append((None, None, False, False, has_spoken_word(whole), None, whole))
+def _counted(texts: list, starts: list, said: list) -> Counter:
+    """Counts of (path, key, field) over a batch; numbers have no key."""
+    out: Counter = Counter()
+    for text, start, own in zip(texts, starts, said):
+        if not text:
             continue
-        rest = clean(t[head[2]:], lang)
-        rows.append((head[0], label_key(head[1]), bool(_STAMP.fullmatch(head[1])), has_spoken_word(rest), has_spoken_word(whole), rest, whole))
-    return pd.DataFrame(rows, columns=_PARSED.names)
-
+        for path, slot, _ in head_slots(text):
+            key = None if path.split("|")[2] == "4" else label_key(slot)
+            out[path, key, "n"] += 1
+            if key is not None and (key == own or (key.startswith("role:") and not _is_sound(slot))):
+                out[path, key, "known"] += 1
+        for m in _ITEM.finditer(text):
+            path, value = _item_path(m), seconds_of(m["v"])
+            out[path, None, "n"] += 1
+            if value is not None:
+                out[path, None, "clock"] += 1
+                if start is not None and -1.5 <= value - start <= 1.5:
+                    out[path, None, "near"] += 1
+    return out
+
+
+def mine_layouts(rows: DataFrame, registry: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """(path, kind, n, share): the leaves of the tree and what their slot holds, of rows (text, start, said).
+
+    A slot is a time where its values mostly lie by the segment's own start, or mostly are
+    clocks between delimiters; a speaker where at least ``min_share`` of its values are
+    explained; mixed where some are, else text.
+    """
 
-def mine_layouts(heads: DataFrame, registry: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """(path, kind, n, share): the leaves of the tree and what their slot holds. At most 252 rows."""
-    counted = heads.where("path is not null").groupBy("path", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_time").cast("int")).alias("times"))
-    told = counted.join(registry, "key", "left").withColumn("known", F.col("person").isNotNull() | F.coalesce(F.col("key").startswith("role:"), F.lit(False)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = _counted(*[c.to_pylist() for c in b.columns])
+            keys = list({(p, k) for p, k, _ in got})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p for p, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.string())]
+                + [pa.array([got[p, k, f] for p, k in keys], pa.int64()) for f in ("n", "known", "near", "clock")],
+                names=["path", "key", "n", "known", "near", "clock"],
+            )
+
+    counted = rows.select("text", "start", "said").mapInArrow(run, _COUNTS)
+    counted = counted.groupBy("path", "key").agg(*[F.sum(c).alias(c) for c in ("n", "known", "near", "clock")])
+    # numbers, and heads of many words, have no key: one row for each path
+    told = counted.where("key is not null").join(registry, "key", "left").unionByName(counted.where("key is null").withColumn("person", F.lit(None).cast("string")))
     leaf = told.groupBy("path").agg(
         F.sum("n").alias("n"),
-        (F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"),
-        (F.sum("times") / F.sum("n")).alias("time_share"),
+        (F.sum(F.when(F.col("person").isNotNull(), F.col("n")).otherwise(F.col("known"))) / F.sum("n")).alias("share"),
+        (F.sum("near") / F.sum("n")).alias("near"), (F.sum("clock") / F.sum("n")).alias("clock"),
+    )
+    delimited = ~(F.col("path").startswith("|") & F.col("path").endswith("|"))
+    clock = delimited & F.col("path").contains(":#") & (F.col("clock") >= 0.9)
+    kind = (
+        F.when((F.col("near") >= min_share) | clock, "time").when(F.col("share") >= min_share, "speaker")
+        .when(F.col("share") > 0, "mixed").otherwise("text")
     )
-    kind = F.when(F.col("time_share") >= min_share, "time").when(F.col("share") >= min_share, "speaker").otherwise("mixed")
     return leaf.select("path", kind.alias("kind"), "n", "share")
 
 
-def labelled_segments(supervision: DataFrame, speakers: DataFrame, with_text: bool = True) -> DataFrame:
+def told_layouts(leaves: DataFrame) -> Layouts:
+    """The leaves with more than 1/10,000 of all counts, by arithmetic fewer than 10,000, for the tasks."""
+    leaves = checkpointed(leaves)
+    total = leaves.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return Layouts({r["path"]: r["kind"] for r in leaves.where(F.col("n") * 10_000 > total).select("path", "kind").collect()})
+
+
+_PARSED = (
+    T.StructType().add("key", "string").add("sure", "boolean").add("words_after_head", "boolean").add("words", "boolean")
+    .add("head", "string").add("rest", "string")
+)
+
+
+def _parser(layouts: Layouts, with_text: bool):
+    @F.pandas_udf(_PARSED)
+    def parse(text: pd.Series, language: pd.Series) -> pd.DataFrame:
+        """The label at the head, and the text cleaned: its head and the rest, so that either can be put together."""
+        rows = []
+        for t, code in zip(text, language):
+            if not t:
+                rows.append((None, False, False, False, None, None))
+                continue
+            lang = language_of(code)
+            key, sure, end = label_of(t, layouts)
+            head = "" if sure or not end else clean(t[:end], lang, layouts)
+            rest = clean(t[end:], lang, layouts)
+            after = has_spoken_word(rest)
+            rows.append((key, sure, after, after or has_spoken_word(head), head if with_text else None, rest if with_text else None))
+        return pd.DataFrame(rows, columns=_PARSED.names)
+
+    return parse
+
+
+SALTS = 16
+
+
+def _with_person(rows: DataFrame, key: str, registry: DataFrame, name: str) -> DataFrame:
+    """Adds the person of a key by the registry: keys are split into parts, null ones are spread by id. No key begins with a zero."""
+    parts = registry.select(F.col("key").alias("__k"), F.col("person").alias(name), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__part"))
+    spread_by = F.coalesce(F.col(key), F.concat(F.lit("\x00"), F.xxhash64("id").cast("string")))
+    rows = rows.withColumn("__k", spread_by).withColumn("__part", F.pmod(F.xxhash64("id", "recording_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(parts, ["__k", "__part"], "left").drop("__k", "__part")
+
+
+def labelled_segments(supervision: DataFrame, speakers: DataFrame, with_text: bool = True, layouts: Layouts | None = None) -> DataFrame:
     """(recording_id, id, start_ms, person, text): the segments with a start and a spoken word; person is null where nobody is told."""
     # Texts are parsed before the shuffle that drops repeated deliveries: all that follows reads that one shuffle.
-    raw = supervision.where("id is not null and recording_id is not null and text is not null")
-    raw = raw.select("id", "recording_id", whole_ms(F.col("start")).alias("start_ms"), "text", "language", "speaker", "received_at").where("start_ms is not null")
-    parsed = spread(raw).select("id", "recording_id", "start_ms", "received_at", label_key_udf("speaker").alias("said"), _parse_udf("text", "language").alias("t"))
-    texts = ["after_head", "whole"] if with_text else []
-    kept = ["path", "key", "is_time", "words_after_head", "words", *texts]
-    parsed = parsed.select("id", "recording_id", "start_ms", "received_at", "said", *[f"t.{c}" for c in kept])
-    segs = first_delivery(parsed, "id", "received_at", ["id", "recording_id", "start_ms", "said", *kept])
+    raw = delivered(supervision.where("id is not null"), SEGMENT_FIELDS).withColumn("start_ms", whole_ms(F.col("start")))
+    raw = spread(raw.select("id", "recording_id", "start", "start_ms", "text", "language", "speaker", "__rank"))
+    raw = raw.withColumn("said", label_key_udf("speaker"))
     registry = registry_keys(speakers)
-    layouts = mine_layouts(segs.select("path", "key", "is_time"), registry)
-    # The tree has at most 252 leaves, whatever the corpus: a broadcast of proven size.
-    slots = F.broadcast(layouts.select("path", "kind"))
-    said = registry.select(F.col("key").alias("__said"), F.col("person").alias("said_registered"))
-    told = registry.select(F.col("key").alias("__key"), F.col("person").alias("text_registered"))
-    # Most texts have no label: their rows are spread by id, or they would all meet in one task. No key begins with a zero.
-    spread_by = lambda c: F.coalesce(c, F.concat(F.lit("\x00"), F.xxhash64("id").cast("string")))
-    full = segs.withColumn("__said", spread_by("said")).withColumn("__key", spread_by("key"))
-    full = full.join(slots, "path", "left").join(said, "__said", "left").join(told, "__key", "left")
-    full = full.withColumn("said_person", F.coalesce("said_registered", "said"))
-    full = full.withColumn("text_person", F.coalesce("text_registered", F.when(F.col("key").startswith("role:"), F.col("key"))))
-    labelled = F.col("text_person").isNotNull() & (F.col("kind") != "time")
-    full = full.withColumn("labelled", F.coalesce(labelled, F.lit(False)))
-    full = full.where(F.when(F.col("labelled"), F.col("words_after_head")).otherwise(F.col("words")))
-    person = F.coalesce("said_person", F.when(F.col("labelled"), F.col("text_person")))
-    text = [F.when(F.col("labelled"), F.col("after_head")).otherwise(F.col("whole")).alias("text")] if with_text else []
+    layouts = told_layouts(mine_layouts(raw, registry)) if layouts is None else layouts
+    kept = ["key", "sure", "words_after_head", "words", *(["head", "rest"] if with_text else [])]
+    parsed = raw.withColumn("t", _parser(layouts, with_text)("text", "language"))
+    parsed = parsed.select("id", "recording_id", "start_ms", "__rank", "said", *[f"t.{c}" for c in kept])
+    segs = first_of(parsed, "id", ["recording_id", "start_ms", "said", *kept]).where("recording_id is not null and start_ms is not null")
+    full = _with_person(_with_person(segs, "said", registry, "said_registered"), "key", registry, "text_registered")
+    labelled = F.col("sure") | F.col("text_registered").isNotNull()
+    full = full.withColumn("labelled", labelled).where(F.when(labelled, F.col("words_after_head")).otherwise(F.col("words")))
+    person = F.coalesce("said_registered", "said", F.when(F.col("labelled"), F.coalesce("text_registered", "key")))
+    text = [F.when(F.col("labelled"), F.col("rest")).otherwise(F.trim(F.concat_ws(" ", "head", "rest"))).alias("text")] if with_text else []
     return full.select("recording_id", "id", "start_ms", person.alias("person"), *text)
 
 
