@@ -72,7 +72,11 @@ LANGUAGES = {
 _CODE = {name: code for code, names in LANGUAGES.items() for name in names.split()}
 _FILLER = {code: frozenset(words.split()) for code, words in FILLERS.items()}
 _ANY_FILLER = frozenset().union(*_FILLER.values())
-_UNSPACED = sorted((w for c in ("zh", "ja", "th") for w in _FILLER[c]), key=len, reverse=True)
+_UNSPACED = re.compile("|".join(sorted((w for c in ("zh", "ja", "th") for w in _FILLER[c]), key=len, reverse=True)))
+_ENDS = ".,;:!?…。、，！？।؟—–-\"“”‘’"
+_STOPS = re.compile(r"[,.;:!?…。、，！？।؟]+")
+_LATIN = re.compile(r"[a-z]")
+_NOTED = re.compile(r"[\[({<【（*~♪♫%]")
 
 # What the notes in round brackets are about; other round brackets are spoken asides.
 _SOUNDS = (
@@ -91,12 +95,14 @@ _ITEM = re.compile(
     rf"(?P<o>(?P<open>[\[({{<【（]{{1,2}}\s*)|[@#]\s?|(?<![\w:])(?<!\d[.,]))(?P<v>{_NUMBER})(?P<to>\s*-->(?:\s*(?:{_NUMBER})(?![\w]))?)?"
     r"(?P<c>(?(open)\s*[\])}>】）]{1,2}|(?(to)|(?![\w:]))))"
 )
+_DIGIT = re.compile(r"\d[:.,]\d|\d\s?s\b")
 # A slot between an opener and a closer: in brackets, or up to a delimiter.
 _SLOT = re.compile(
     r"(?P<o>[>*#|•~=+]{0,2}\s*)"
     r"(?:(?P<open>[\[<{【]{1,2}|(?P<round>[(（]{1,2}))\s*(?P<a>[^\s\[\]<>{}()（）【】\n][^\[\]<>{}【】\n]{0,59}?)\s*(?P<close>(?(round)[)）]{1,2}|[\]}>】]{1,2})(?:\s?[:：])?)"
     r"|(?P<b>[^\W_][^\n:：|=>→\[\]<>{}（）【】♪*~]{0,59}?)(?P<end>\s?[:：](?!\d)|\s*(?:\|{1,2}|=>?|→|>{1,2})|\s+[-–—](?:\s+|$)))"
 )
+_DELIMITER = re.compile(r"[\[\](){}<>（）【】:：|=→–—]|\s-")
 _NAME_WORD = re.compile(r"(?:[^\W\d_]\.?|[^\W\d_][\w'’\-]*|(?:Dr|Prof|Mr|Mrs|Ms|Mx)\.)")
 # Words that head a line and name nobody.
 HEADINGS = frozenset("note notes warning summary question answer q example topic title subject date time place remark remarks todo update chapter part section".split())
@@ -117,6 +123,10 @@ def seconds_of(value: str) -> float | None:
     return total
 
 
+def _items(text: str) -> Iterator[re.Match]:
+    return _ITEM.finditer(text) if _DIGIT.search(text) else iter(())
+
+
 def _item_path(m: re.Match) -> str:
     number = re.sub(r"\d+", "#", m["v"]).replace(" ", "")
     return f"{m['o'].strip()}|{number}|{'-->' if m['to'] else ''}{m['c'].strip()}"
@@ -205,7 +215,7 @@ def _may_be_label(slot: str) -> bool:
 def label_of(text: str, layouts: Layouts) -> tuple[str | None, bool, int]:
     """(key, sure, end of the head): the label at the head; ``sure`` where its leaf decides, else the registry has to know the key."""
     maybe = sound = None
-    for path, slot, end in head_slots(text, layouts):
+    for path, slot, end in head_slots(text, layouts) if _DELIMITER.search(text) else ():
         kind = layouts.of_slot(path)
         if kind not in ("speaker", "mixed") or (key := label_key(slot)) is None:
             continue
@@ -226,7 +236,7 @@ def language_of(code: str | None) -> str | None:
 def _without_times(text: str, layouts: Layouts) -> str:
     """The text without the items of time leaves, and without a label of a speaker leaf that follows one inside it."""
     out, at = [], 0
-    for m in _ITEM.finditer(text):
+    for m in _items(text):
         if m.start() < at or not layouts.is_time(m):
             continue
         out += [text[at : m.start()], " "]
@@ -240,12 +250,14 @@ def _without_times(text: str, layouts: Layouts) -> str:
 
 def clean(text: str, language: str | None = None, layouts: Layouts | None = None) -> str:
     """The text without time stamps, sound notes and fillers; spaces are single."""
-    t = _NOTE.sub(" ", _without_times(unicodedata.normalize("NFC", text), layouts or Layouts()))
+    t = _without_times(text if text.isascii() else unicodedata.normalize("NFC", text), layouts or Layouts())
+    if _NOTED.search(t):
+        t = _NOTE.sub(" ", t)
     t = re.sub(r"^\s*>>\s*", "", t)
     fillers = _FILLER.get(language, _ANY_FILLER)
     kept = []
     for token in t.split():
-        core = token.strip(".,;:!?…。、，！？।؟—–-\"“”‘’").casefold()
+        core = token.strip(_ENDS).casefold()
         if core in fillers or (not core and not kept):
             continue
         kept.append(token)
@@ -255,14 +267,16 @@ def clean(text: str, language: str | None = None, layouts: Layouts | None = None
 def has_spoken_word(cleaned: str) -> bool:
     """Whether a letter or digit is left beside fillers of any language."""
     for token in cleaned.split():
-        core = token.strip(".,;:!?…。、，！？।؟—–-\"“”‘’()（）[]{}<>*~").casefold()
+        core = token.strip(_ENDS + "()（）[]{}<>*~").casefold()
         if core in _ANY_FILLER:
             continue
-        parts = [p for p in re.split(r"[,.;:!?…。、，！？।؟]+", core) if p]
+        if core.isascii() and core.isalnum():
+            return True
+        parts = [p for p in _STOPS.split(core) if p]
         if parts and all(p in _ANY_FILLER for p in parts):
             continue
-        for f in _UNSPACED:
-            core = core.replace(f, "") if not re.search(r"[a-z]", core) else core
+        if not _LATIN.search(core):
+            core = _UNSPACED.sub("", core)
         if any(c.isalnum() for c in core):
             return True
     return False
@@ -277,12 +291,12 @@ def _counted(texts: list, starts: list, said: list) -> Counter:
     for text, start, own in zip(texts, starts, said):
         if not text:
             continue
-        for path, slot, _ in head_slots(text):
+        for path, slot, _ in head_slots(text) if _DELIMITER.search(text) else ():
             key = None if path.split("|")[2] == "4" else label_key(slot)
             out[path, key, "n"] += 1
             if key is not None and (key == own or (key.startswith("role:") and not _is_sound(slot))):
                 out[path, key, "known"] += 1
-        for m in _ITEM.finditer(text):
+        for m in _items(text):
             path, value = _item_path(m), seconds_of(m["v"])
             out[path, None, "n"] += 1
             if value is not None:
@@ -313,7 +327,7 @@ def mine_layouts(rows: DataFrame, registry: DataFrame, min_share: float = MIN_SH
     counted = rows.select("text", "start", "said").mapInArrow(run, _COUNTS)
     counted = counted.groupBy("path", "key").agg(*[F.sum(c).alias(c) for c in ("n", "known", "near", "clock")])
     # numbers, and heads of many words, have no key: one row for each path
-    told = counted.where("key is not null").join(registry, "key", "left").unionByName(counted.where("key is null").withColumn("person", F.lit(None).cast("string")))
+    told = counted.join(registry, "key", "left")
     leaf = told.groupBy("path").agg(
         F.sum("n").alias("n"),
         (F.sum(F.when(F.col("person").isNotNull(), F.col("n")).otherwise(F.col("known"))) / F.sum("n")).alias("share"),
@@ -361,7 +375,7 @@ def _parser(layouts: Layouts, with_text: bool):
     return parse
 
 
-SALTS = 16
+SALTS = 4
 
 
 def _with_person(rows: DataFrame, key: str, registry: DataFrame, name: str) -> DataFrame:
@@ -378,13 +392,17 @@ def labelled_segments(supervision: DataFrame, speakers: DataFrame, with_text: bo
     raw = delivered(supervision.where("id is not null"), SEGMENT_FIELDS).withColumn("start_ms", whole_ms(F.col("start")))
     raw = spread(raw.select("id", "recording_id", "start", "start_ms", "text", "language", "speaker", "__rank"))
     raw = raw.withColumn("said", label_key_udf("speaker"))
-    registry = registry_keys(speakers)
+    registry = checkpointed(registry_keys(speakers))  # read three times below
     layouts = told_layouts(mine_layouts(raw, registry)) if layouts is None else layouts
     kept = ["key", "sure", "words_after_head", "words", *(["head", "rest"] if with_text else [])]
     parsed = raw.withColumn("t", _parser(layouts, with_text)("text", "language"))
     parsed = parsed.select("id", "recording_id", "start_ms", "__rank", "said", *[f"t.{c}" for c in kept])
     segs = first_of(parsed, "id", ["recording_id", "start_ms", "said", *kept]).where("recording_id is not null and start_ms is not null")
-    full = _with_person(_with_person(segs, "said", registry, "said_registered"), "key", registry, "text_registered")
+    # a label in the text is looked up only where it could tell the person, or where its leaf leaves open whether it is one
+    wanted = F.col("key").isNotNull() & (~F.col("sure") | F.col("said").isNull())
+    asked = _with_person(segs.where(wanted), "key", registry, "text_registered")
+    full = asked.unionByName(segs.where(~wanted).withColumn("text_registered", F.lit(None).cast("string")))
+    full = _with_person(full, "said", registry, "said_registered")
     labelled = F.col("sure") | F.col("text_registered").isNotNull()
     full = full.withColumn("labelled", labelled).where(F.when(labelled, F.col("words_after_head")).otherwise(F.col("words")))
     person = F.coalesce("said_registered", "said", F.when(F.col("labelled"), F.coalesce("text_registered", "key")))
