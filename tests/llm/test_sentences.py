@@ -1,6 +1,6 @@
 import pytest
 
-from voxtile.llm.sentences import sentence_starts, sentences
+from voxtile.llm.sentences import Corpus, corpus_of, sentence_starts, sentences
 
 
 def cut(text):
@@ -61,15 +61,54 @@ def test_degenerate():
     assert len(sentence_starts(long)) == 20_000
 
 
-def test_operator_has_two_ways(spark):
+def test_operator_on_rows(spark):
     rows = [(k, "See Abc. the note, said Qrs. well. The end came. So it was." if k % 2 else None, 5) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, number int")
-    a = {tuple(r) for r in sentences(df).select("doc_id", "start_char").collect()}
-    b = {tuple(r) for r in sentences(df, small=-1 + 1).select("doc_id", "start_char").collect()}
-    assert a == b and len(a) == 90
+    assert sentences(df).count() == 90
     assert sentences(df.limit(0)).count() == 0
 
 
+def test_the_document_itself_decides():
+    # the stop of "Vollmbr." stands before a small letter once, so it ends nothing before a name either
+    known = "The Vollmbr. was red. We asked the Vollmbr. Tarok again. It went well."
+    assert cut(known) == ["The Vollmbr. was red.", "We asked the Vollmbr. Tarok again.", "It went well."]
+    assert cut(known.replace("The Vollmbr. was", "The lamp was")) == ["The lamp was red.", "We asked the Vollmbr.", "Tarok again.", "It went well."]
+    # what is written small elsewhere is no name and may open a sentence
+    assert cut("The Vollmbr. was red. We asked the Vollmbr. Lamps went out. Two lamps stayed.")[1:3] == ["We asked the Vollmbr.", "Lamps went out."]
+    # a listed word that ends a paragraph here is a plain word here
+    assert cut("He trained his abs.\n\nHe has strong abs. Tarok rests.") == ["He trained his abs.", "He has strong abs.", "Tarok rests."]
+    assert cut("He has strong abs. Now he rests.") == ["He has strong abs.", "Now he rests."]
+
+
+def _corpus(spark, texts):
+    return corpus_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_the_corpus_decides_where_the_document_is_silent(spark):
+    plain = [f"The lamp {k} was on.\n\nThen the tape broke. Nobody saw the tape\n\nIt was the last tape." for k in range(60)]
+    found = _corpus(spark, plain + [f"They met Qux. Tarok{k} early. They left." for k in range(40)] + [f"It took 40 mnt. and more, {k}." for k in range(40)])
+    assert found.kinds["qux"] == "title" and found.kinds["mnt"] == "inner" and "tape" not in found.kinds
+    assert found.openings["they"] is False or found.openings["then"] is False
+    text = "We saw Qux. Tarok there. It rained."
+    at = sentence_starts(text, found)
+    assert [text[i : i + 2] for i in at] == ["We", "It"] and len(sentence_starts(text)) == 3
+
+
+def test_lists_come_last(spark):
+    """Without the lists hardly a boundary changes where the corpus has evidence; without the corpus many would."""
+    names = ["Tarok", "Belun", "Mirak", "Sovel", "Gadrin", "Ulmek", "Pestar", "Zoruk"]
+    lines = [f"Dr. {names[k % 8]} came at 9 p.m. and left.\n\nSee fig. {k} and vol. {k} of the notes. The tape ran on.\n\nThe tape was red. We met Prof. {names[k % 7]} and Mrs. {names[k % 5]} there.\n\nIt ran." for k in range(200)]
+    found = _corpus(spark, lines)
+    cuts = {(c, u): sum(len(sentence_starts(t, found if c else Corpus(), u)) for t in lines) for c in (True, False) for u in (True, False)}
+    assert cuts[True, True] == cuts[True, False] == 200 * 6
+    assert cuts[False, False] > cuts[True, True] + 600
+
+
+def test_words_of_any_length_may_be_abbreviations():
+    long = "Oberlandesger"
+    assert cut(f"Das {long}. war voll. Im {long}. Tarok sprach man.") == [f"Das {long}. war voll.", f"Im {long}. Tarok sprach man."]
+
+
 def test_each_part_of_a_text_keeps_the_rule_of_its_script():
     latin = ["The tape was started again after the second break and the", "crew stayed in the studio until the last reel was done."]
     chinese = ["现场小组在同一段录音里重复了三遍测试并且记录了全部的数值和时间以及每一个频道的编号还有所有设备的名称", "第二天早上他们又从头开始录制新的磁带并且检查了每一个频道的声音和电平以及所有设备的连接是否正常可用"]

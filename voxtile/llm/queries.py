@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from voxtile.llm import packing, pieces, sentences, splits, tokens, turns
 from voxtile.plans.problems import settings
@@ -75,9 +76,19 @@ def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
+def p8_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, first_char, end_char, gaps): where the sentences of each document begin and end, and how many leave something out."""
+    s = sentences.sentences(table(spark, sf_dir, "documents"))
+    w = Window.partitionBy("doc_id").orderBy("number")
+    s = s.withColumn("gap", (F.lag("next_char").over(w) != F.col("start_char")).cast("int"))
+    return s.groupBy("doc_id").agg(
+        F.min("start_char").alias("first_char"), F.max("next_char").alias("end_char"), F.coalesce(F.sum("gap"), F.lit(0)).cast("long").alias("gaps")
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p4_found, p4_splits, p5_found, p5_pieces, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_sentences)
+    for f in (p1_found, p1_turns, p4_found, p4_splits, p5_found, p5_pieces, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_sentences, p8_cover)
 }
 
 _FIRST = """
@@ -102,4 +113,7 @@ ORACLES = {
     "p5_found": _FIRST
     + """SELECT recording_id, s AS stretch_start_ms FROM periods JOIN ends ON ends.id = periods.recording_id
          WHERE least(e, stop) - s > (SELECT amount * 1000 FROM job_settings WHERE name = 'piece_max')""",
+    # every document with a visible character is covered from its first such character to its end
+    "p8_cover": r"""SELECT doc_id, length(regexp_extract(text, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]*')) AS first_char, length(text) AS end_char, CAST(0 AS BIGINT) AS gaps
+        FROM documents WHERE regexp_matches(text, '[^\s\p{Z}\p{C}]')""",
 }

@@ -1,19 +1,25 @@
 """Sentence boundaries across languages and scripts (problem 8).
 
-Method: document-centred disambiguation. A full stop after a word is first judged by what
-the same document shows without doubt: a word whose stop stands before a small letter is
-an abbreviation there, a word that occurs in small letters is no proper name. Where the
-document is silent the corpus speaks, by counts of the same kind over all documents, and
-lists of common abbreviations. Terminators follow their script: stops that need a space
-after them, those that don't, spaces between clauses of Thai, the Greek question mark.
+Method: document-centred disambiguation. What a full stop after a word means is told by
+the occurrences of that word that leave no doubt. A stop before a small letter or a comma
+ends nothing; one at the end of a paragraph ends a sentence. The document's own
+occurrences are asked first, then counts of the same kind over the whole corpus: a word
+that meets far fewer ends of paragraphs than stops in general do is an abbreviation, also
+where all its stops stand before names. What follows is judged the same way: a word
+that the document, or the corpus, writes in small letters is no proper name and may open a
+sentence; one that stands capitalised inside sentences is a name. Only words on which
+neither has evidence are left to short lists of common abbreviations. Terminators follow
+their script: stops that need a space after them, those that don't, spaces between clauses
+of Thai, the Greek question mark.
 
 Lines: a break is soft, inside a running sentence, where the line has no terminator and
 is about as long as the longest of the document; all other breaks end a sentence, so headings and unpunctuated captions are sentences. Numbering, bullets and
 speaker labels at the head of a line belong to what they introduce.
 
-Scale: two narrow passes over the texts; the first counts words before stops and
-aggregates before its shuffle. The abbreviations it finds are sent to the tasks only if
-they are at most ``SMALL``; else each document is joined with those of its own words.
+Scale: two narrow passes over the texts; the first counts words and aggregates before its
+shuffle. Only words with at least 1/50,000 of all stops, or 1/10,000 of all openings, are
+told to the tasks, so at most 60,000 whatever the corpus; rarer ones are judged by their
+document and their form. The rule is the same at every size.
 
 Defined results: null, empty and blank texts, and texts of control characters only, have
 no sentences; a text cut off at the end ends in a sentence; texts of any length are split
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,22 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtile.session import spread
-
-SMALL = 50_000
-
-# Abbreviations that stand before what they belong to and end no sentence.
-NEVER_LAST = frozenset(
-    """mr mrs ms mx dr prof rev hon st gen col capt lt sgt sr. jr. messrs ph.d no nos nr vol vols fig figs eq ch sec sect par p pp pg
-    min max ca cca approx cf e.g i.e viz vs v est al ed eds jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun
-    dept univ assn ave blvd rd tel ext
-    hr fr frl dipl ing abb abs bd bzw z z.b u d.h vgl ggf evtl inkl exkl ca tab kap nr s str
-    m mm mme mmes mlle p.ex ex c.-à-d càd env fig chap art av bd
-    sr sra srta srs dra dres d dña aprox pág págs núm cap art n.º n
-    г-н г-жа д-р проф акад им ул рис табл стр гл см ср т.е т напр ок тыс млн
-    κ κα κος π.χ δηλ βλ σελ αρ
-    डॉ श्री पं प्रो सं क्र
-    د أ م ص""".split()
+from voxtile.session import checkpointed, spread
+
+#: Words with at least these shares of all stops and of all openings are told to the tasks.
+STOP_SHARE, START_SHARE = 1 / 50_000, 1 / 10_000
+
+# Titles, which stand before names.
+TITLES = frozenset(
+    """mr mrs ms mx dr prof rev hon st gen col capt lt sgt messrs hr fr frl dipl ing mm mme mmes mlle sr sra srta srs dra dres
+    г-н г-жа д-р проф акад им κ κα डॉ श्री पं प्रो د أ""".split()
+)
+# Abbreviations that stand before what they belong to; the last prior, for words without evidence.
+NEVER_LAST = TITLES | frozenset(
+    """sr. jr. ph.d no nos nr vol vols fig figs eq ch sec sect par p pp pg min max ca cca approx cf e.g i.e viz vs v est al ed eds
+    jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun dept univ assn ave blvd rd tel ext
+    abb abs bd bzw z z.b u d.h vgl ggf evtl inkl exkl tab kap s str p.ex ex c.-à-d càd env chap art av
+    d dña aprox pág págs núm cap n.º n ул рис табл стр гл см ср т.е т напр ок тыс млн κος π.χ δηλ βλ σελ αρ सं क्र م ص""".split()
 )
 # Abbreviations that may end a sentence as well; before a capital they do.
 MAY_BE_LAST = frozenset(
@@ -86,30 +93,127 @@ def _is_cjk(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿"
 
 
+# Letters of the scripts with two cases, and the marks that belong to a letter.
+_UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁΆ-Ώ\u0391-\u03a9", "a-zß-öø-ÿа-яёά-ώα-ω"
+_MARKS = "".join(chr(c) for c in range(0x300, 0x3100) if unicodedata.category(chr(c))[0] == "M")
+_STOPPED = re.compile(rf"(?<![\w.{_MARKS}])([^\W\d_](?:[\w'’º{_MARKS}-]|\.(?=\w))*)\.(?=(\s*)(\S?)(\w*))")
+_TOKEN = re.compile(rf"[^\W\d_](?:[\w'’º{_MARKS}-]|\.(?=\w))*")
+_INSIDE = re.compile(rf"(?<=[{_LOW},] )[{_UP}][\w’'-]*")
+_OPENING = re.compile(rf"(?:\A|[!?]\s|\n)\s*([{_UP}][\w’'-]*)(?!\s?[:：])")
+_SMALL = re.compile(rf"(?<![\w.])[{_LOW}]+(?![\w])")
+
+
+def _key(word: str) -> str:
+    """Single letters keep their case: initials and units differ."""
+    return word if len(word) == 1 else word.lower()
+
+
+def stop_kinds(text: str) -> Iterator[tuple[str, str, str]]:
+    """(word, kind, the word that follows) for the stops after words, by what follows.
+
+    "inside": a small letter or a comma, so the stop ends no sentence; "end": the end of the
+    text or paragraph, or a new item or label, so it does; "capital", "digit", "other": either.
+    """
+    for m in _STOPPED.finditer(text):
+        space, c, after = m[2], m[3], m.end(2)
+        if not c:
+            kind = "end"
+        elif breaks := len(_BREAK.findall(space)):
+            if breaks < 2 and not (_ITEM.match(text, after) or _LABEL.match(text, after)):
+                continue
+            kind = "end"
+        elif c in ",;:،、":
+            kind = "inside"
+        elif not space:
+            continue
+        elif c.islower():
+            if _FILE.match(text, after):
+                continue
+            kind = "inside"
+        else:
+            kind = "capital" if c.isupper() else "digit" if c.isdigit() else "other"
+        yield _key(m[1].strip("'’-")), kind, c + m[4]
+
+
+class Corpus:
+    """What all documents together show: the kinds of words before stops, and which opening words are common ones."""
+
+    def __init__(self, kinds: dict[str, str] | None = None, openings: dict[str, bool] | None = None):
+        self.kinds, self.openings = kinds or {}, openings or {}
+
+
 class _Document:
     """What one text shows about its own words, and where its lines end hard."""
 
-    def __init__(self, text: str, corpus: frozenset[str] | dict = frozenset()):
-        self.text, self.corpus = text, corpus
+    def __init__(self, text: str, corpus: Corpus, lists: bool = True):
+        self.text, self.corpus, self.lists = text, corpus, lists
         self.upper = text != text.lower()
         self.lower = text != text.upper()
         # capitals tell something only where both cases occur
-        self.cased = self.upper and self.lower and re.search(r"(?:^|\s)[^\w\s]*[^\W\d_]*[A-ZÀ-ÞА-ЯΑ-Ω][a-zà-ÿа-яёα-ωά-ώ]", text) is not None
+        self.cased = self.upper and self.lower and re.search(rf"(?:^|\s)[^\w\s]*[^\W\d_]*[{_UP}][{_LOW}]", text) is not None
         self.greek = re.search(r"[\u0370-\u03ff]", text) is not None
-        self._small: set[str] | None = None
-        self._abbreviations: set[str] | None = None
+        self._small: frozenset | None = None
+        self._inside: frozenset | None = None
+        self._stops: dict[str, set[str]] | None = None
 
-    def small_words(self) -> set[str]:
+    def small_words(self) -> frozenset:
         if self._small is None:
-            self._small = set(re.findall(r"(?<![\w.])[a-zà-ÿа-яёα-ωά-ώ]+(?![\w])", self.text))
+            self._small = frozenset(_SMALL.findall(self.text))
         return self._small
 
-    def abbreviations(self) -> set[str]:
-        """Words whose stop stands before a small letter or a comma in this text."""
-        if self._abbreviations is None:
-            found = re.findall(r"(?<!\w)([^\W\d_](?:[\w.-]{0,8}[^\W\d_])?)\.(?=\s[a-zà-ÿа-яёα-ωά-ώ]|,)", self.text) if self.cased else []
-            self._abbreviations = {w.lower() for w in found if len(w) <= 5 or "." in w}
-        return self._abbreviations
+    def inside_capitals(self) -> frozenset:
+        """Words that stand capitalised after a small letter or a comma: names, and nouns where these have capitals."""
+        if self._inside is None:
+            self._inside = frozenset(_INSIDE.findall(self.text)) if self.cased else frozenset()
+        return self._inside
+
+    def stops(self) -> dict[str, set[str]]:
+        if self._stops is None:
+            self._stops = {}
+            # where letters have no cases only the ends tell
+            for word, kind, _ in stop_kinds(self.text) if self.cased or not (self.upper or self.lower) else ():
+                if kind in ("inside", "end"):
+                    self._stops.setdefault(word, set()).add(kind)
+        return self._stops
+
+    def kind_of(self, word: str) -> str:
+        """title: never last, before names; inner: never last; either: may be last; word: not abbreviated.
+
+        The document's own stops decide, then the corpus, then the lists, then the word's form.
+        """
+        key = _key(word)
+        own, known = self.stops().get(key), self.corpus.kinds.get(key)
+        if own == {"inside"}:
+            return known if known in ("title", "either") else "inner"
+        if own == {"inside", "end"}:
+            return "either"
+        if known is not None:
+            return known
+        if own == {"end"}:
+            return "word"
+        return prior_kind(key, self.lists)
+
+    def is_common(self, word: str) -> bool:
+        """Whether a capitalised word is one that is written small elsewhere, and no proper name."""
+        small, name = word.lower() in self.small_words(), word in self.inside_capitals()
+        if small != name:
+            return small
+        known = self.corpus.openings.get(word.lower())
+        return (self.lists and word.lower() in _STARTERS) if known is None else known
+
+    def is_name(self, word: str) -> bool:
+        return word in self.inside_capitals() and word.lower() not in self.small_words()
+
+
+def prior_kind(key: str, lists: bool = True) -> str:
+    """The kind of a word on which neither document nor corpus has evidence: by the lists, then by its form."""
+    if lists and key.lower() in TITLES or (len(key) == 1 and key.isupper()):
+        return "title"
+    if lists and key in MAY_BE_LAST:
+        return "either"
+    if lists and key in NEVER_LAST or ("." in key and re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", key)):
+        return "inner"
+    return "word"
 
 
 def _lines(text: str) -> list[tuple[int, int]]:
@@ -243,6 +347,8 @@ def _is_boundary(doc: _Document, start: int, run: re.Match, after: int, closers:
     if c in ",،;:)]}»”" and not closers:
         return False
     file_next = _FILE.match(text, nxt)
+    if file_next and not any(ch.isalpha() for ch in file_next.group()):
+        file_next = None
     if doc.cased and c.islower() and not file_next:
         return False
     if c in "—–" and closers:
@@ -253,55 +359,29 @@ def _is_boundary(doc: _Document, start: int, run: re.Match, after: int, closers:
     key = word.lower()
     if not key:
         return True
-    spread = re.search(r"([^\W\d_])\.\s([^\W\d_])$", text[max(start, begin - 4) : begin])
-    if spread:
-        pair = f"{spread[1]}.{spread[2]}".lower()
-        if pair in ("т.д", "т.п", "u.a", "u.ä", "o.ä"):
-            return doc.cased and (c.isupper() or not c.isalpha() or bool(file_next))
-        if pair in ("z.b", "т.е", "p.e", "d.h", "u.a"):
-            return False
-    if key in MAY_BE_LAST:
-        if closers:
-            return True
-        return not c.islower()
-    if re.fullmatch(r"[^\W\d_]", word) and word.isupper():
-        nextword = re.match(r"[\w’'-]+", text[nxt:])
-        w = nextword.group() if nextword else ""
-        if not c.isupper() or not doc.cased:
-            return not c.isupper()
-        if re.match(r"[^\W\d_]\.", text[nxt:]):
-            return False
-        return len(w) > 1 and w.lower() in doc.small_words() and w.lower() in _STARTERS
-    if key in NEVER_LAST:
-        if closers:
-            return True
-        # a unit after a number ends a sentence, an abbreviation before one does not
-        before = text[max(start, begin - len(word) - 8) : begin - len(word)].rstrip()
-        if word.islower() and before[-1:].isdigit() and (len(key) == 1 or c.isupper()):
-            return True
-        if key == "m" and not word.isupper():
-            return True
-        if key in ("min", "sec", "in", "no", "st", "sun", "sat", "mar", "max", "ex", "art", "cap", "n") and not (c.isdigit() or (c.isupper() and key == "st")):
-            return True
-        return False
-    if key.isdigit() or re.fullmatch(r"\d+", key):
+    if key.isdigit():
         prev = re.search(r"([^\W\d_]+)\s+$", text[max(start, begin - len(word) - 24) : begin - len(word)])
-        if prev and len(key) <= 2 and c.isalpha() and prev[1].lower() in _BEFORE_ORDINAL and doc.cased:
-            return False
+        return not (prev and len(key) <= 2 and c.isalpha() and prev[1].lower() in _BEFORE_ORDINAL and doc.cased)
+    kind = doc.kind_of(word)
+    if kind == "word" or closers:
+        return True
+    m = re.match(r"[\"'“„«‹¿¡(\[]*\s?([\w’'-]+)", text[nxt : nxt + 200])
+    following = m[1] if m else ""
+    capital = following[:1].isupper()
+    if kind == "either":
+        return bool(file_next) or not doc.is_name(following)
+    initial = len(word) == 1 and word.isupper()
+    if kind == "title":
+        return initial and len(following) > 1 and c.isupper() and text[nxt + 1 : nxt + 2] != "." and doc.cased and doc.is_common(following) and following.lower() in doc.small_words()
+    # a unit after a number may end a sentence, an abbreviation before one does not
+    if word.islower() and text[max(start, begin - len(word) - 8) : begin - len(word)].rstrip()[-1:].isdigit() and (len(key) == 1 or capital):
         return True
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
-        return c.isupper() and bool((m := re.match(r"\w+", text[nxt:])) and m.group().lower() in _STARTERS)
-    if not closers and len(key) <= 5 and (key in doc.abbreviations() or key in doc.corpus):
-        # an abbreviation by its other occurrences: it ends a sentence only before a word that is no proper name
-        m = re.match(r"[\w’'-]+", text[nxt:])
-        w = m.group().lower() if m else ""
-        return bool(w) and (w in doc.small_words() or w in _STARTERS)
-    return True
+    return bool(file_next) or (capital and doc.cased and doc.is_common(following))
 
 
-# Words that often open a sentence and are no proper names.
+# Words that often open a sentence and are no proper names; the last prior.
 _STARTERS = frozenset(
-    """the a an this that these those it he she they we you i there here in on at by for from to of as if when while after before
+    """now the a an this that these those it he she they we you i there here in on at by for from to of as if when while after before
     our my his her their its each every some any no not but and or so then what who why how where did does do is are was were please
     der die das ein eine es er sie wir ich und aber dann wenn als nach vor im am le la les un une il elle nous on ce cette et mais
     el los las una lo y pero en он она они мы и но а в на это ο η το οι τα και""".split()
@@ -322,11 +402,14 @@ def _after_head(text: str, start: int, at: int) -> str:
     return s
 
 
-def sentence_starts(text: str | None, corpus: frozenset[str] = frozenset()) -> list[int]:
+_NOTHING = Corpus()
+
+
+def sentence_starts(text: str | None, corpus: Corpus = _NOTHING, lists: bool = True) -> list[int]:
     """The position of the first character of every sentence."""
     if not text or not any(c.isalnum() or unicodedata.category(c)[0] in "PSLNM" for c in text):
         return []
-    doc, out = _Document(text, corpus), []
+    doc, out = _Document(text, corpus, lists), []
     for start, end in _blocks(doc):
         for s, e in _in_block(doc, start, end):
             if any(unicodedata.category(ch)[0] not in "ZC" for ch in text[s:e]):
@@ -381,56 +464,105 @@ def _in_block(doc: _Document, start: int, end: int) -> Iterator[tuple[int, int]]
 
 # ---- the corpus ---------------------------------------------------------------------------------------------------
 
-_CANDIDATE = re.compile(r"(?<![\w.])([^\W\d_](?:[\w.-]{0,4}[^\W\d_])?)(\.?)(?=(\s?)(.?))")
+_KINDS = ("inside", "end", "capital", "digit", "other")
+_FIELDS = (*_KINDS, "tokens", "small", "names", "openings", "followers")
 
 
-def _evidence(texts: list[str | None]) -> Counter:
-    """(word, kind) counts: 'in' a stop before a small letter or comma, 'out' a stop before anything else, 'bare' no stop."""
-    out: Counter = Counter()
+def _evidence(texts: list[str | None]) -> dict[str, list[int]]:
+    """Counts by word: its stops by kind, all its occurrences, those in small letters, capitalised inside sentences, at openings;
+    and 64 bits, of which each different word that follows a stop sets one."""
+    tokens: Counter = Counter()
+    names: Counter = Counter()
+    openings: Counter = Counter()
+    stops: Counter = Counter()
     for t in texts:
-        if not t or t == t.lower() or t == t.upper():
+        if not t or (t.upper() != t.lower() and t in (t.lower(), t.upper())):
             continue
-        for w, dot, space, nxt in _CANDIDATE.findall(t):
-            if len(w) > 5:
-                continue
-            if not dot:
-                out[w.lower(), "bare"] += 1
-            elif nxt == "," or (space and nxt.islower()):
-                out[w.lower(), "in"] += 1
-            elif space or not nxt:
-                out[w.lower(), "out"] += 1
+        tokens.update(_TOKEN.findall(t))
+        names.update(_INSIDE.findall(t))
+        openings.update(_OPENING.findall(t))
+        stops.update(stop_kinds(t))
+    out: dict[str, list[int]] = {}
+    at = {f: i for i, f in enumerate(_FIELDS)}
+
+    def add(word: str, field: str, n: int) -> None:
+        out.setdefault(word, [0] * len(_FIELDS))[at[field]] += n
+
+    for w, n in tokens.items():
+        add(_key(w), "tokens", n)
+        if w.islower():
+            add(_key(w), "small", n)
+    for w, n in names.items():
+        add(w.lower(), "names", n)
+    for w, n in openings.items():
+        add(w.lower(), "openings", n)
+    for (w, k, following), n in stops.items():
+        add(w, k, n)
+        if k not in ("inside", "end"):
+            out[w][at["followers"]] |= 1 << (zlib.crc32(following.encode()) & 63)
+    for row in out.values():
+        row[-1] -= (row[-1] >> 63) << 64  # as a signed number
     return out
 
 
-def corpus_abbreviations(documents: DataFrame, least: int = 20, share: float = 0.8, bare: float = 0.1) -> DataFrame:
-    """(word,): words of up to five characters whose stop hardly ever ends a sentence and that hardly occur without one."""
+def corpus_counts(documents: DataFrame) -> DataFrame:
+    """(word, inside, end, capital, digit, other, tokens, small, names, openings) over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
         for b in batches:
-            total.update(_evidence(b.column(0).to_pylist()))
-            if len(total) > 200_000:
-                yield _counted(total)
-                total = Counter()
-        yield _counted(total)
-
-    counts = documents.select("text").mapInArrow(run, "word string, kind string, n long")
-    by_word = counts.groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in ("in", "out", "bare")])
-    sure = (F.col("n_in") >= least) & (F.col("n_in") >= share * (F.col("n_in") + F.col("n_out"))) & (F.col("n_bare") <= bare * F.col("n_in"))
-    return by_word.where(sure).select("word")
-
-
-def _counted(total: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([w for w, _ in total], pa.string()), pa.array([k for _, k in total], pa.string()), pa.array(list(total.values()), pa.int64())],
-        names=["word", "kind", "n"],
+            got = _evidence(b.column(0).to_pylist())
+            columns = list(zip(*got.values())) if got else [()] * len(_FIELDS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(got), pa.string()), *[pa.array(list(c), pa.int64()) for c in columns]], names=["word", *_FIELDS]
+            )
+
+    counts = documents.select("text").mapInArrow(run, "word string, " + ", ".join(f"{f} long" for f in _FIELDS))
+    return counts.groupBy("word").agg(*[F.sum(f).alias(f) for f in _FIELDS[:-1]], F.bit_or("followers").alias("followers"))
+
+
+def corpus_kinds(counts: DataFrame, ends: float) -> DataFrame:
+    """(word, kind, stops): what the counts say about a word before stops; ``ends`` is the share of all stops at ends of paragraphs.
+
+    An abbreviation meets at most a fifth of the ends that its stops let expect, where that
+    expectation is high enough to be met by chance in one case of twenty (three ends), or
+    for longer words of a thousand (seven), and hardly occurs without its stop; at least two different words follow it, so
+    that copies of one text prove nothing. A word that
+    meets its share of ends is none; where neither holds the counts say nothing.
+    """
+    stops = sum((F.col(k) for k in _KINDS), F.lit(0))
+    expected = stops * F.lit(ends)
+    few = F.col("end") <= 0.2 * expected
+    rarely_bare = F.col("tokens") - stops <= 0.25 * stops
+    varied = F.bit_count("followers") >= 2
+    sure = few & varied & ((rarely_bare & (expected >= F.when(F.length("word") > 4, 7.0).otherwise(3.0))) | (expected >= 12.0))
+    inside = (F.col("inside") >= 3) & (F.col("inside") >= 0.2 * stops)
+    kind = (
+        F.when(sure & (F.col("capital") + F.col("other") >= 0.5 * stops), "title").when(sure, "inner")
+        .when(inside & few, "inner").when(inside, "either").when((expected >= 3.0) & (F.col("end") > 0.4 * expected), "word")
     )
-
-
-def _starts_batch(ids: pa.Array, texts: list, known: list | None, corpus: frozenset) -> pa.RecordBatch:
+    return counts.select("word", kind.alias("kind"), stops.alias("stops")).where("kind is not null")
+
+
+def corpus_of(documents: DataFrame) -> Corpus:
+    """The words with a share of all stops of at least ``STOP_SHARE``, or of all openings of at least ``START_SHARE``."""
+    counts = checkpointed(corpus_counts(documents))
+    stops = sum((F.sum(k) for k in _KINDS), F.lit(0))
+    total = counts.agg(stops.alias("stops"), F.sum("end").alias("end"), F.sum("openings").alias("openings")).first()
+    if not total["stops"] and not total["openings"]:
+        return _NOTHING
+    kinds = corpus_kinds(counts, max(0.01, (total["end"] or 0) / max(1, total["stops"]))).where(F.col("stops") >= STOP_SHARE * total["stops"])
+    # at most 50,000 words by the share; those that say what the form says anyway are left out
+    plain = (F.col("kind") == "word") & (F.length("word") > 1) & ~F.col("word").contains(".") & ~F.col("word").isin(*sorted(NEVER_LAST | MAY_BE_LAST))
+    told = {r["word"]: r["kind"] for r in kinds.where(~plain).select("word", "kind").collect()}
+    often = counts.where(F.col("openings") >= F.greatest(F.lit(2.0), F.lit(START_SHARE * total["openings"])))
+    openings = {r["word"]: r["common"] for r in often.select("word", (F.col("small") > F.col("names")).alias("common")).collect()}
+    return Corpus(told, openings)
+
+
+def _starts_batch(ids: pa.Array, texts: list, corpus: Corpus, lists: bool) -> pa.RecordBatch:
     doc_ids, starts, ends, numbers = [], [], [], []
-    for i, (d, t) in enumerate(zip(ids.to_pylist(), texts)):
-        got = sentence_starts(t, frozenset(known[i] or ()) if known is not None else corpus)
+    for d, t in zip(ids.to_pylist(), texts):
+        got = sentence_starts(t, corpus, lists)
         doc_ids.extend([d] * len(got))
         starts.extend(got)
         numbers.extend(range(len(got)))
@@ -441,32 +573,16 @@ def _starts_batch(ids: pa.Array, texts: list, known: list | None, corpus: frozen
     )
 
 
-_OUT = "doc_id long, number int, start_char long, next_char long"
-
+def sentences(documents: DataFrame, corpus: Corpus | None = None, lists: bool = True) -> DataFrame:
+    """(doc_id, number, start_char, next_char): the sentences of each document in order with their place.
 
-def sentences(documents: DataFrame, small: int = SMALL) -> DataFrame:
-    """(doc_id, number, start_char, next_char): the sentences of each document in order with their place."""
+    ``corpus`` is counted from the documents unless it is given; ``lists`` False leaves out the lists of abbreviations.
+    """
     docs = spread(documents.select(F.col("doc_id").cast("long"), "text").where("text is not null"))
-    table = corpus_abbreviations(docs)
-    words = [r["word"] for r in table.limit(small + 1).collect()]
-    if len(words) <= small:
-        corpus = frozenset(words)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield _starts_batch(b.column(0), b.column(1).to_pylist(), None, corpus)
-
-        return docs.mapInArrow(run, _OUT)
-    # beyond that size each document meets only the abbreviations that it contains
-    held = docs.select(
-        F.xxhash64("doc_id", "text").alias("k"),
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}][\p{L}.-]{0,4})\.")))).alias("word"),
-    )
-    own = held.join(table, "word").groupBy("k").agg(F.collect_set("word").alias("known"))
-    full = docs.withColumn("k", F.xxhash64("doc_id", "text")).join(own, "k", "left").select("doc_id", "text", "known")
+    corpus = corpus_of(docs) if corpus is None else corpus
 
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _starts_batch(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), frozenset())
+            yield _starts_batch(b.column(0), b.column(1).to_pylist(), corpus, lists)
 
-    return full.mapInArrow(run_joined, _OUT)
+    return docs.mapInArrow(run, "doc_id long, number int, start_char long, next_char long")
