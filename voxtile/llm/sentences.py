@@ -147,7 +147,8 @@ class _Document:
 
     def __init__(self, text: str, corpus: Corpus, lists: bool = True):
         self.text, self.corpus, self.lists = text, corpus, lists
-        self.upper = text != text.lower()
+        self.small_text = text.lower()
+        self.upper = text != self.small_text
         self.lower = text != text.upper()
         # capitals tell something only where both cases occur
         self.cased = self.upper and self.lower and re.search(rf"(?:^|\s)[^\w\s]*[^\W\d_]*[{_UP}][{_LOW}]", text) is not None
@@ -182,7 +183,10 @@ class _Document:
         The document's own stops decide, then the corpus, then the lists, then the word's form.
         """
         key = _key(word)
-        own, known = self.stops().get(key), self.corpus.kinds.get(key)
+        known = self.corpus.kinds.get(key)
+        # in a short text a plain count tells quickly that a word has this one stop only
+        once = len(self.text) < 20_000 and (self.text if len(key) == 1 else self.small_text).count(key + ".") < 2
+        own = None if once else self.stops().get(key)
         if own == {"inside"}:
             return known if known in ("title", "either") else "inner"
         if own == {"inside", "end"}:
@@ -229,9 +233,16 @@ _THAI_GAP = re.compile(r"(?<=[\u0e00-\u0e7f])[ \u00a0]+(?=[\u0e00-\u0e7f“(])")
 _ENDS = re.compile(r"[.!?…。！？｡．؟।॥۔‼⁇⁈⁉;][\"'”’“»›」』）)\]】}\s]*$")
 
 
-def _unspaced(near: list[tuple[int, int]], whole: list[tuple[int, int]]) -> bool:
+def _script(line: str) -> tuple[int, int]:
+    """How many letters of scripts without spaces, and how many letters."""
+    return (0, sum(map(str.isalpha, line))) if line.isascii() else (len(_UNSPACED.findall(line)), len(_LETTER.findall(line)))
+
+
+def _unspaced(near: list[str], whole: list[str]) -> bool:
     """Whether a script without spaces prevails in two neighbouring lines, or in the whole text where they have no letter."""
-    found = near if any(map(any, near)) else whole
+    found = [_script(s) for s in near]
+    if not any(map(any, found)):
+        found = [_script(s) for s in whole]
     return sum(u for u, _ in found) * 3 > sum(n for _, n in found)
 
 
@@ -244,7 +255,6 @@ def _blocks(doc: _Document) -> list[tuple[int, int]]:
         return [lines[0]]
     width = max(map(len, stripped))
     ended = [bool(_ENDS.search(s)) for s in stripped]
-    scripts = [(len(_UNSPACED.findall(s)), len(_LETTER.findall(s))) for s in stripped]
     inner = any(re.search(r"[.!?…؟।][\"”’»)]*\s", s) for s in stripped)
     caption_like = not any(ended) and not inner
     out, start = [], None
@@ -257,7 +267,7 @@ def _blocks(doc: _Document) -> list[tuple[int, int]]:
         if start is None:
             start = a
         soft = False
-        if i + 1 < len(lines) and stripped[i + 1] and len(s) >= 40 and len(s) >= 0.6 * width and not _unspaced(scripts[i : i + 2], scripts):
+        if i + 1 < len(lines) and stripped[i + 1] and len(s) >= 40 and len(s) >= 0.6 * width and not _unspaced(stripped[i : i + 2], stripped):
             below = stripped[i + 1]
             if ended[i]:
                 # a stop at the line's end may be an abbreviation's: what follows decides
