@@ -1,17 +1,18 @@
 """Consolidation of very many small files into few well-sized ones (problem 2).
 
-Method: sorted-run consolidation. The entries (one per stored file, and one per
-recording without any) are cut into key ranges; within a range the already sorted runs
-are merged k ways, duplicates are kept, outputs roll by bytes, and the range metadata
-(first key, last key, entries, bytes) is updated with every output.
+Method: sorted-run consolidation. Sorted runs (files, or partitions sorted where they are)
+are cut into key ranges; the runs of a range are merged k ways (voxtile.operators.runs),
+duplicates are kept, outputs roll by bytes, and the range metadata (first key, last key,
+entries, bytes) follows from each output.
 
 ``registrations`` names the stored file behind every source: a path as it is, a file URL,
 a path with doubled or backward slashes or dot steps, or the file that a shell command
 reads. Paths are case-sensitive.
 
-Scale: key ranges come from a sampled range partitioning, so no task holds more than its
-share; a range's entries stream through the merge; running byte counts are carried from
-one range to the next by a summary with one row per range.
+Scale: ranges are cut by the running bytes of all runs, so no task holds more than its
+share; a range's rows stream through the merge, which holds one small block of each run
+that overlaps the current key. A file that very many recordings name is numbered in one
+stream and paired block by block over many tasks.
 
 Defined results: null ids, null or blank sources and null source lists register no file;
 such a recording still gets a place in the outputs. Null sizes count as 0 bytes. Repeated
@@ -21,10 +22,6 @@ Empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
-import itertools
-import json
-import os
 import posixpath
 import re
 import shlex
@@ -34,12 +31,13 @@ from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxtile.session import checkpointed, rows_to_batch, shuffle_partitions
+from voxtile.operators.joins import block_pairs
+from voxtile.operators.runs import merged
+from voxtile.session import checkpointed, rows_to_batch
 
 _FILE_URL = re.compile(r"file:(?://(?:localhost)?)?(?=/)", re.IGNORECASE)
 
@@ -101,11 +99,16 @@ def _stored_path_udf(kind: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def registrations(audio: DataFrame) -> DataFrame:
-    """(path, id): the stored files that each recording names, once each."""
+def _registered(audio: DataFrame) -> DataFrame:
+    """(path, id): the stored files that each recording names, as often as it names them."""
     src = audio.where(F.col("id").isNotNull()).select("id", F.explode("sources").alias("__s"))
     src = src.select("id", F.col("__s.type").alias("type"), F.col("__s.source").alias("source")).where("source is not null")
-    return src.withColumn("path", _stored_path_udf("type", "source")).where("path is not null").select("path", "id").distinct()
+    return src.withColumn("path", _stored_path_udf("type", "source")).where("path is not null").select("path", "id")
+
+
+def registrations(audio: DataFrame) -> DataFrame:
+    """(path, id): the stored files that each recording names, once each."""
+    return _registered(audio).distinct()
 
 
 def entries(audio: DataFrame, stored_files: DataFrame) -> DataFrame:
@@ -127,76 +130,18 @@ def entries(audio: DataFrame, stored_files: DataFrame) -> DataFrame:
     return files.unionByName(recordings)
 
 
-def merge_runs(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
-    """k-way merge of sorted runs by their first field; equal keys are all kept."""
-    return heapq.merge(*runs, key=lambda r: r[0])
-
-
-_ROLLED = pa.schema([("range", pa.int64()), ("key", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("n_bytes", pa.int64()), ("output", pa.int64())])
-
-
-def _roll(target: int, least: int):
-    """Over the merged entries of a range: number the outputs, closing one before the entry that exceeds the target."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        output, held, seen = 0, 0, None
-        for b in batches:
-            out = []
-            for r, n in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
-                if r != seen:
-                    seen, output, held = r, 0, 0
-                if held and held + n > target and held >= least:
-                    output, held = output + 1, 0
-                out.append(output)
-                held += n
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out, pa.int64())], schema=_ROLLED)
-
-    return run
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over merged registrations: those whose key the merge met more than once. Holds one row at a time."""
-    last, told = None, False
-    for b in batches:
-        paths, ids = [], []
-        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if last is not None and row[0] == last[0]:
-                if not told:
-                    paths.append(last[0])
-                    ids.append(last[1])
-                paths.append(row[0])
-                ids.append(row[1])
-                told = True
-            else:
-                told = False
-            last = row
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(ids, pa.string())], names=["path", "id"])
-
-
 def shard_plan(audio: DataFrame, stored_files: DataFrame, target: int, least: int, ranges: int | None = None) -> DataFrame:
     """(shard, key, kind, name, n_bytes): every entry once, in key order, in outputs of about ``target`` bytes.
 
-    A stored file above the target fills an output alone. An output is closed before the
-    entry that would exceed the target, unless it holds fewer than ``least`` bytes; a last
-    output of a range with fewer joins the one before it.
+    Each partition of the entries is sorted by itself into a run; the runs of each key range
+    are merged k ways. A stored file above the target fills an output alone. An output is
+    closed before the entry that would exceed the target, unless it, or what is left of its
+    range, holds fewer than ``least`` bytes.
     """
-    e = entries(audio, stored_files)
-    if ranges is None:
-        # bytes per range: about 64 outputs; the total is one number
-        total = e.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
-        ranges = max(1, min(20_000, int(total // (64 * target)) + 1))
-    e = e.repartitionByRange(ranges, "key").withColumn("range", F.spark_partition_id().cast("long"))
-    e = e.sortWithinPartitions("range", "key", "kind", "name").select("range", "key", "kind", "name", "n_bytes")
-    rolled = e.mapInArrow(_roll(target, least), "range long, key string, kind string, name string, n_bytes long, output long")
-    # The entries are names and sizes, little beside the files: written once, so that ranges stay as they were cut.
-    rolled = checkpointed(rolled)
-    outputs = rolled.groupBy("range", "output").agg(F.sum("n_bytes").alias("held"))
-    last = F.max("output").over(Window.partitionBy("range"))
-    short = (F.col("output") == last) & (F.col("output") > 0) & (F.col("held") < least)
-    outputs = outputs.select("range", "output", (F.col("output") - short.cast("int")).alias("into"))
-    return rolled.join(outputs, ["range", "output"]).select(
-        F.format_string("%06d-%06d", F.col("range"), F.col("into")).alias("shard"), "key", "kind", "name", "n_bytes"
-    )
+    # The entries are names and sizes, little beside the files: the runs are written once.
+    runs = checkpointed(entries(audio, stored_files).sortWithinPartitions("key", "kind", "name"))
+    done = merged(runs, ["key", "kind", "name"], "n_bytes", target, least, ranges=ranges)
+    return done.select(F.format_string("%06d-%06d", "range", "output").alias("shard"), "key", "kind", "name", "n_bytes")
 
 
 def range_metadata(plan: DataFrame) -> DataFrame:
@@ -207,164 +152,69 @@ def range_metadata(plan: DataFrame) -> DataFrame:
     )
 
 
-def shared_files(audio: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(id_a, id_b): different recordings that name the same stored file.
-
-    The merge of each key range puts equal paths side by side and hands on only those it
-    met more than once; these few are then paired by a join on the path.
-    """
-    reg = registrations(audio)
-    reg = reg.repartitionByRange(ranges or shuffle_partitions(reg.sparkSession), "path").sortWithinPartitions("path", "id")
-    again = reg.select("path", "id").mapInArrow(_repeated, "path string, id string")
-    a, b = again.withColumnRenamed("id", "id_a"), again.withColumnRenamed("id", "id_b")
-    return a.join(b, "path").where("id_a < id_b").select("id_a", "id_b").distinct()
-
-
-# ---- files on disk ---------------------------------------------------------------------------------------------
-
-
-_FEET = pa.schema([("path", pa.string()), ("n", pa.int64()), ("bytes", pa.int64()), ("lo", pa.string()), ("hi", pa.string()), ("nulls", pa.bool_())])
-
+_NUMBERED = pa.schema([("path", pa.string()), ("id", pa.string()), ("place", pa.int64())])
 
-def _leaf(f: pq.ParquetFile, key: str) -> int | None:
-    """The Parquet leaf column of a top-level column; None where a nested one has the same path."""
-    at = [i for i in range(len(f.schema)) if f.schema.column(i).path == key]
-    return at[0] if len(at) == 1 else None
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over merged registrations: each different one of a path with its place, if the path has more than one. Holds one row at a time."""
+    last, place = None, 0
+    for b in batches:
+        rows = []
+        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if last is None or row[0] != last[0]:
+                place = 0
+            elif row != last:
+                if not place:
+                    rows.append((*last, 0))
+                place += 1
+                rows.append((*row, place))
+            last = row
+        yield rows_to_batch(rows, _NUMBERED)
 
-def _statistics(f: pq.ParquetFile, group: int, at: int | None):
-    """The key's statistics of a row group if they tell of every row, nulls included; else None."""
-    g = f.metadata.row_group(group)
-    s = None if at is None else g.column(at).statistics
-    return s if s is not None and s.has_null_count and (s.has_min_max or s.null_count == g.num_rows) else None
 
+def shared_files(audio: DataFrame, ranges: int | None = None, block: int = 1000) -> DataFrame:
+    """(id_a, id_b): different recordings that name the same stored file.
 
-def _keys(f: pq.ParquetFile, group: int, key: str) -> Iterator[str | None]:
-    for batch in f.iter_batches(batch_size=4096, row_groups=[group], columns=[key]):
-        yield from batch.column(batch.schema.names.index(key)).to_pylist()
+    The registrations are sorted into runs where they are read. The merge of each key range
+    puts equal paths side by side, drops equal registrations and numbers the rest of each
+    path; these are paired block by block.
+    """
+    runs = checkpointed(_registered(audio).sortWithinPartitions("path", "id"))
+    # a range of about a million registrations; a path is never parted, and its rows stream
+    done = merged(runs, ["path", "id"], F.lit(1.0), 1e6, per_range=1, ranges=ranges, part_at=1)
+    again = done.select("path", "id").mapInArrow(_numbered, "path string, id string, place long")
+    pairs = block_pairs(again, "path", "place", "id", block)
+    return pairs.select(F.least("left", "right").alias("id_a"), F.greatest("left", "right").alias("id_b")).distinct()
 
 
-def _footers(paths: list[str], key: str) -> list[tuple]:
-    """(path, rows, bytes, least and greatest key, whether some key is null); keys are read where a footer does not tell."""
-    out = []
-    for p in paths:
-        f = pq.ParquetFile(p)
-        at = _leaf(f, key)
-        lo = hi = None
-        nulls = False
-        for g in range(f.metadata.num_row_groups):
-            s = _statistics(f, g, at)
-            if s is None:
-                seen = _keys(f, g, key)
-            else:
-                seen = ([s.min, s.max] if s.has_min_max else []) + [None] * (s.null_count > 0)
-            for k in seen:
-                if k is None:
-                    nulls = True
-                else:
-                    lo, hi = (k if lo is None else min(lo, k)), (k if hi is None else max(hi, k))
-        out.append((p, f.metadata.num_rows, os.path.getsize(p), lo, hi, nulls))
-    return out
+# ---- files on disk ---------------------------------------------------------------------------------------------
 
 
-def _rows_of(path: str, key: str, lo, hi) -> Iterator[tuple]:
-    """Rows of a sorted file with lo <= key < hi (None: no bound), without null keys; row groups out of range are skipped."""
-    f = pq.ParquetFile(path)
-    at = _leaf(f, key)
-    for g in range(f.metadata.num_row_groups):
-        s = _statistics(f, g, at)
-        if s is not None:
-            if not s.has_min_max:
-                continue
-            if hi is not None and s.min >= hi:
-                return
-            if lo is not None and s.max < lo:
-                continue
-        for batch in f.iter_batches(batch_size=4096, row_groups=[g]):
-            for row in batch.to_pylist():
-                k = row[key]
-                if k is None:
-                    continue
-                if hi is not None and k >= hi:
-                    return
-                if lo is None or k >= lo:
-                    yield (k, row)
-
-
-def _null_rows_of(path: str, key: str) -> Iterator[dict]:
-    """Rows of a file with a null key, wherever they lie in it."""
-    f = pq.ParquetFile(path)
-    at = _leaf(f, key)
-    for g in range(f.metadata.num_row_groups):
-        s = _statistics(f, g, at)
-        if s is not None and s.null_count == 0:
-            continue
-        for batch in f.iter_batches(batch_size=4096, row_groups=[g]):
-            yield from (row for row in batch.to_pylist() if row[key] is None)
-
-
-def consolidate_files(spark: SparkSession, paths: list[str], key: str, out_dir: str, target: int, ranges: int = 8) -> DataFrame:
+def consolidate_files(spark: SparkSession, paths: list[str] | str, key: str, out_dir: str, target: int, ranges: int | None = None) -> DataFrame:
     """Merge small Parquet files, each sorted by ``key`` (a string column), into files of about ``target`` bytes.
 
-    One task per key range opens the files that have keys in it, merges them k ways and rolls
-    outputs by bytes. Gives the range metadata: (file, first_key, last_key, n_rows, n_bytes).
-    Duplicates are kept; rows with a null key, first or last in their file, come first. Files are
-    written once, and their rows are checked against the footers'. Output names depend on range
-    and number only, so a repeated task writes the same files.
+    ``paths`` are files, folders or patterns of any file system that Spark reads. A file is
+    a run as it lies there; one that is not sorted is several. The runs of each key range
+    are merged k ways, and outputs roll by bytes, a row's share of the inputs' bytes counting
+    for the row. Gives the range metadata: (file, first_key, last_key, n_rows, n_bytes).
+    Duplicates are kept; rows with a null key come first. Files are written through Spark's
+    committer, so a repeated task leaves no second copy, and the rows in the outputs are
+    counted against those of the inputs.
     """
-    os.makedirs(out_dir, exist_ok=True)
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 200)))
-
-    def read_footers(batches):
-        for b in batches:
-            yield rows_to_batch(_footers(b.column(0).to_pylist(), key), _FEET)
-
-    # read three times below: written once
-    feet = checkpointed(listed.mapInArrow(read_footers, "path string, n long, bytes long, lo string, hi string, nulls boolean"))
-    cuts = feet.where("lo is not null").agg(F.array_sort(F.collect_set("lo")).alias("los")).first()["los"] if len(paths) <= 100_000 else None
-    if cuts is None:
-        cuts = [r["lo"] for r in feet.where("lo is not null").sample(0.01, seed=7).select("lo").distinct().orderBy("lo").limit(100_000).collect()]
-    step = max(1, len(cuts) // max(1, ranges))
-    bounds = [None, *cuts[step::step], None]
-    spans = spark.createDataFrame([(i, bounds[i], bounds[i + 1]) for i in range(len(bounds) - 1)], "range int, from_key string, to_key string")
-    within = (F.col("to_key").isNull() | (F.col("lo") < F.col("to_key"))) & (F.col("from_key").isNull() | (F.col("hi") >= F.col("from_key")))
-    touches = (F.col("lo").isNotNull() & within) | (F.col("nulls") & F.col("from_key").isNull())
-    overlap = feet.join(F.broadcast(spans), touches)
-    work = overlap.groupBy("range").agg(F.first("from_key").alias("lo"), F.first("to_key").alias("hi"), F.array_sort(F.collect_set("path")).alias("paths"))
-
-    def merge(pdfs):
-        for pdf in pdfs:
-            rows = []
-            for _, r in pdf.iterrows():
-                rows += _merge_range(int(r["range"]), list(r["paths"]), key, r["lo"], r["hi"], out_dir, target)
-            yield pd.DataFrame(rows, columns=["file", "first_key", "last_key", "n_rows", "n_bytes"])
-
-    done = checkpointed(work.repartition("range").mapInPandas(merge, "file string, first_key string, last_key string, n_rows long, n_bytes long"))
-    read, written = (x or 0 for x in (feet.agg(F.sum("n")).first()[0], done.agg(F.sum("n_rows")).first()[0]))
-    if read != written:
-        raise ValueError(f"{written} rows were written of {read}")
-    return done
-
-
-def _merge_range(number: int, paths: list[str], key: str, lo, hi, out_dir: str, target: int) -> list[tuple]:
-    schema = pq.ParquetFile(paths[0]).schema_arrow
-    runs = [_rows_of(p, key, lo, hi) for p in paths]
-    rows, held, done, part = [], 0, [], 0
-
-    def close():
-        nonlocal rows, held, part
-        if rows:
-            name = os.path.join(out_dir, f"merged-{number:05d}-{part:05d}.parquet")
-            pq.write_table(pa.Table.from_pylist(rows, schema=schema), name)
-            done.append((name, rows[0][key], rows[-1][key], len(rows), os.path.getsize(name)))
-            rows, held, part = [], 0, part + 1
-
-    nulls = (row for p in paths for row in _null_rows_of(p, key)) if lo is None else ()
-    for row in itertools.chain(nulls, (row for _, row in merge_runs(runs))):
-        size = len(json.dumps(row, default=str))
-        if rows and held + size > target:
-            close()
-        rows.append(row)
-        held += size
-    close()
-    return done
+    source = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    files = source.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.max("file_size").alias("size"), F.count(F.lit(1)).alias("n"))
+    sums = files.agg(F.sum("size").alias("size"), F.sum("n").alias("n")).first()
+    each = (sums["size"] or 0) / max(1, sums["n"] or 0)
+    done = merged(source, [key], F.lit(each), target, ranges=ranges)
+    shard = F.format_string("%06d-%06d", "range", "output")
+    done.withColumn("__shard", shard).drop("range", "output").write.partitionBy("__shard").mode("overwrite").parquet(out_dir)
+    written = spark.read.schema(source.schema).option("recursiveFileLookup", "true").parquet(out_dir)
+    local = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
+    out = checkpointed(
+        written.select(local.alias("file"), F.col(key).alias("k"), F.col("_metadata.file_size").alias("b")).groupBy("file")
+        .agg(F.min("k").alias("first_key"), F.max("k").alias("last_key"), F.count(F.lit(1)).alias("n_rows"), F.max("b").alias("n_bytes"))
+    )
+    n = out.agg(F.sum("n_rows")).first()[0] or 0
+    if n != (sums["n"] or 0):
+        raise ValueError(f"{n} rows were written of {sums['n']}")
+    return out

@@ -38,6 +38,18 @@ def containment_join(inner: DataFrame, outer: DataFrame, keys: list[str], tolera
     return i.join(o, [*keys, "__b"]).where((F.col("i_start") >= F.col("o_start") - tolerance) & (F.col("i_end") <= F.col("o_end") + tolerance)).drop("__b")
 
 
+def block_pairs(df: DataFrame, key: str, place: str, member: str, block: int = 1000) -> DataFrame:
+    """(key, left, right): all pairs of the members of a key, whose places count from 0 within it; each pair once, the lower place left.
+
+    A member meets one block of earlier ones at a time, so a key with very many members is
+    spread over as many tasks as it has blocks.
+    """
+    number = F.floor(F.col(place) / block).cast("long")
+    low = df.select(key, number.alias("__b"), F.col(place).alias("__l"), F.col(member).alias("left"))
+    high = df.select(key, F.explode(F.sequence(F.lit(0).cast("long"), number)).alias("__b"), F.col(place).alias("__h"), F.col(member).alias("right"))
+    return low.join(high, [key, "__b"]).where("__l < __h").select(key, "left", "right")
+
+
 def attach_segments(recordings: DataFrame, supervisions: DataFrame, check_ends: bool = False, tolerance: float = TOLERANCE) -> DataFrame:
     """Segments of each recording in long form: (cut_id, cut_duration, sup columns). Recordings without segments stay with nulls.
 

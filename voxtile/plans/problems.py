@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtile.operators import consolidate, coverage
-from voxtile.session import table
+from voxtile.session import shared_folder, table
 
 
 def settings(spark: SparkSession, sf_dir: str) -> dict[str, float]:
@@ -33,6 +33,21 @@ def p2_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.range_metadata(_plan(spark, sf_dir))
 
 
+def p2_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, n): how often each recording lies in the outputs."""
+    return _plan(spark, sf_dir).where("kind = 'recording'").groupBy(F.col("name").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, n_rows, n_samples): the rows of the recordings after many small sorted files of them were merged into few."""
+    small, large = shared_folder(spark, "small"), shared_folder(spark, "merged")
+    audio = table(spark, sf_dir, "audio").select("id", "sampling_rate", "num_samples", "duration")
+    audio.repartition(64).sortWithinPartitions("id").write.option("maxRecordsPerFile", 100).parquet(small)
+    consolidate.consolidate_files(spark, small, "id", large, 256_000)
+    merged = spark.read.schema(audio.schema).option("recursiveFileLookup", "true").parquet(large)
+    return merged.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("num_samples").alias("n_samples"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.silences(coverage.segment_spans(table(spark, sf_dir, "supervision")))
 
@@ -45,7 +60,7 @@ def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.coverage_report(coverage.segment_spans(table(spark, sf_dir, "supervision")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shards, p2_ranges, p3_found, p3_periods, p3_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shards, p2_ranges, p2_recordings, p2_merged, p3_found, p3_periods, p3_coverage)}
 
 _SPANS = """
 WITH ranked AS (SELECT *, CAST(recording_id IS NULL AS INT) + CAST("start" IS NULL AS INT) + CAST(duration IS NULL AS INT)
@@ -62,6 +77,8 @@ periods AS (SELECT recording_id, min(s) AS start_ms, max(e) AS end_ms FROM numbe
 """
 
 ORACLES = {
+    "p2_recordings": "SELECT id, CAST(1 AS BIGINT) AS n FROM audio WHERE id IS NOT NULL GROUP BY id",
+    "p2_merged": "SELECT id, count(*) AS n_rows, CAST(sum(num_samples) AS BIGINT) AS n_samples FROM audio GROUP BY id",
     "p3_found": _SPANS
     + """SELECT recording_id, edge AS gap_start_ms, s AS gap_end_ms FROM marked
          WHERE edge IS NOT NULL AND s - edge BETWEEN 1 AND 600000""",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxtile.session import shared_folder
+
 
 def islands(df: DataFrame, key: str, max_pause: int, chunk: int = 86_400_000_000) -> DataFrame:
     """(key, start_us, end_us, n): spans (start_us, end_us) of a key merged while the pause is at most ``max_pause``.
@@ -45,13 +47,8 @@ def settled(stream: DataFrame, schema: str, mode: str = "append") -> DataFrame:
 
     Checkpoint and output lie in the shared checkpoint folder, under a name of their own.
     """
-    import uuid
-
-    from voxtile.session import ensure_checkpoint_dir
-
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
 
     def write(df: DataFrame, number: int) -> None:
         df.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{base}/out/part={number}")
