@@ -81,6 +81,13 @@ def first_delivery(df: DataFrame, fields: tuple[str, ...], cols: list[str], key:
     return first_of(delivered(df, fields), key, cols)
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner", salts: int = 4) -> DataFrame:
+    """A join with a table of one row per key in which a key of very many rows is split into parts by the hash of ``by``."""
+    parts = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return rows.join(parts, [key, "__part"], how).drop("__part")
+
+
 def finite(c: Column) -> Column:
     """The number, or null where it is null, NaN or infinite."""
     return F.when(F.abs(c) < F.lit(9.0e14), c)
