@@ -1,7 +1,9 @@
 from datetime import datetime
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from voxtile.llm import pieces, splits
 
@@ -61,14 +63,18 @@ def test_roles_and_nobody_link_nothing(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 200_000), st.integers(1, 40_000)), max_size=40), st.integers(1, 260_000))
 def test_pieces_cover_and_obey_the_limit(spans, end):
-    segs = sorted((s, min(s + d, end), frozenset([f"w{s % 7}"])) for s, d in spans if s < end)
-    got = pieces.cut_section(0, end, segs, 30_000, 2_000)
+    segs = sorted((s, min(s + d, end)) for s, d in spans if s < end)
+    covered = pieces.IntervalMap()
+    for s, e in segs:
+        covered.insert(s, e)
+    edges = [(0, covered.starts[0]), *covered.gaps(), (covered.ends[-1], end)] if segs else [(0, end)]
+    silent = [(a, b, (a % 7) / 7 if a % 3 else None) for a, b in edges if a < b]
+    bounds = (covered.starts[0], covered.ends[-1]) if segs else (None, None)
+    got, following = pieces.cut_section(0, end, end, silent, 30_000, 2_000, *bounds)
+    assert following is None
     assert got[0][0] == 0 and got[-1][1] == end
     for a, b in zip(got, got[1:]):
         assert b[0] == a[1] - 2_000
-    covered = pieces.IntervalMap()
-    for s, e, _ in segs:
-        covered.insert(s, e)
     for s, e, how, *_ in got:
         assert 0 < e - s <= 30_000
         inside = any(x < e < y for x, y in zip(covered.starts, covered.ends))
@@ -86,8 +92,38 @@ def test_stretches_are_told(spark):
     assert {r.recording_id for r in cut.collect()} == {"r", "q", "o"}
 
 
-def test_sections_change_no_stretch(spark):
-    rows = [(f"i{k}", "r", k * 11.0 % 5000, 9.0 + (k % 5) * 3, f"word{k % 11}", None, None, T0) for k in range(600)]
-    sup, audio = spark.createDataFrame(rows, SUP), spark.createDataFrame([("r", 1000, 5_100_000, None, T0)], AUDIO)
-    a, b = ({tuple(r) for r in pieces.uncuttable(pieces.pieces(sup, audio, 30_000, 2_000, s), 30_000).collect()} for s in (3_600_000, 200_000))
-    assert a == b and a
+def test_sections_change_no_piece(spark):
+    rows = [(f"i{k}", "r", k * 11.0 % 5000, 7.0 + (k % 5) * 2, f"word{k % 11} word{k * k % 13}", None, None, T0) for k in range(400)]
+    rows += [(f"j{k}", "q", 900.0 + 40 * k, 39.999 if k % 7 else 20.0, "x", None, None, T0) for k in range(60)]
+    sup = spark.createDataFrame(rows, SUP)
+    audio = spark.createDataFrame([("r", 1000, 5_100_000, None, T0), ("q", 1000, 3_400_500, None, T0), ("z", 1000, 90_000, None, T0)], AUDIO)
+    of = lambda s: sorted(tuple(r)[:1] + tuple(r)[2:] for r in pieces.pieces(sup, audio, 30_000, 2_000, s).collect())
+    a, b = of(3_600_000), of(200_000)
+    assert a == b and len(a) > 300
+    # as one pass over each recording gives them
+    spans = pieces.segment_spans(sup, ["text"])
+    gaps = {}
+    for g in pieces.similar_silences(spans).collect():
+        gaps.setdefault(g.recording_id, []).append((g.gap_start, g.gap_end, g.similar))
+    bounds = {r.recording_id: (r.a, r.b) for r in spans.groupBy("recording_id").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b")).collect()}
+    for rec, end in (("r", 5_100_000.0), ("q", 3_400_500.0)):
+        lo, hi = bounds[rec]
+        silent = sorted(x for x in [(0, lo, None), *gaps[rec], (hi, end, None)] if x[0] < min(x[1], end))
+        got, _ = pieces.cut_section(0.0, end, end, [(s, min(e, end), v) for s, e, v in silent], 30_000, 2_000, lo, hi)
+        assert [x[1:3] for x in a if x[0] == rec] == [x[:2] for x in got]
+
+
+def test_chunks_change_no_similarity(spark):
+    rows = [(f"i{k:03d}", f"r{k % 2}", k * 7.3 % 900, 1.0 + k % 3, f"word{k % 5} word{k % 7}" if k % 6 else None, None, None, T0) for k in range(200)]
+    spans = pieces.segment_spans(spark.createDataFrame(rows, SUP), ["text"])
+    one, many = (sorted((r.recording_id, r.gap_start, r.gap_end, -1 if r.similar is None else round(r.similar, 9)) for r in pieces.similar_silences(spans, c).collect()) for c in (10**9, 9_000))
+    assert one == many and len(one) > 100
+
+
+def test_no_words_are_no_valley():
+    assert pieces._similarity([frozenset()], [frozenset(["a"])]) is None
+    assert pieces.valley_depths([0.5, None, 0.5]) == [0.0, 0.0, 0.0]
+    assert pieces.valley_depths([0.9, None, 0.1, 0.5]) == pytest.approx([0.0, 0.0, 1.2, 0.0])
+    # among like neighbours the stretch that nobody transcribed does not win
+    gaps = [(float(t), t + 100.0, None if t == 20_000 else 0.4 if t != 24_000 else 0.1) for t in range(16_000, 30_000, 2_000)]
+    assert pieces.cut_section(0.0, 1.0, 90_000.0, gaps, 30_000, 2_000)[0][0][1] == 24_100.0

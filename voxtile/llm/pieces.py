@@ -1,36 +1,40 @@
 """Oversized recordings into pieces under a limit, cut at natural boundaries, with overlap (problem 5).
 
 Method: lexical-cohesion segmentation. At every silence the words of the block of segments
-before it are compared with those of the block after it; a low similarity between higher
-neighbours is a valley, and its depth is how far its neighbours rise above it. Within each
-size window the silence with the deepest valley ends the piece; the next piece starts the
+before it are compared with those of the block after it. Within each size window a low
+similarity between higher neighbours is a valley, its depth how far its neighbours rise
+above it, and the silence with the deepest valley ends the piece; the next piece starts the
 overlap before that end. Where the window has no silence the piece is cut in speech at the
 limit, and the stretch of speech around the cut is told.
 
-Scale: the segments of a recording are cut into sections at the first silence of every
-hour, so that a recording with a third of all rows is spread over many tasks and a task
-holds one section's segments at a time. Silences come from the interval map of
-voxtile.operators.coverage; the section a segment lies in is carried from hour to hour
-by a summary with one row per recording and hour.
+Scale: similarities come per (recording, chunk of time), with the four segments before and
+after the chunk given to it; silences come from the interval map of
+voxtile.operators.coverage. A piece depends on the one before, so a recording is cut in
+sections that are guessed and verified: each section is cut from a guessed first piece, the
+piece that its forerunner hands on then replaces the guess, and only sections whose first
+piece changes are cut again, until none does. The pieces are those of one pass from the
+recording's start, whatever the section's length. A task holds the silences of one section
+or the segments of one chunk; a recording with a third of all rows is many of both.
 
 Defined results: a recording without a length, or not in audio, gives no piece; one that
-is no longer than the limit gives one piece; null, empty and blank texts have no words
-and so no valley; segments that start beyond the recording's end are ignored, and those
-that reach beyond it end there; repeated rows and deliveries count once; empty tables
-give empty results; extra columns are ignored.
+is no longer than the limit gives one piece; a block without words (null, empty and blank
+texts) is no evidence: its silence has no valley; segments that start beyond the
+recording's end are ignored, and those that reach beyond it end there; repeated rows and
+deliveries count once; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtile.operators.coverage import IntervalMap, segment_spans, silences
-from voxtile.session import RECORDING_FIELDS, finite, first_delivery, keyed_stream, rows_to_batch
+from voxtile.operators.coverage import CHUNK_MS, IntervalMap, segment_spans
+from voxtile.session import RECORDING_FIELDS, checkpointed, finite, first_delivery, keyed_stream, rows_to_batch, salted_join
 
 SECTION_MS = 3_600_000
 BLOCK = 4
@@ -51,96 +55,126 @@ def words(text: str | None) -> frozenset[str]:
     return frozenset(out)
 
 
-def _similarity(a: list[frozenset], b: list[frozenset]) -> float:
+def _similarity(a: list[frozenset], b: list[frozenset]) -> float | None:
+    """The share of common words of two blocks; None where one of them has no words."""
     left, right = frozenset().union(*a), frozenset().union(*b)
     if not left or not right:
-        return 0.0
+        return None
     return len(left & right) / (len(left) * len(right)) ** 0.5
 
 
-def valley_depths(similarities: list[float]) -> list[float]:
-    """How far the nearest peaks on both sides rise above each value."""
-    n = len(similarities)
-    left, right = similarities[:], similarities[:]
-    for i in range(1, n):
-        left[i] = max(similarities[i], left[i - 1]) if similarities[i - 1] >= similarities[i] else similarities[i]
-    for i in range(n - 2, -1, -1):
-        right[i] = max(similarities[i], right[i + 1]) if similarities[i + 1] >= similarities[i] else similarities[i]
-    return [left[i] + right[i] - 2 * s for i, s in enumerate(similarities)]
+def valley_depths(similarities: list[float | None]) -> list[float]:
+    """How far the nearest peaks on both sides rise above each value; 0 where there is no value."""
+    known = [(i, s) for i, s in enumerate(similarities) if s is not None]
+    depths = [0.0] * len(similarities)
+    left, right = [s for _, s in known], [s for _, s in known]
+    for i in range(1, len(known)):
+        if left[i] <= known[i - 1][1]:
+            left[i] = left[i - 1]
+    for i in range(len(known) - 2, -1, -1):
+        if right[i] <= known[i + 1][1]:
+            right[i] = right[i + 1]
+    for (i, s), a, b in zip(known, left, right):
+        depths[i] = a + b - 2 * s
+    return depths
 
 
 def cut_section(
-    start: float, end: float, segs: list[tuple[int, int, frozenset]], piece_max: int, overlap: int, block: int = BLOCK, first: bool = True
-) -> list[tuple]:
-    """Pieces (start, end, how, depth, stretch_start, stretch_ms) of [start, end); segs are in order of start."""
-    covered = IntervalMap()
-    for s, e, _ in segs:
-        covered.insert(s, e)
-    gaps = covered.gaps()
-    starts = [s for s, _, _ in segs]
-    similar = []
-    for _, b in gaps:
-        i = bisect_left(starts, b)
-        similar.append(_similarity([w for *_, w in segs[max(0, i - block) : i]], [w for *_, w in segs[i : i + block]]))
-    depths = valley_depths(similar)
-    # silence before the first and after the last segment can be cut too
-    if covered.starts:
-        if covered.starts[0] > start:
-            gaps, depths = [(start, covered.starts[0]), *gaps], [0.0, *depths]
-        if covered.ends[-1] < end:
-            gaps, depths = [*gaps, (covered.ends[-1], end)], [*depths, 0.0]
-    elif end > start:
-        gaps, depths = [(start, end)], [0.0]
-    gap_starts, gap_ends = [g for g, _ in gaps], [g for _, g in gaps]
-    out, at = [], start if first else start - overlap
-    while end - at > piece_max:
+    at: float, stop: float, end: float, gaps: list[tuple], piece_max: int, overlap: int, before: float | None = None, after: float | None = None
+) -> tuple[list[tuple], float | None]:
+    """The pieces (start, end, how, depth, stretch_start, stretch_ms) that start from ``at`` on and before ``stop``, and the start of the next.
+
+    ``gaps`` are the silences (start, end, similarity) in order; ``before`` and ``after``
+    bound the speech where no silence of these does.
+    """
+    gap_starts, gap_ends = [g[0] for g in gaps], [g[1] for g in gaps]
+    out = []
+    while at < stop:
+        if end - at <= piece_max:
+            out.append((at, end, "end", 0.0, None, None))
+            return out, None
         limit, least = at + piece_max, at + overlap
         # silences that begin by the limit and end after the overlap
         lo, hi = bisect_right(gap_ends, least), bisect_right(gap_starts, limit)
         # the size window: the later half of the piece, or where that has no silence all of it
         late = max(lo, bisect_right(gap_ends, at + piece_max // 2))
-        best = max(range(late if late < hi else lo, hi), key=lambda i: (depths[i], i), default=None)
-        if best is not None:
+        first = late if late < hi else lo
+        if first < hi:
+            depths = valley_depths([g[2] for g in gaps[first:hi]])
+            depth, best = max((d, i) for i, d in enumerate(depths, first))
             cut = min(gap_ends[best], limit)
-            out.append((at, cut, "silence", depths[best], None, None))
+            out.append((at, cut, "silence", depth, None, None))
         else:
             cut = limit
-            k = bisect_right(covered.starts, cut) - 1
-            s, e = covered.starts[k], covered.ends[k]
+            s = gap_ends[lo - 1] if lo else before
+            e = gap_starts[hi] if hi < len(gaps) else after
+            s, e = at if s is None else s, end if e is None else e
             out.append((at, cut, "speech", 0.0, s, min(e, end) - s))
         at = cut - overlap
-    out.append((at, end, "end", 0.0, None, None))
-    return out
+    return out, at
+
+
+class _Similar:
+    """State of one (recording, chunk): its silences and the similarity of the blocks around each."""
 
+    def __init__(self, key: tuple):
+        self.key, self.segs, self.before, self.after, self.carry = key, [], [], [], None
 
-_OUT = pa.schema(
-    [
-        ("recording_id", pa.string()), ("section_ms", pa.int64()), ("start_ms", pa.float64()), ("end_ms", pa.float64()),
-        ("how", pa.string()), ("depth", pa.float64()), ("stretch_start_ms", pa.int64()), ("stretch_ms", pa.float64()),
-    ]
-)
+    def add(self, row: tuple) -> None:
+        _, _, start, end, text, self.carry, before, after = row
+        self.segs.append((start, end, text))
+        self.before, self.after = self.before or before or [], self.after or after or []
 
+    def finish(self) -> list[tuple]:
+        covered = IntervalMap()
+        for s, e, _ in self.segs:
+            covered.insert(s, e)
+        texts = [*self.before, *(t for *_, t in self.segs), *self.after]
+        starts, skip = [s for s, *_ in self.segs], len(self.before)
+        known: dict[int, frozenset] = {}
 
-def _section_state(piece_max: int, overlap: int):
-    class Section:
-        def __init__(self, key: tuple):
-            self.key, self.segs, self.end = key, [], None
+        def block(i: int, j: int) -> list[frozenset]:
+            for k in range(max(0, i), min(j, len(texts))):
+                if k not in known:
+                    known[k] = words(texts[k])
+            return [known[k] for k in range(max(0, i), min(j, len(texts)))]
 
-        def add(self, row: tuple) -> None:
-            _, _, start, end, text, self.end, self.first = row
-            if start is not None:
-                self.segs.append((start, end, words(text)))
+        rows, edge = [], self.carry
+        for s, e in zip(covered.starts, covered.ends):
+            if edge is not None and s > edge:
+                i = skip + bisect_left(starts, s)
+                rows.append((self.key[0], edge, s, _similarity(block(i - BLOCK, i), block(i, i + BLOCK))))
+            edge = e if edge is None else max(edge, e)
+        return rows
 
-        def finish(self) -> list[tuple]:
-            rec, begin = self.key
-            last = self.end
-            segs = [(s, min(e, last), w) for s, e, w in self.segs if s < last]
-            return [
-                (rec, begin, float(a), float(b), how, depth, None if s is None else int(s), None if n is None else float(n))
-                for a, b, how, depth, s, n in cut_section(begin, last, segs, piece_max, overlap, first=self.first)
-            ]
 
-    return Section
+_GAPS = pa.schema([("recording_id", pa.string()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("similar", pa.float64())])
+
+
+def similar_silences(spans: DataFrame, chunk_ms: int = CHUNK_MS, block: int = BLOCK) -> DataFrame:
+    """(recording_id, gap_start, gap_end, similar): the silences between segments, with the similarity of the blocks of segments around each."""
+    keys = ["recording_id", "chunk"]
+    spans = spans.withColumn("chunk", F.floor(F.col("start_ms") / chunk_ms).cast("long")).repartition(*keys)
+    within = Window.partitionBy(*keys).orderBy("start_ms", "id")
+    before = Window.partitionBy("recording_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per recording and chunk: the latest end and the number of segments before it
+    summary = spans.groupBy(*keys).agg(F.max("end_ms").alias("e"), F.count(F.lit(1)).alias("n"))
+    summary = summary.select(*keys, "n", F.max("e").over(before).alias("carry"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = spans.withColumn("row", F.row_number().over(within)).join(summary, keys)
+    # a segment goes to the chunks that begin among the next segments, or that end among those before it
+    edge = placed.where((F.col("row") <= block) | (F.col("row") > F.col("n") - block)).withColumn("pos", F.col("base") + F.col("row") - 1)
+    near = F.sequence(F.lit(1), F.lit(block))
+    following = edge.select("recording_id", "pos", "text", F.explode(F.transform(near, lambda d: F.col("pos") + d)).alias("at"))
+    leading = edge.select("recording_id", "pos", "text", F.explode(F.transform(near, lambda d: F.col("pos") - d + 1)).alias("at"))
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    context = following.join(summary.select("recording_id", "chunk", F.col("base").alias("at")), ["recording_id", "at"]).groupBy(*keys).agg(lists.alias("earlier"))
+    later = leading.join(summary.select("recording_id", "chunk", (F.col("base") + F.col("n")).alias("at")), ["recording_id", "at"]).groupBy(*keys).agg(lists.alias("later"))
+    full = placed.join(context, keys, "left").join(later, keys, "left")
+    only = lambda c: F.when(F.col("row") == 1, F.col(c)).alias(c)
+    work = full.select(*keys, "start_ms", "end_ms", "text", "carry", only("earlier"), only("later"), "id").repartition(*keys)
+    work = work.sortWithinPartitions(*keys, "start_ms", "id").drop("id")
+    run = keyed_stream(keys, _Similar, lambda rows: rows_to_batch(rows, _GAPS))
+    return work.mapInArrow(run, "recording_id string, gap_start long, gap_end long, similar double")
 
 
 def recording_ends(audio: DataFrame) -> DataFrame:
@@ -151,41 +185,84 @@ def recording_ends(audio: DataFrame) -> DataFrame:
     return a.select(F.col("id").alias("recording_id"), end.alias("rec_end")).where("rec_end > 0")
 
 
+_PIECE = "array<struct<start_ms:double,end_ms:double,how:string,depth:double,stretch_start_ms:long,stretch_ms:double>>"
+
+
+def _sections(spans: DataFrame, ends: DataFrame, piece_max: int, section: int) -> DataFrame:
+    """(recording_id, section, rec_end, gaps, before, after): each section of each recording with the silences that its pieces can meet."""
+    around = spans.groupBy("recording_id").agg(F.min("start_ms").alias("from_ms"), F.max("end_ms").alias("to_ms"))
+    known = ends.join(around, "recording_id", "left")
+    edges = known.select(
+        "recording_id", "rec_end",
+        F.explode(F.when(F.col("from_ms").isNull(), F.array(F.struct(F.lit(0.0).alias("s"), F.col("rec_end").alias("e")))).otherwise(
+            F.array(F.struct(F.lit(0.0).alias("s"), F.col("from_ms").cast("double").alias("e")), F.struct(F.col("to_ms").cast("double").alias("s"), F.col("rec_end").alias("e"))))).alias("g"),
+    ).select("recording_id", "rec_end", F.col("g.s").alias("s"), F.col("g.e").alias("e"), F.lit(None).cast("double").alias("similar"))
+    inner = similar_silences(spans).select("recording_id", F.col("gap_start").cast("double").alias("s"), F.col("gap_end").cast("double").alias("e"), "similar")
+    gaps = salted_join(inner, ends, "recording_id", "s").select("recording_id", "rec_end", "s", "e", "similar").unionByName(edges)
+    gaps = gaps.withColumn("e", F.least("e", "rec_end")).withColumn("s", F.greatest("s", F.lit(0.0))).where("s < e")
+    number = lambda c: F.floor(c / section).cast("long")
+    gaps = gaps.withColumn("a", F.greatest(number(F.col("s") - piece_max), F.lit(0))).withColumn("b", F.least(number(F.col("e")), number(F.col("rec_end"))))
+    placed = gaps.select("recording_id", F.explode(F.sequence("a", F.greatest("a", "b"))).alias("section"), "s", "e", "similar")
+    lists = placed.groupBy("recording_id", "section").agg(F.array_sort(F.collect_list(F.struct("s", "e", "similar"))).alias("gaps"))
+    by_end = gaps.groupBy("recording_id", F.col("b").alias("section")).agg(F.max("e").alias("last_end"))
+    by_start = gaps.groupBy("recording_id", F.col("a").alias("section")).agg(F.min("s").alias("first_start"))
+    every = known.select("recording_id", "rec_end", "from_ms", "to_ms", F.explode(F.sequence(F.lit(0).cast("long"), number(F.col("rec_end")))).alias("section"))
+    for part in (lists, by_end, by_start):
+        every = every.join(part, ["recording_id", "section"], "left")
+    order = Window.partitionBy("recording_id").orderBy("section")
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    return every.select(
+        "recording_id", "section", "rec_end", "gaps",
+        F.coalesce(F.max("last_end").over(earlier), F.col("from_ms").cast("double")).alias("before"),
+        F.coalesce(F.min("first_start").over(later), F.col("to_ms").cast("double")).alias("after"),
+    )
+
+
+def _cut(sections: DataFrame, piece_max: int, overlap: int, section: int) -> DataFrame:
+    """(recording_id, section, entry, next, pieces): sections cut from their entry on; an entry below 0 gives no piece."""
+    names = sections.columns
+    schema = pa.schema([("recording_id", pa.string()), ("section", pa.int64()), ("entry", pa.float64()), ("next", pa.float64()), ("pieces", pa.list_(pa.struct(
+        [("start_ms", pa.float64()), ("end_ms", pa.float64()), ("how", pa.string()), ("depth", pa.float64()), ("stretch_start_ms", pa.int64()), ("stretch_ms", pa.float64())])))])
+    fields = [f.name for f in schema.field("pieces").type.value_type]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in zip(*[c.to_pylist() for c in b.columns]):
+                x = dict(zip(names, r))
+                found, following = [], None
+                if x["entry"] >= 0:
+                    gaps = [(g["s"], g["e"], g["similar"]) for g in x["gaps"] or ()]
+                    found, following = cut_section(x["entry"], (x["section"] + 1) * section, x["rec_end"], gaps, piece_max, overlap, x["before"], x["after"])
+                made = [dict(zip(fields, (float(p), float(q), how, d, None if s is None else int(s), None if n is None else float(n)))) for p, q, how, d, s, n in found]
+                rows.append((x["recording_id"], x["section"], x["entry"], following, made))
+            yield rows_to_batch(rows, schema)
+
+    return sections.mapInArrow(run, f"recording_id string, section long, entry double, next double, pieces {_PIECE}")
+
+
 def pieces(supervision: DataFrame, audio: DataFrame, piece_max: int, overlap: int, section_ms: int = SECTION_MS) -> DataFrame:
-    """(recording_id, piece, start_ms, end_ms, how, depth, stretch_start_ms, stretch_ms).
+    """(recording_id, section, start_ms, end_ms, how, depth, stretch_start_ms, stretch_ms).
 
     ``how``: the piece ends in a silence, in speech, or at the end of the recording; for
     those that end in speech, the stretch of speech that was cut and its length up to the
-    end of the recording.
+    end of the recording. ``section`` is where the piece was made and tells nothing.
     """
     if not 0 <= overlap < piece_max:
         raise ValueError("overlap must lie below piece_max")
-    ends = recording_ends(audio)
-    spans = segment_spans(supervision, ["text"])
-    gaps = silences(spans.select("recording_id", "start_ms", "end_ms"), max_ms=None)
-    hour = lambda c: F.floor(F.col(c) / section_ms).cast("long")
-    # The first silence that ends in each hour after the first starts a section.
-    anchors = gaps.withColumn("hour", hour("gap_end_ms")).where("hour > 0").groupBy("recording_id", "hour").agg(F.min("gap_end_ms").alias("anchor"))
-    anchors = anchors.join(ends, "recording_id").where("anchor < rec_end").drop("rec_end")
-    before = Window.partitionBy("recording_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = spans.select("recording_id", hour("start_ms").alias("hour")).distinct().join(anchors, ["recording_id", "hour"], "left")
-    hours = hours.select("recording_id", "hour", "anchor", F.last("anchor", ignorenulls=True).over(before).alias("carried"))
-    segs = spans.withColumn("hour", hour("start_ms")).join(hours, ["recording_id", "hour"])
-    section = F.when(F.col("start_ms") >= F.col("anchor"), F.col("anchor")).otherwise(F.coalesce("carried", F.lit(0)))
-    segs = segs.select("recording_id", section.alias("section_ms"), "start_ms", "end_ms", "text")
-    # every section once, also those without segments, with where it ends
-    begins = ends.select("recording_id", F.lit(0).cast("long").alias("section_ms")).unionByName(anchors.select("recording_id", F.col("anchor").alias("section_ms")))
-    after = Window.partitionBy("recording_id").orderBy("section_ms")
-    begins = begins.withColumn("next", F.lead("section_ms").over(after)).join(ends, "recording_id")
-    begins = begins.select("recording_id", "section_ms", F.coalesce(F.col("next").cast("double"), "rec_end").alias("section_end"), (F.col("section_ms") == 0).alias("first"))
-    work = begins.join(segs, ["recording_id", "section_ms"], "left").select("recording_id", "section_ms", "start_ms", "end_ms", "text", "section_end", "first")
-    work = work.repartition("recording_id", "section_ms").sortWithinPartitions("recording_id", "section_ms", "start_ms", "end_ms", "text")
-    run = keyed_stream(["recording_id", "section_ms"], _section_state(piece_max, overlap), lambda rows: rows_to_batch(rows, _OUT))
-    cut = work.mapInArrow(run, "recording_id string, section_ms long, start_ms double, end_ms double, how string, depth double, stretch_start_ms long, stretch_ms double")
-    # a section that ends where the next one starts ends in a silence
-    last = F.when((F.col("how") == "end") & (F.col("end_ms") != F.col("rec_end")), "silence").otherwise(F.col("how"))
-    cut = cut.join(ends, "recording_id").withColumn("how", last).drop("rec_end")
-    return cut.select("recording_id", "section_ms", "start_ms", "end_ms", "how", "depth", "stretch_start_ms", "stretch_ms")
+    section = max(section_ms, 2 * piece_max)
+    keys = ["recording_id", "section"]
+    sections = checkpointed(_sections(segment_spans(supervision, ["text"]), recording_ends(audio), piece_max, section))
+    # the first guess: a piece starts where the section does; that is true of the first section
+    done = checkpointed(_cut(sections.withColumn("entry", F.col("section").cast("double") * section), piece_max, overlap, section))
+    while True:
+        handed = done.select("recording_id", (F.col("section") + 1).alias("section"), F.coalesce("next", F.lit(-1.0)).alias("given"))
+        wrong = checkpointed(done.select(*keys, "entry").join(handed, keys).where("entry <> given").select(*keys, F.col("given").alias("entry")))
+        if wrong.isEmpty():
+            break
+        again = _cut(sections.join(wrong, keys), piece_max, overlap, section)
+        done = checkpointed(done.join(wrong.select(*keys), keys, "left_anti").unionByName(again))
+    return done.select(*keys, F.explode("pieces").alias("p")).select(*keys, "p.*")
 
 
 def uncuttable(cut: DataFrame, piece_max: int) -> DataFrame:

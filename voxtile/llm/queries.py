@@ -47,6 +47,19 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)[0]
 
 
+def p5_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, from_ms, to_ms, too_long, wrong_overlap): what the pieces of each recording cover, and how many break a rule."""
+    s = settings(spark, sf_dir)
+    most, overlap = round(s["piece_max"] * 1000), round(s["piece_overlap"] * 1000)
+    cut = pieces.pieces(table(spark, sf_dir, "supervision"), table(spark, sf_dir, "audio"), most, overlap)
+    w = Window.partitionBy("recording_id", "section").orderBy("start_ms")
+    cut = cut.withColumn("shared", F.lag("end_ms").over(w) - F.col("start_ms"))
+    return cut.groupBy("recording_id").agg(
+        F.min("start_ms").cast("long").alias("from_ms"), F.round(F.max("end_ms")).cast("long").alias("to_ms"),
+        F.count_if(F.col("end_ms") - F.col("start_ms") > most).alias("too_long"), F.count_if(F.abs(F.col("shared") - overlap) > 1e-6).alias("wrong_overlap"),
+    )
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -88,7 +101,7 @@ def p8_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p4_found, p4_splits, p5_found, p5_pieces, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_sentences, p8_cover)
+    for f in (p1_found, p1_turns, p4_found, p4_splits, p5_found, p5_pieces, p5_limits, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_sentences, p8_cover)
 }
 
 _FIRST = """
@@ -113,6 +126,9 @@ ORACLES = {
     "p5_found": _FIRST
     + """SELECT recording_id, s AS stretch_start_ms FROM periods JOIN ends ON ends.id = periods.recording_id
          WHERE least(e, stop) - s > (SELECT amount * 1000 FROM job_settings WHERE name = 'piece_max')""",
+    "p5_limits": _FIRST
+    + """SELECT id AS recording_id, CAST(0 AS BIGINT) AS from_ms, CAST(round(stop) AS BIGINT) AS to_ms, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS wrong_overlap
+         FROM ends WHERE stop > 0""",
     # every document with a visible character is covered from its first such character to its end
     "p8_cover": r"""SELECT doc_id, length(regexp_extract(text, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]*')) AS first_char, length(text) AS end_char, CAST(0 AS BIGINT) AS gaps
         FROM documents WHERE regexp_matches(text, '[^\s\p{Z}\p{C}]')""",
