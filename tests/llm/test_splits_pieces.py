@@ -103,7 +103,7 @@ def test_sections_change_no_piece(spark):
     # as one pass over each recording gives them
     spans = pieces.segment_spans(sup, ["text"])
     gaps = {}
-    for g in pieces.similar_silences(spans).collect():
+    for g in pieces.similar_silences(pieces.placed_spans(spans)).collect():
         gaps.setdefault(g.recording_id, []).append((g.gap_start, g.gap_end, g.similar))
     bounds = {r.recording_id: (r.a, r.b) for r in spans.groupBy("recording_id").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b")).collect()}
     for rec, end in (("r", 5_100_000.0), ("q", 3_400_500.0)):
@@ -116,7 +116,7 @@ def test_sections_change_no_piece(spark):
 def test_chunks_change_no_similarity(spark):
     rows = [(f"i{k:03d}", f"r{k % 2}", k * 7.3 % 900, 1.0 + k % 3, f"word{k % 5} word{k % 7}" if k % 6 else None, None, None, T0) for k in range(200)]
     spans = pieces.segment_spans(spark.createDataFrame(rows, SUP), ["text"])
-    one, many = (sorted((r.recording_id, r.gap_start, r.gap_end, -1 if r.similar is None else round(r.similar, 9)) for r in pieces.similar_silences(spans, c).collect()) for c in (10**9, 9_000))
+    one, many = (sorted((r.recording_id, r.gap_start, r.gap_end, -1 if r.similar is None else round(r.similar, 9)) for r in pieces.similar_silences(pieces.placed_spans(spans, c)).collect()) for c in (10**9, 9_000))
     assert one == many and len(one) > 100
 
 

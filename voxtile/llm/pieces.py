@@ -151,8 +151,8 @@ class _Similar:
 _GAPS = pa.schema([("recording_id", pa.string()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("similar", pa.float64())])
 
 
-def similar_silences(spans: DataFrame, chunk_ms: int = CHUNK_MS, block: int = BLOCK) -> DataFrame:
-    """(recording_id, gap_start, gap_end, similar): the silences between segments, with the similarity of the blocks of segments around each."""
+def placed_spans(spans: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Adds the chunk, the place in it (``row`` of ``n``), how many segments lie before the chunk (``base``) and their latest end (``carry``)."""
     keys = ["recording_id", "chunk"]
     spans = spans.withColumn("chunk", F.floor(F.col("start_ms") / chunk_ms).cast("long")).repartition(*keys)
     within = Window.partitionBy(*keys).orderBy("start_ms", "id")
@@ -160,7 +160,14 @@ def similar_silences(spans: DataFrame, chunk_ms: int = CHUNK_MS, block: int = BL
     # one row per recording and chunk: the latest end and the number of segments before it
     summary = spans.groupBy(*keys).agg(F.max("end_ms").alias("e"), F.count(F.lit(1)).alias("n"))
     summary = summary.select(*keys, "n", F.max("e").over(before).alias("carry"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = spans.withColumn("row", F.row_number().over(within)).join(summary, keys)
+    # read four times below, and by the caller: written once
+    return checkpointed(spans.withColumn("row", F.row_number().over(within)).join(summary, keys))
+
+
+def similar_silences(placed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(recording_id, gap_start, gap_end, similar): the silences between segments, with the similarity of the blocks of segments around each."""
+    keys = ["recording_id", "chunk"]
+    summary = placed.where("row = 1").select(*keys, "n", "base")
     # a segment goes to the chunks that begin among the next segments, or that end among those before it
     edge = placed.where((F.col("row") <= block) | (F.col("row") > F.col("n") - block)).withColumn("pos", F.col("base") + F.col("row") - 1)
     near = F.sequence(F.lit(1), F.lit(block))
@@ -188,20 +195,21 @@ def recording_ends(audio: DataFrame) -> DataFrame:
 _PIECE = "array<struct<start_ms:double,end_ms:double,how:string,depth:double,stretch_start_ms:long,stretch_ms:double>>"
 
 
-def _sections(spans: DataFrame, ends: DataFrame, piece_max: int, section: int) -> DataFrame:
+def _sections(placed: DataFrame, ends: DataFrame, piece_max: int, section: int) -> DataFrame:
     """(recording_id, section, rec_end, gaps, before, after): each section of each recording with the silences that its pieces can meet."""
-    around = spans.groupBy("recording_id").agg(F.min("start_ms").alias("from_ms"), F.max("end_ms").alias("to_ms"))
+    around = placed.groupBy("recording_id").agg(F.min("start_ms").alias("from_ms"), F.max("end_ms").alias("to_ms"))
     known = ends.join(around, "recording_id", "left")
     edges = known.select(
         "recording_id", "rec_end",
         F.explode(F.when(F.col("from_ms").isNull(), F.array(F.struct(F.lit(0.0).alias("s"), F.col("rec_end").alias("e")))).otherwise(
             F.array(F.struct(F.lit(0.0).alias("s"), F.col("from_ms").cast("double").alias("e")), F.struct(F.col("to_ms").cast("double").alias("s"), F.col("rec_end").alias("e"))))).alias("g"),
     ).select("recording_id", "rec_end", F.col("g.s").alias("s"), F.col("g.e").alias("e"), F.lit(None).cast("double").alias("similar"))
-    inner = similar_silences(spans).select("recording_id", F.col("gap_start").cast("double").alias("s"), F.col("gap_end").cast("double").alias("e"), "similar")
+    inner = similar_silences(placed).select("recording_id", F.col("gap_start").cast("double").alias("s"), F.col("gap_end").cast("double").alias("e"), "similar")
     gaps = salted_join(inner, ends, "recording_id", "s").select("recording_id", "rec_end", "s", "e", "similar").unionByName(edges)
     gaps = gaps.withColumn("e", F.least("e", "rec_end")).withColumn("s", F.greatest("s", F.lit(0.0))).where("s < e")
     number = lambda c: F.floor(c / section).cast("long")
     gaps = gaps.withColumn("a", F.greatest(number(F.col("s") - piece_max), F.lit(0))).withColumn("b", F.least(number(F.col("e")), number(F.col("rec_end"))))
+    gaps = checkpointed(gaps)  # read three times below
     placed = gaps.select("recording_id", F.explode(F.sequence("a", F.greatest("a", "b"))).alias("section"), "s", "e", "similar")
     lists = placed.groupBy("recording_id", "section").agg(F.array_sort(F.collect_list(F.struct("s", "e", "similar"))).alias("gaps"))
     by_end = gaps.groupBy("recording_id", F.col("b").alias("section")).agg(F.max("e").alias("last_end"))
@@ -252,7 +260,7 @@ def pieces(supervision: DataFrame, audio: DataFrame, piece_max: int, overlap: in
         raise ValueError("overlap must lie below piece_max")
     section = max(section_ms, 2 * piece_max)
     keys = ["recording_id", "section"]
-    sections = checkpointed(_sections(segment_spans(supervision, ["text"]), recording_ends(audio), piece_max, section))
+    sections = checkpointed(_sections(placed_spans(segment_spans(supervision, ["text"])), checkpointed(recording_ends(audio)), piece_max, section))
     # the first guess: a piece starts where the section does; that is true of the first section
     done = checkpointed(_cut(sections.withColumn("entry", F.col("section").cast("double") * section), piece_max, overlap, section))
     while True:
