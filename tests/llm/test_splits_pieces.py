@@ -127,3 +127,26 @@ def test_no_words_are_no_valley():
     # among like neighbours the stretch that nobody transcribed does not win
     gaps = [(float(t), t + 100.0, None if t == 20_000 else 0.4 if t != 24_000 else 0.1) for t in range(16_000, 30_000, 2_000)]
     assert pieces.cut_section(0.0, 1.0, 90_000.0, gaps, 30_000, 2_000)[0][0][1] == 24_100.0
+
+
+def test_shares_hold_for_every_language(spark):
+    people = spark.createDataFrame([(f"spk{k:08d}", f"First{k} Last{k}", None) for k in range(100, 500)], "speaker_id string, name string, gender string")
+    codes = ["en", "EN-us", "eng", "de", "deu", "klingon", None]
+    rows = [(f"i{k}", f"r{k // 3}", 0.0, 1.0, "t", f"spk{100 + (k * k) % 397:08d}" if k % 40 == 0 else None, codes[(k // 3) % 7], T0) for k in range(6000)]
+    shares = {"train": 0.8, "valid": 0.1, "test": 0.1}
+    out = splits.assign_splits(spark.createDataFrame(rows, SUP), people, shares)
+    worst = {r.language: r.w for r in splits.split_deviation(out, shares).groupBy("language").agg(F.max(F.abs("points")).alias("w")).collect()}
+    assert set(worst) == {"en", "de", "?"} and max(worst.values()) <= 1.0
+
+
+def test_pairs_of_a_group_come_block_by_block(spark):
+    groups = spark.createDataFrame([(f"r{k:02d}", "r00" if k < 30 else f"r{30 + (k - 30) // 2 * 2:02d}") for k in range(40)], "record string, label string")
+    got = [tuple(r) for r in splits.linked_pairs(groups, block=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(f"r{i:02d}", f"r{j:02d}") for i in range(40) for j in range(i + 1, 40) if j < 30 or (i >= 30 and (i - 30) // 2 == (j - 30) // 2)}
+
+
+def test_a_superseded_delivery_links_nothing(spark):
+    people = spark.createDataFrame([("spk00010001", "Risen Muporont", None)], "speaker_id string, name string, gender string")
+    rows = [("a", "r1", 0.0, 1.0, "t", "spk00010001", "en", T0), ("b", "r2", 0.0, 1.0, "t", "Agent", "en", T0), ("b", "r2", None, 1.0, None, "spk00010001", "en", T0)]
+    edges = splits.record_entities(spark.createDataFrame(rows, SUP), people)
+    assert [tuple(r) for r in edges.collect()] == [("r1", "spk00010001")]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxtile.llm import packing, pieces, sentences, splits, tokens, turns
+from voxtile.llm.turns import CODES
 from voxtile.plans.problems import settings
 from voxtile.session import table
 
@@ -23,14 +24,29 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.linked_pairs(splits.connected_groups(edges))
 
 
-def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _shares(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     s = settings(spark, sf_dir)
-    shares = {"train": s["split_train"], "valid": s["split_valid"], "test": s["split_test"]}
+    return {"train": s["split_train"], "valid": s["split_valid"], "test": s["split_test"]}
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = _shares(spark, sf_dir)
     return splits.assign_splits(table(spark, sf_dir, "supervision"), table(spark, sf_dir, "speakers"), shares)
 
 
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assigned(spark, sf_dir)
+    return _assigned(spark, sf_dir).select("id", "recording_id", "split")
+
+
+def p4_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, n, n_splits): the segments of each recording and in how many splits they are."""
+    return _assigned(spark, sf_dir).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("n_splits"))
+
+
+def p4_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(language, n, within): the languages of 1,000 segments or more, and whether all splits are within a point of their share."""
+    d = splits.split_deviation(_assigned(spark, sf_dir), _shares(spark, sf_dir))
+    return d.where("total >= 1000").groupBy("language").agg(F.max("total").alias("n"), (F.max(F.abs("points")) <= 1.0).alias("within"))
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -101,7 +117,7 @@ def p8_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p4_found, p4_splits, p5_found, p5_pieces, p5_limits, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_sentences, p8_cover)
+    for f in (p1_found, p1_turns, p4_found, p4_splits, p4_recordings, p4_deviation, p5_found, p5_pieces, p5_limits, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_sentences, p8_cover)
 }
 
 _FIRST = """
@@ -122,7 +138,14 @@ heard AS (SELECT id, min((CAST(sampling_rate IS NULL AS INT) + CAST(num_samples
 ends AS (SELECT id, coalesce(CASE WHEN r[3] > 0 THEN r[4] * 1000.0 / r[3] END, r[5] * 1000) AS stop FROM heard)
 """
 
+_CASES = " ".join(f"WHEN '{name}' THEN '{of}'" for name, of in CODES.items())
+_CHOSEN = _FIRST[: _FIRST.index("spans AS")].replace('"start", duration)) AS r', 'language)) AS r') + "x AS (SELECT id, r[3] AS recording_id, r[4] AS language FROM first WHERE r[3] IS NOT NULL)"
+
 ORACLES = {
+    "p4_recordings": _CHOSEN + " SELECT recording_id, count(*) AS n, CAST(1 AS BIGINT) AS n_splits FROM x GROUP BY recording_id",
+    "p4_deviation": _CHOSEN
+    + f""", l AS (SELECT coalesce(CASE split_part(replace(lower(trim(language)), '_', '-'), '-', 1) {_CASES} END, '?') AS language FROM x)
+         SELECT language, count(*) AS n, true AS within FROM l GROUP BY language HAVING count(*) >= 1000""",
     "p5_found": _FIRST
     + """SELECT recording_id, s AS stretch_start_ms FROM periods JOIN ends ON ends.id = periods.recording_id
          WHERE least(e, stop) - s > (SELECT amount * 1000 FROM job_settings WHERE name = 'piece_max')""",

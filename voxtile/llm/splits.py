@@ -1,42 +1,54 @@
 """Train, validation and test splits that keep related records together (problem 4).
 
 Method: minimum labels are propagated over the bipartite graph of records and entities
-until none changes; records with one label are a group. Groups are then assigned to
-splits so that the labels' distribution (here the language) deviates little from the
-wanted shares.
+until none changes; records with one label are a group. Groups are then assigned so that
+the distribution of the segments' language in each split deviates little from the wanted
+shares: units are placed one after another, largest first, each where the share of its
+languages that is filled already is least.
 
 Scale: edges are made distinct before the first shuffle, so a person with a third of all
-rows is one edge per recording. Each round also jumps labels to their label's label, so
-the number of rounds grows with the logarithm of the longest chain. A round is cut by a
-checkpoint in the shared folder. No group, link or label is collected: groups above
-1/1000 of the rows, fewer than 1,000 by arithmetic, are assigned one after another on the
-driver; the rest go by strata of label and size, in at most 256 hash cells each, whose
-running totals are cut at the shares that the large groups left open.
+rows is one edge per recording, and joins split keys of very many rows into parts. Each
+round also jumps labels to their label's label, so the number of rounds grows with the
+logarithm of the longest chain. A round is cut by a checkpoint in the shared folder. The
+units that the driver places are groups above 1/1000 of the rows, fewer than 1,000 by
+arithmetic, and for all others at most 256 hash cells for each language and size class
+(powers of two), fewer than 130,000 rows whatever the corpus. Pairs of a group come block
+by block.
 
 Defined results: null recording ids take no part; labels that name nobody or only a role
-link nothing; a recording without any named person is a group alone; repeated rows and
-repeated deliveries count once; empty tables give empty results; extra columns are ignored.
+link nothing; a recording without any named person is a group alone; a code that is no
+language of the table counts as "?"; repeated rows and repeated deliveries count once;
+empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtile.llm.people import label_key_udf, resolve
-from voxtile.session import SEGMENT_FIELDS, checkpointed, first_delivery
+from voxtile.llm.turns import CODES
+from voxtile.operators.dataset import with_position
+from voxtile.operators.joins import block_pairs
+from voxtile.session import SEGMENT_FIELDS, checkpointed, first_delivery, salted_join
 
 LARGE = 1000
 CELLS = 256
 MAX_ROUNDS = 60
 
 
-def record_entities(supervision: DataFrame, speakers: DataFrame) -> DataFrame:
+def segments(supervision: DataFrame) -> DataFrame:
+    """(id, recording_id, speaker, language) of the delivery of each segment that counts."""
+    return first_delivery(supervision, SEGMENT_FIELDS, ["recording_id", "speaker", "language"]).where("recording_id is not null")
+
+
+def record_entities(supervision: DataFrame, speakers: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """(record, entity): recordings and the persons that ``speaker`` names in them, once each."""
-    said = supervision.where("recording_id is not null and id is not null and speaker is not null").select("recording_id", "speaker").distinct()
+    chosen = segments(supervision) if chosen is None else chosen
+    said = chosen.where("speaker is not null").select("recording_id", "speaker").distinct()
     said = said.select(F.col("recording_id").alias("record"), label_key_udf("speaker").alias("key")).where("key is not null and key not like 'role:%'").distinct()
     people = resolve(said.select("key"), speakers).select("key", F.col("person").alias("entity"))
-    return said.join(people, "key").select("record", "entity").distinct()
+    return salted_join(said, people, "key", "record").select("record", "entity").distinct()
 
 
 def connected_groups(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -49,11 +61,11 @@ def connected_groups(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFram
     labels = edges.select("record").distinct().select("record", F.col("record").alias("label"))
     labels = checkpointed(labels)
     for _ in range(max_rounds):
-        least = edges.join(labels, "record").groupBy("entity").agg(F.min("label").alias("label"))
-        offered = edges.join(least, "entity").groupBy("record").agg(F.min("label").alias("offer"))
+        least = salted_join(edges, labels, "record", "entity").groupBy("entity").agg(F.min("label").alias("label"))
+        offered = salted_join(edges, least, "entity", "record").groupBy("record").agg(F.min("label").alias("offer"))
         stepped = labels.join(offered, "record").select("record", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
         parents = stepped.select(F.col("record").alias("label"), F.col("label").alias("above"))
-        jumped = stepped.join(parents, "label", "left").select("record", "old", F.least("label", F.coalesce("above", "label")).alias("label"))
+        jumped = salted_join(stepped, parents, "label", "record", "left").select("record", "old", F.least("label", F.coalesce("above", "label")).alias("label"))
         step = checkpointed(jumped)
         changed = step.where("label <> old").limit(1).count()
         labels = step.select("record", "label")
@@ -62,76 +74,77 @@ def connected_groups(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFram
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
-def linked_pairs(groups: DataFrame) -> DataFrame:
+def linked_pairs(groups: DataFrame, block: int = 1000) -> DataFrame:
     """(recording_a, recording_b), a < b: all pairs of one group."""
     often = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
-    g = groups.join(often, "label", "left_semi")
-    a, b = g.withColumnRenamed("record", "recording_a"), g.withColumnRenamed("record", "recording_b")
-    return a.join(b, "label").where("recording_a < recording_b").select("recording_a", "recording_b")
+    placed = with_position(salted_join(groups, often, "label", "record"), "label", "record")
+    firsts = placed.groupBy("label").agg(F.min("_pos").alias("first"))
+    placed = salted_join(placed, firsts, "label", "record").withColumn("place", F.col("_pos") - F.col("first"))
+    pairs = block_pairs(placed, "label", "place", "record", block)
+    return pairs.select(F.col("left").alias("recording_a"), F.col("right").alias("recording_b"))
+
+
+def language_label(code: Column) -> Column:
+    """The language of a code by the table of languages, "?" where it has none."""
+    table = F.create_map(*[F.lit(x) for name, of in CODES.items() for x in (name, of)])
+    return F.coalesce(F.try_element_at(table, F.split(F.lower(F.trim(code)), "[-_]")[0]), F.lit("?"))
 
 
-def _place_large(large: list, shares: list[tuple[str, float]], totals: dict[str, float]) -> tuple[dict, dict]:
-    """Large groups, largest first, each to the split where the labels' distribution then deviates least."""
+def place_units(units: list[tuple[object, dict[str, float]]], shares: list[tuple[str, float]], totals: dict[str, float]) -> dict:
+    """The split of each unit (name, rows by label): largest first, to the split where its labels are filled least against their shares."""
     filled = {s: {k: 0.0 for k in totals} for s, _ in shares}
     placed = {}
-    for group in sorted(large, key=lambda r: (-r["n"], r["label"])):
-        counts = {x["k"]: x["n"] for x in group["by_label"]}
+    for name, counts in sorted(units, key=lambda u: (-sum(u[1].values()), str(u[0]))):
 
-        def deviation(split: str, share: float) -> float:
-            over = sum(max(0.0, filled[split][k] + v - share * totals[k]) for k, v in counts.items())
-            room = sum(max(0.0, share * totals[k] - filled[split][k]) for k in counts)
-            return over - 1e-6 * room
+        def fill(split: str, share: float) -> float:
+            return sum(v * (filled[split][k] + v) / (share * totals[k]) for k, v in counts.items()) if share > 0 else float("inf")
 
-        best = min(shares, key=lambda s: deviation(*s))[0]
-        placed[group["label"]] = best
+        best = min(shares, key=lambda s: fill(*s))[0]
+        placed[name] = best
         for k, v in counts.items():
             filled[best][k] += v
-    return placed, filled
+    return placed
 
 
 def assign_splits(supervision: DataFrame, speakers: DataFrame, shares: dict[str, float], groups: DataFrame | None = None) -> DataFrame:
-    """(id, recording_id, split): one split per segment, the same for all that share a recording or a person."""
-    groups = connected_groups(record_entities(supervision, speakers)) if groups is None else groups
-    segs = first_delivery(supervision, SEGMENT_FIELDS, ["recording_id", "language"]).where("recording_id is not null")
-    lang = F.coalesce(F.lower(F.substring(F.trim("language"), 1, 2)), F.lit("?"))
-    per = segs.groupBy("recording_id", lang.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    per = per.join(groups.withColumnRenamed("record", "recording_id"), "recording_id", "left").withColumn("label", F.coalesce("label", "recording_id"))
-    by_label = checkpointed(per.groupBy("label", "k").agg(F.sum("n").alias("n")))
-    # one row per language code of two letters
-    totals = {r["k"]: float(r["n"]) for r in by_label.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    """(id, recording_id, language, split): one split per segment, the same for all that share a recording or a person."""
+    spark = supervision.sparkSession
+    segs = checkpointed(segments(supervision))
+    groups = connected_groups(record_entities(supervision, speakers, segs)) if groups is None else groups
+    segs = segs.withColumn("language", language_label(F.col("language")))
+    per = segs.groupBy("recording_id", "language").agg(F.count(F.lit(1)).alias("n"))
+    per = salted_join(per, groups.withColumnRenamed("record", "recording_id"), "recording_id", "language", "left")
+    per = checkpointed(per.withColumn("label", F.coalesce("label", "recording_id")))
+    by_label = checkpointed(per.groupBy("label", "language").agg(F.sum("n").alias("n")))
+    # one row for each language of the table
+    totals = {r["language"]: float(r["n"]) for r in by_label.groupBy("language").agg(F.sum("n").alias("n")).collect()}
     total = sum(totals.values())
-    whole = by_label.groupBy("label").agg(
-        F.sum("n").alias("n"), F.max_by("k", F.struct("n", "k")).alias("k"), F.collect_list(F.struct("k", "n")).alias("by_label")
-    )
-    order = list(shares.items())
-    # fewer than LARGE groups can hold more than 1/LARGE of the rows each
-    large = whole.where(F.col("n") * LARGE > total).collect()
-    placed, filled = _place_large(large, order, totals)
-    open_share = {}
-    for k, t in totals.items():
-        room = [max(0.0, share * t - filled[s][k]) for s, share in order]
-        open_share[k] = [r / sum(room) if sum(room) else 0.0 for r in room]
-    cuts = supervision.sparkSession.createDataFrame(
-        [(k, *[sum(v[: i + 1]) for i in range(len(v))]) for k, v in open_share.items()] or [("?", *[1.0] * len(order))],
-        "k string, " + ", ".join(f"c{i} double" for i in range(len(order))),
-    )
-    small = whole.where(F.col("n") * LARGE <= total).select("label", "k", "n")
-    size = F.floor(F.log2("n"))
-    small = small.withColumn("size", size).withColumn("cell", F.pmod(F.xxhash64("label"), F.lit(CELLS)))
-    cells = small.groupBy("k", "size", "cell").agg(F.sum("n").alias("w"))
-    # Interleave sizes: every (k, size) stratum is cut at the same shares.
-    within = Window.partitionBy("k", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    placed_at = (F.sum("w").over(within) - F.col("w") / 2) / F.sum("w").over(Window.partitionBy("k", "size"))
-    cells = cells.withColumn("at", placed_at).join(F.broadcast(cuts), "k")
-    split = F.lit(order[-1][0])
-    for i in range(len(order) - 2, -1, -1):
-        split = F.when(F.col("at") <= F.col(f"c{i}"), order[i][0]).otherwise(split)
-    cells = cells.select("k", "size", "cell", split.alias("split"))
-    chosen = small.join(cells, ["k", "size", "cell"]).select("label", "split")
-    if placed:
-        chosen = chosen.unionByName(supervision.sparkSession.createDataFrame(list(placed.items()), "label string, split string"))
-    of_record = per.select("recording_id", "label").distinct().join(chosen, "label").select("recording_id", "split")
-    return segs.select("id", "recording_id").join(of_record, "recording_id").select("id", "recording_id", "split")
+    whole = by_label.groupBy("label").agg(F.sum("n").alias("size"), F.max_by("language", F.struct("n", "language")).alias("k"))
+    whole = whole.withColumn("class", F.floor(F.log2("size"))).withColumn("cell", F.pmod(F.xxhash64("label"), F.lit(CELLS)))
+    # fewer than LARGE groups can hold more than 1/LARGE of the rows each; the others share at most CELLS cells per language and class
+    alone = F.col("size") * LARGE > total
+    unit = F.when(alone, F.concat(F.lit("g/"), "label")).otherwise(F.concat_ws("/", F.lit("c"), "k", F.col("class").cast("string"), F.col("cell").cast("string")))
+    of_group = checkpointed(whole.select("label", unit.alias("unit")))
+    counted = by_label.join(of_group, "label").groupBy("unit", "language").agg(F.sum("n").alias("n"))
+    units: dict[str, dict[str, float]] = {}
+    for r in counted.collect():
+        units.setdefault(r["unit"], {})[r["language"]] = float(r["n"])
+    placed = place_units(list(units.items()), list(shares.items()), totals)
+    chosen = spark.createDataFrame(list(placed.items()), "unit string, split string")
+    # as many rows as units, fewer than 131,000
+    of_group = of_group.join(F.broadcast(chosen), "unit").select("label", "split")
+    of_record = salted_join(per.select("recording_id", "label").distinct(), of_group, "label", "recording_id").select("recording_id", "split")
+    return salted_join(segs.select("id", "recording_id", "language"), of_record, "recording_id", "id").select("id", "recording_id", "language", "split")
+
+
+def split_deviation(assigned: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(language, split, n, total, points): how far, in points of a hundred, each language's share in each split is from the wanted one."""
+    wanted = assigned.sparkSession.createDataFrame(list(shares.items()), "split string, wanted double")
+    counts = assigned.groupBy("language", "split").agg(F.count(F.lit(1)).alias("n"))
+    every = counts.select("language").distinct().join(F.broadcast(wanted), how="cross")  # splits times languages of the table
+    counts = every.join(counts, ["language", "split"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("language")))
+    return counts.select("language", "split", "n", "total", (100.0 * (F.col("n") / F.col("total") - F.col("wanted"))).alias("points"))
 
 
 def split_shares(assigned: DataFrame) -> DataFrame:

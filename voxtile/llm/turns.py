@@ -69,7 +69,7 @@ LANGUAGES = {
     "ru": "ru rus russian", "el": "el ell gre greek", "hi": "hi hin hindi", "ar": "ar ara arabic", "th": "th tha thai",
     "zh": "zh zho chi cmn chinese yue", "ja": "ja jpn jp japanese",
 }
-_CODE = {name: code for code, names in LANGUAGES.items() for name in names.split()}
+CODES = {name: code for code, names in LANGUAGES.items() for name in names.split()}
 _FILLER = {code: frozenset(words.split()) for code, words in FILLERS.items()}
 _ANY_FILLER = frozenset().union(*_FILLER.values())
 _UNSPACED = re.compile("|".join(sorted((w for c in ("zh", "ja", "th") for w in _FILLER[c]), key=len, reverse=True)))
@@ -230,7 +230,7 @@ def label_of(text: str, layouts: Layouts) -> tuple[str | None, bool, int]:
 
 
 def language_of(code: str | None) -> str | None:
-    return None if code is None else _CODE.get(re.split(r"[-_]", code.strip().lower())[0])
+    return None if code is None else CODES.get(re.split(r"[-_]", code.strip().lower())[0])
 
 
 def _without_times(text: str, layouts: Layouts) -> str:
