@@ -1,21 +1,24 @@
 """Construction of mini-batches: constraints, buckets, greedy batching, distribution to ranks, packing.
 
-A greedy batch depends on the item before, so items are batched within strata (a length
-bucket and a shard of it); strata run in parallel, and one stratum is the exact global
-order of a sampler. A stratum's items stream through the state of one open batch.
+A greedy batch depends on the item before. The items of a stratum are cut into ranges of
+their order; each range is batched from a guessed open batch (none), the open batch that
+its forerunner hands on then replaces the guess, and only ranges whose guess was wrong are
+batched again. Batches soon fall into step, so a few rounds give what one pass over the
+stratum would, whether strata are many or one. A task holds one open batch at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtile.functions.timeops import hash_int, to_us
 from voxtile.operators.dataset import running_sum, with_position
-from voxtile.session import keyed_stream, rows_to_batch
+from voxtile.session import checkpointed, keyed_stream, rows_to_batch
 
 
 @dataclass(frozen=True)
@@ -44,13 +47,22 @@ class Constraint:
 
 
 class Greedy:
-    """One open batch. ``simple`` closes before the item that would exceed; ``dynamic`` closes after one that nearly exceeds."""
+    """One open batch. ``simple`` closes before the item that would exceed; ``dynamic`` closes after one that nearly exceeds.
 
-    def __init__(self, constraint: Constraint, mode: str):
+    ``state`` is (items, longest, total) of the open batch; a batch can go on from it.
+    """
+
+    EMPTY = (0.0, 0.0, 0.0)
+
+    def __init__(self, constraint: Constraint, mode: str, state: tuple[float, ...] = EMPTY):
         if mode not in ("simple", "dynamic"):
             raise ValueError("mode is simple or dynamic")
         self.c, self.simple, self.batch = constraint, mode == "simple", 0
-        self._open()
+        self.n, self.longest, self.total = int(state[0]), state[1], state[2]
+
+    @property
+    def state(self) -> tuple[float, ...]:
+        return (float(self.n), self.longest, self.total)
 
     def _open(self) -> None:
         self.n, self.longest, self.total = 0, 0.0, 0.0
@@ -68,27 +80,96 @@ class Greedy:
         return number
 
 
-def greedy_batches(df: DataFrame, constraint: Constraint, measure: str = "duration", mode: str = "dynamic", stratum: str | None = None, order: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(stratum, id, measure, batch): greedy batches of each stratum in the given order."""
-    cols = df.select(
-        (F.col(stratum).cast("long") if stratum else F.lit(0).cast("long")).alias("stratum"),
-        F.col("id").cast("string").alias("id"), F.col(measure).cast("double").alias("measure"),
-        F.struct(*order).alias("__o"),
-    ).where("measure is not null")
-    work = cols.repartition("stratum").sortWithinPartitions("stratum", "__o", "id").select("stratum", "id", "measure")
-    schema = pa.schema([("stratum", pa.int64()), ("id", pa.string()), ("measure", pa.float64()), ("batch", pa.int64())])
+class GreedyPairs:
+    """One open batch of pairs under two constraints; a pair that would break either opens the next."""
+
+    EMPTY = (0.0, 0.0, 0.0, 0.0, 0.0)
+
+    def __init__(self, source: Constraint, target: Constraint, state: tuple[float, ...] = EMPTY):
+        self.source, self.target, self.batch = source, target, 0
+        self.n, self.long, self.sums = int(state[0]), list(state[1:3]), list(state[3:5])
+
+    @property
+    def state(self) -> tuple[float, ...]:
+        return (float(self.n), *self.long, *self.sums)
+
+    def add(self, a: float, b: float) -> int:
+        sizes = [self.source.size(a), self.target.size(b)]
+        longest = [max(x, y) for x, y in zip(self.long, sizes)]
+        sums = [x + y for x, y in zip(self.sums, sizes)]
+        if self.n and (self.source.exceeded(self.n + 1, longest[0], sums[0]) or self.target.exceeded(self.n + 1, longest[1], sums[1])):
+            self.batch, self.n, longest, sums = self.batch + 1, 0, sizes, sizes
+        self.n, self.long, self.sums = self.n + 1, longest, sums
+        return self.batch
+
+
+RANGE = 65_536
+
+
+def _in_order(rows: DataFrame, measures: list[str], start: Callable[[tuple], Greedy | GreedyPairs], empty: tuple, size: int = RANGE) -> DataFrame:
+    """(stratum, id, measures, batch) of rows (stratum, id, measures, __o): each stratum batched in the order of __o and id."""
+    keys = ["stratum", "range"]
+    placed = with_position(rows, "stratum", "__o", "id").withColumn("range", F.floor(F.col("_pos") / size).cast("long"))
+    placed = placed.select(*keys, "_pos", "id", *measures)
+    width = len(measures)
+    told = pa.schema([("stratum", pa.int64()), ("range", pa.int64()), ("entry", pa.list_(pa.float64())), ("next", pa.list_(pa.float64())), ("closed", pa.int64())])
+
+    class Tried:
+        """State of one range: what the next one is handed."""
+
+        def __init__(self, key: tuple):
+            self.key, self.machine, self.entry = key, None, None
+
+        def add(self, row: tuple) -> None:
+            if self.machine is None:
+                self.entry = tuple(row[-1])
+                self.machine = start(self.entry)
+            self.machine.add(*row[4 : 4 + width])
+
+        def finish(self) -> list[tuple]:
+            return [(*self.key, list(self.entry), list(self.machine.state), self.machine.batch)]
+
+    def tried(df: DataFrame) -> DataFrame:
+        work = df.select(*keys, "_pos", "id", *measures, "entry").repartition(*keys).sortWithinPartitions(*keys, "_pos")
+        return work.mapInArrow(keyed_stream(keys, Tried, lambda out: rows_to_batch(out, told)), "stratum long, range long, entry array<double>, next array<double>, closed long")
+
+    done = checkpointed(tried(placed.withColumn("entry", F.array(*[F.lit(x) for x in empty]))))
+    while True:
+        handed = done.select("stratum", (F.col("range") + 1).alias("range"), F.col("next").alias("given"))
+        wrong = checkpointed(done.join(handed, keys).where("entry <> given").select(*keys, F.col("given").alias("entry")))
+        if wrong.isEmpty():
+            break
+        done = checkpointed(done.join(wrong.select(*keys), keys, "left_anti").unionByName(tried(placed.join(wrong, keys))))
+    before = Window.partitionBy("stratum").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    entries = done.select(*keys, "entry", F.coalesce(F.sum("closed").over(before), F.lit(0)).alias("base"))
+    schema = pa.schema([("stratum", pa.int64()), ("id", pa.string()), *[(m, pa.float64()) for m in measures], ("batch", pa.int64())])
 
     class State:
-        def __init__(self, key):
-            self.key, self.g, self.out = key[0], Greedy(constraint, mode), []
+        def __init__(self, key: tuple):
+            self.key, self.machine, self.base, self.out = key[0], None, 0, []
 
-        def add(self, row):
-            self.out.append((self.key, row[1], row[2], self.g.add(row[2])))
+        def add(self, row: tuple) -> None:
+            if self.machine is None:
+                self.machine, self.base = start(tuple(row[-2])), row[-1]
+            values = row[4 : 4 + width]
+            self.out.append((self.key, row[3], *values, self.base + self.machine.add(*values)))
 
-        def finish(self):
+        def finish(self) -> list[tuple]:
             return self.out
 
-    return work.mapInArrow(keyed_stream(["stratum"], State, lambda rows: rows_to_batch(rows, schema)), "stratum long, id string, measure double, batch long")
+    work = placed.join(entries, keys).select(*keys, "_pos", "id", *measures, "entry", "base").repartition(*keys).sortWithinPartitions(*keys, "_pos")
+    return work.mapInArrow(keyed_stream(keys, State, lambda out: rows_to_batch(out, schema)), "stratum long, id string, " + "".join(f"{m} double, " for m in measures) + "batch long")
+
+
+def greedy_batches(df: DataFrame, constraint: Constraint, measure: str = "duration", mode: str = "dynamic", stratum: str | None = None, order: tuple[str, ...] = ("id",), size: int = RANGE) -> DataFrame:
+    """(stratum, id, measure, batch): greedy batches of each stratum in the given order, or of the whole set."""
+    Greedy(constraint, mode)
+    cols = df.select(
+        (F.col(stratum).cast("long") if stratum else F.lit(0).cast("long")).alias("stratum"),
+        F.col("id").cast("string").alias("id"), F.col(measure).cast("double").alias("measure"),
+        F.struct(*order).alias("__o"),
+    ).where("measure is not null")
+    return _in_order(cols, ["measure"], lambda state: Greedy(constraint, mode, state), Greedy.EMPTY, size)
 
 
 def bucket_of(length: Column, bounds: list[float]) -> Column:
@@ -108,7 +189,7 @@ def duration_bins(df: DataFrame, buckets: int, measure: str = "duration") -> lis
     if buckets < 2:
         raise ValueError("at least two buckets")
     rows = df.where(F.col(measure).isNotNull()).select(F.col(measure).cast("double").alias("m"), to_us(measure).alias("us"))
-    placed = running_sum(with_position(rows, "m"), "us")
+    placed = checkpointed(running_sum(with_position(rows, "m"), "us"))  # read once for each bound
     total = placed.agg(F.sum("us").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not total["n"] or total["n"] < buckets:
         raise ValueError("fewer items than buckets")
@@ -237,31 +318,11 @@ def collated(batches: DataFrame, batch: str, values: str, pad_value: float = 0.0
 
 def paired_batches(df: DataFrame, source: Constraint, target: Constraint, source_measure: str, target_measure: str, stratum: str | None = None, order: tuple[str, ...] = ("id",)) -> DataFrame:
     """(stratum, id, batch): batches of pairs under two constraints at once; a pair that would break either opens the next batch."""
-    schema = pa.schema([("stratum", pa.int64()), ("id", pa.string()), ("batch", pa.int64())])
-
-    class State:
-        def __init__(self, key):
-            self.key, self.out, self.batch, self.n = key[0], [], 0, 0
-            self.long, self.sums = [0.0, 0.0], [0.0, 0.0]
-
-        def add(self, row):
-            sizes = [source.size(row[2]), target.size(row[3])]
-            longest = [max(a, b) for a, b in zip(self.long, sizes)]
-            sums = [a + b for a, b in zip(self.sums, sizes)]
-            if self.n and (source.exceeded(self.n + 1, longest[0], sums[0]) or target.exceeded(self.n + 1, longest[1], sums[1])):
-                self.batch, self.n, longest, sums = self.batch + 1, 0, sizes, sizes
-            self.n, self.long, self.sums = self.n + 1, longest, sums
-            self.out.append((self.key, row[1], self.batch))
-
-        def finish(self):
-            return self.out
-
     cols = df.select(
         (F.col(stratum).cast("long") if stratum else F.lit(0).cast("long")).alias("stratum"), F.col("id").cast("string").alias("id"),
         F.col(source_measure).cast("double").alias("a"), F.col(target_measure).cast("double").alias("b"), F.struct(*order).alias("__o"),
     ).where("a is not null and b is not null")
-    work = cols.repartition("stratum").sortWithinPartitions("stratum", "__o", "id").select("stratum", "id", "a", "b")
-    return work.mapInArrow(keyed_stream(["stratum"], State, lambda rows: rows_to_batch(rows, schema)), "stratum long, id string, batch long")
+    return _in_order(cols, ["a", "b"], lambda state: GreedyPairs(source, target, state), GreedyPairs.EMPTY).select("stratum", "id", "batch")
 
 
 def resumed(batches: DataFrame, position: int, batch: str = "batch") -> DataFrame:

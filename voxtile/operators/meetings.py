@@ -76,13 +76,13 @@ def conversational(chosen: DataFrame, same_pause: float = 1.0, diff_pause: float
 
     class State:
         def __init__(self, key):
-            self.key, self.out, self.ends, self.last = key, [], [0.0, 0.0], None
+            self.key, self.out, self.ends, self.last, self.own = key, [], [0.0, 0.0], None, {}
 
         def add(self, row):
             _, speaker, ident, d = row
             g = rng_for(f"{self.key[0]}/{ident}", seed)
             latest, second = max(self.ends), min(self.ends)
-            own = max((s + x for _, _, who, s, x in self.out if who == speaker), default=0.0)
+            own = self.own.get(speaker, 0.0)
             if self.last is None:
                 start = 0.0
             elif speaker == self.last:
@@ -94,6 +94,7 @@ def conversational(chosen: DataFrame, same_pause: float = 1.0, diff_pause: float
             # no third voice, and nobody over oneself
             start = round(max(start, second, own, 0.0), 3)
             self.out.append((self.key[0], ident, speaker, start, d))
+            self.own[speaker] = max(own, start + d)
             self.ends = sorted([latest, start + d])
             self.last = speaker
 

@@ -19,7 +19,7 @@ from voxtile.operators import dataset as D
 from voxtile.operators import joins as J
 from voxtile.operators import qa as Q
 from voxtile.operators import stats as S
-from voxtile.session import table
+from voxtile.session import SEGMENT_FIELDS, first_delivery, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,11 @@ def us_sql(x: str) -> str:
     return f"CAST(round(({x}) * 1000000.0) AS BIGINT)"
 
 
+def _unique(df: DataFrame, key: str = "id") -> DataFrame:
+    """One row of each key: of rows that differ the least by its text, the same in every run."""
+    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.to_json(F.struct(*df.columns))).alias("__r")).select("__r.*")
+
+
 def _cut_rows(df: DataFrame) -> DataFrame:
     """(id, start_us, duration_us, n_sups, sup_ids, first_us) of cuts."""
     return df.select(
@@ -321,7 +326,7 @@ def split_in_two(spark, d):
 @query(f"""WITH c AS (SELECT DISTINCT id, recording.id AS rec, duration FROM cuts WHERE recording IS NOT NULL)
 SELECT rec, {us_sql('sum(duration)')} AS duration_us, count(*) AS n_tracks FROM c GROUP BY rec""")
 def append_by_recording(spark, d):
-    c = cuts(spark, d).where("recording is not null").dropDuplicates(["id"]).withColumn("rec", F.col("recording.id"))
+    c = _unique(cuts(spark, d).where("recording is not null")).withColumn("rec", F.col("recording.id"))
     out = C.append_all(c, "rec", "id")
     return out.select("rec", us("duration").alias("duration_us"), F.size("tracks").cast("long").alias("n_tracks"))
 
@@ -329,7 +334,7 @@ def append_by_recording(spark, d):
 @query(f"""WITH a AS (SELECT DISTINCT id, recording.id AS rec, duration FROM cuts WHERE recording IS NOT NULL)
 SELECT x.id || '+' || y.id AS id, {us_sql('greatest(x.duration, round(1.0 + y.duration, 8))')} AS duration_us FROM a x JOIN a y ON x.rec = y.rec WHERE x.duration >= 1.0""")
 def mix_by_recording(spark, d):
-    c = cuts(spark, d).where("recording is not null").dropDuplicates(["id"]).withColumn("rec", F.col("recording.id"))
+    c = _unique(cuts(spark, d).where("recording is not null")).withColumn("rec", F.col("recording.id"))
     return C.mix(c, c, "rec", 1.0, 10.0).select("id", us("duration").alias("duration_us"))
 
 
@@ -346,7 +351,7 @@ def attach_segments(spark, d):
 @query("""WITH r AS (SELECT DISTINCT id FROM audio) SELECT r.id AS rec, count(s.recording_id) AS n
 FROM r LEFT JOIN supervision s ON s.recording_id = r.id GROUP BY r.id""")
 def cuts_from_manifests(spark, d):
-    rec = audio(spark, d).select("id", "sampling_rate", "duration").dropDuplicates(["id"])
+    rec = _unique(audio(spark, d).select("id", "sampling_rate", "duration"))
     nested = J.cuts_from_manifests(rec, sup(spark, d).select("id", "recording_id", "start", "duration", "speaker"), part_s=600.0)
     return nested.groupBy(F.col("recording.id").alias("rec")).agg(F.sum(F.greatest(F.size("supervisions"), F.lit(0))).cast("long").alias("n"))
 
@@ -634,6 +639,15 @@ def _fixed(spark, d) -> DataFrame:
     return D.split_chunks(_lengths(spark, d), 16, "id").withColumnRenamed("chunk", "batch")
 
 
+_FIXED_CUTS = "(SELECT id, duration, (row_number() OVER (ORDER BY id, duration) - 1) // 16 AS batch FROM (SELECT DISTINCT id, duration FROM cuts))"
+
+
+def _fixed_cuts(spark, d) -> DataFrame:
+    """Batches of another whole table, shorter than the segments."""
+    c = cuts(spark, d).select("id", "duration").distinct()
+    return D.split_chunks(c, 16, "id", "duration").withColumnRenamed("chunk", "batch")
+
+
 @query(f"SELECT id, batch, CAST(batch % 4 AS INTEGER) AS rank, batch // 4 AS step FROM {_FIXED}")
 def rank_partition(spark, d):
     return B.rank_batches(_fixed(spark, d), 4).select("id", "batch", "rank", "step")
@@ -652,16 +666,15 @@ def pessimistic_batches(spark, d):
     return S.pessimistic_batches(_fixed(spark, d))
 
 
-@query(f"""SELECT sampler, batch, batch * 2 + sampler AS turn, count(*) AS n FROM (SELECT 0 AS sampler, batch FROM {_FIXED} UNION ALL SELECT 1, batch FROM {_FIXED} WHERE batch < 20) GROUP BY ALL""")
+@query(f"""SELECT sampler, batch, batch * 2 + sampler AS turn, count(*) AS n FROM (SELECT 0 AS sampler, batch FROM {_FIXED} UNION ALL SELECT 1, batch FROM {_FIXED_CUTS}) GROUP BY ALL""")
 def round_robin(spark, d):
-    f = _fixed(spark, d)
-    return B.round_robin([f, f.where("batch < 20")]).groupBy("sampler", "batch", "turn").agg(F.count(F.lit(1)).alias("n"))
+    return B.round_robin([_fixed(spark, d), _fixed_cuts(spark, d)]).groupBy("sampler", "batch", "turn").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT batch, sampler, count(*) AS n FROM (SELECT 0 AS sampler, batch FROM {_FIXED} WHERE batch <= 19 UNION ALL SELECT 1, batch FROM {_FIXED} WHERE batch < 20) GROUP BY ALL""")
+@query(f"""SELECT batch, sampler, count(*) AS n FROM (SELECT 0 AS sampler, batch FROM {_FIXED} UNION ALL SELECT 1, batch FROM {_FIXED_CUTS})
+WHERE batch <= least((SELECT max(batch) FROM {_FIXED}), (SELECT max(batch) FROM {_FIXED_CUTS})) GROUP BY ALL""")
 def zip_batches(spark, d):
-    f = _fixed(spark, d)
-    return B.zip_batches([f, f.where("batch < 20")]).groupBy("batch", "sampler").agg(F.count(F.lit(1)).alias("n"))
+    return B.zip_batches([_fixed(spark, d), _fixed_cuts(spark, d)]).groupBy("batch", "sampler").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -751,7 +764,7 @@ def speaker_frames(spark, d):
 def noise_mixed(spark, d):
     from voxtile.operators.mixing import mix_noise
 
-    c = cuts(spark, d).dropDuplicates(["id"])
+    c = _unique(cuts(spark, d))
     return mix_noise(c, c.where("channel = 1"), (5.0, 15.0), 0.8, seed=4).select("id", us("duration").alias("duration_us"), F.size("tracks").alias("n_tracks"))
 
 
@@ -761,7 +774,7 @@ def noise_mixed(spark, d):
 def mixed_by_position(spark, d):
     from voxtile.operators.mixing import mix_by_position
 
-    c = cuts(spark, d).dropDuplicates(["id"])
+    c = _unique(cuts(spark, d))
     return mix_by_position([c, c.where("channel = 0")]).select("position", us("duration").alias("duration_us"))
 
 
@@ -783,16 +796,23 @@ def filter_counts(spark, d):
     return D.kept_and_dropped(sup(spark, d), F.col("duration") > 5)
 
 
-@query("SELECT id, len(text) + 2 AS n FROM (SELECT DISTINCT id, text FROM supervision WHERE text IS NOT NULL AND id IN (SELECT id FROM supervision GROUP BY id HAVING count(*) = 1))")
+_RANKED = """r AS (SELECT *, CAST(recording_id IS NULL AS INT) + CAST("start" IS NULL AS INT) + CAST(duration IS NULL AS INT)
+ + CAST(text IS NULL AS INT) + CAST(language IS NULL AS INT) + CAST(speaker IS NULL AS INT) AS nulls FROM supervision)"""
+
+
+@query(f"""WITH {_RANKED}, t AS (SELECT id, min((nulls, received_at, text))[3] AS text FROM r GROUP BY id),
+v AS (SELECT token, 3 + row_number() OVER (ORDER BY token) AS n FROM (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM t WHERE text IS NOT NULL) WHERE token <> ''),
+c AS (SELECT id, unnest(string_split(text, '')) AS token, generate_subscripts(string_split(text, ''), 1) AS k FROM t WHERE text <> '')
+SELECT t.id, '2,' || coalesce(x.ids || ',', '') || '3' AS ids FROM t LEFT JOIN (SELECT id, string_agg(v.n, ',' ORDER BY k) AS ids FROM c JOIN v USING (token) GROUP BY id) x ON x.id = t.id WHERE t.text IS NOT NULL""")
 def encoded_characters(spark, d):
-    s = sup(spark, d).where("text is not null")
-    once = s.join(sup(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("id"), "id", "left_semi")
-    return T.encoded_characters(once, "text", T.vocabulary(s, "text")).select("id", F.size("ids").cast("long").alias("n"))
+    s = first_delivery(sup(spark, d), SEGMENT_FIELDS, ["text"]).where("text is not null")
+    return T.encoded_characters(s, "text", T.vocabulary(s, "text")).select("id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query()
 def paired_batches(spark, d):
-    pairs = sup(spark, d).where("duration > 0 and text is not null").select("id", "duration", F.length("text").alias("chars")).dropDuplicates(["id"])
+    pairs = sup(spark, d).where("duration > 0 and text is not null").select("id", "duration", F.length("text").alias("chars"))
+    pairs = _unique(pairs)
     return B.paired_batches(pairs.withColumn("s", F.pmod(O.hash_int("id"), F.lit(16))), B.Constraint(max_total=120.0), B.Constraint(max_total=2000.0), "duration", "chars", "s")
 
 
@@ -800,7 +820,7 @@ def paired_batches(spark, d):
 def simulated_meetings(spark, d):
     from voxtile.operators import meetings
 
-    chosen = meetings.sampled(sup(spark, d).where("duration > 0").dropDuplicates(["id"]), 50, 3, 30.0, seed=2)
+    chosen = meetings.sampled(_unique(sup(spark, d).where("duration > 0")), 50, 3, 30.0, seed=2)
     return meetings.conversational(chosen, seed=2)
 
 
@@ -808,7 +828,7 @@ def simulated_meetings(spark, d):
 def recognition_batches(spark, d):
     from voxtile.operators import task_batches
 
-    c = cuts(spark, d).dropDuplicates(["id"])
+    c = _unique(cuts(spark, d))
     out = task_batches.recognition(c, B.greedy_batches(c, B.Constraint(max_total=120.0)))
     return out.select("batch", F.size("cut_ids").alias("n_cuts"), F.size("texts").alias("n_texts"))
 
@@ -975,3 +995,34 @@ x AS (SELECT coalesce(sum(t) FILTER (n >= 1), 0) AS sp, coalesce(sum(t) FILTER (
 y AS (SELECT count(*) AS n, sum({us_sql('duration')}) AS d FROM c), z AS (SELECT sum({us_sql('round(b - a, 8)')}) AS k FROM cl)
 SELECT n, CAST(d AS BIGINT) AS duration_us, CAST(k AS BIGINT) AS speaking_us, CAST(sp AS BIGINT) AS speech_us, CAST(si AS BIGINT) AS single_us, CAST(ov AS BIGINT) AS overlap_us, CAST(s2 AS BIGINT) AS speakers_2_us,
 CAST(s3 AS BIGINT) AS speakers_3_us, CAST(s4 AS BIGINT) AS speakers_4_us, CAST(d - sp AS BIGINT) AS silence_us, round(sp / d, 6) AS speech_share FROM x, y, z"""
+
+
+# ---- SQL of batches over other strata, orders and measures --------------------------------------------------------
+
+_WORDS_SQL = "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(len(regexp_split_to_array(trim(text), '[ \\t\\n\\x0b\\f\\r]+')) AS DOUBLE) AS m FROM documents WHERE text IS NOT NULL"
+ORACLES["greedy_tokens"] = _greedy_sql(_strata_sql(_WORDS_SQL), 4096.0, False)
+
+
+def _hash_sql(text: str, seed: int) -> str:
+    return f"CAST(('0x' || substr(md5({text} || '|{seed}'), 1, 8)) AS BIGINT)"
+
+
+_BUCKETED = f"""SELECT s, id, m, row_number() OVER (PARTITION BY s ORDER BY {_hash_sql('id', 3 * 1_000_003 + 1)}, id) - 1 AS p FROM
+(SELECT id, m, (CASE WHEN m <= 2 THEN 0 WHEN m <= 4 THEN 1 WHEN m <= 6 THEN 2 WHEN m <= 9 THEN 3 WHEN m <= 60 THEN 4 ELSE 5 END) * 8 + {_hash_sql('id', 4)} % 8 AS s FROM ({_LENGTH_SQL}))"""
+ORACLES["bucketed_sampler"] = _greedy_sql(_BUCKETED, 200.0, False).replace(
+    "SELECT s AS stratum, id, m AS measure, batch FROM g",
+    f"SELECT CAST(s // 8 AS INTEGER) AS bucket, CAST(s % 8 AS INTEGER) AS shard, id, m AS measure, batch, {_hash_sql("(s || '/' || batch)", 3 * 1_000_003 + 1)} AS place FROM g",
+)
+_PAIR_OVER = "((g.n + 1) * greatest(g.la, x.m) > 120.0 OR (g.n + 1) * greatest(g.lb, x.c) > 2000.0)"
+ORACLES["paired_batches"] = f"""WITH RECURSIVE u AS (SELECT id, duration AS m, CAST(length(text) AS DOUBLE) AS c, CAST(('0x' || substr(md5(id || '|0'), 1, 8)) AS BIGINT) % 16 AS s FROM
+ (SELECT *, row_number() OVER (PARTITION BY id ORDER BY '{{"id":"' || id || '","duration":' || duration || ',"chars":' || length(text) || '}}') AS k FROM supervision WHERE duration > 0 AND text IS NOT NULL) WHERE k = 1),
+x AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS p FROM u),
+g AS (SELECT s, p, id, CAST(0 AS BIGINT) AS batch, 1 AS n, m AS la, c AS lb FROM x WHERE p = 0
+UNION ALL SELECT x.s, x.p, x.id, g.batch + CASE WHEN {_PAIR_OVER} THEN 1 ELSE 0 END, CASE WHEN {_PAIR_OVER} THEN 1 ELSE g.n + 1 END,
+ CASE WHEN {_PAIR_OVER} THEN x.m ELSE greatest(g.la, x.m) END, CASE WHEN {_PAIR_OVER} THEN x.c ELSE greatest(g.lb, x.c) END FROM g JOIN x ON x.s = g.s AND x.p = g.p + 1)
+SELECT s AS stratum, id, batch FROM g"""
+ORACLES["duration_bins"] = f"""WITH RECURSIVE u AS (SELECT m, CAST(round(m * 1000000.0) AS BIGINT) AS w FROM ({_LENGTH_SQL})),
+x AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS p, sum(w) OVER (ORDER BY m ROWS UNBOUNDED PRECEDING) - w AS cum, sum(w) OVER () / 8.0 AS share FROM u),
+g AS (SELECT p, m, CAST(0 AS DOUBLE) AS base, false AS hit FROM x WHERE p = 0
+UNION ALL SELECT x.p, x.m, CASE WHEN x.cum - g.base > x.share THEN x.cum ELSE g.base END, x.cum - g.base > x.share FROM g JOIN x ON x.p = g.p + 1)
+SELECT CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS i, m AS bound FROM g WHERE hit"""

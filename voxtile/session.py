@@ -45,6 +45,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(spark: SparkSession, files: int) -> int:
+    """How many partitions a listing of files gets: four for each core, at most one for each file."""
+    return max(1, min(files, 4 * spark.sparkContext.defaultParallelism))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a scan over at least as many partitions as there are cores, for work that is heavy per row.
 
@@ -104,7 +109,7 @@ def keyed_stream(
     """A mapInArrow function for input that is hash-partitioned and sorted by ``keys``.
 
     ``start(key)`` makes the state of one key; the state has ``add(row_tuple)`` and
-    ``finish() -> list of output tuples``. One key's state is held at a time, and a
+    ``finish() -> list of output tuples``, and may put rows that are ready into ``out``. One key's state is held at a time, and a
     key may span any number of Arrow batches.
     """
 
@@ -124,6 +129,12 @@ def keyed_stream(
                             out = []
                     current, state = key, start(key)
                 state.add(row)
+                if len(out) + len(getattr(state, "out", ())) >= 20_000:  # rows that are ready do not wait for the key's end
+                    out.extend(getattr(state, "out", ()))
+                    if hasattr(state, "out"):
+                        state.out = []
+                    yield batch_out(out)
+                    out = []
         if state is not None:
             out.extend(state.finish())
         if out:

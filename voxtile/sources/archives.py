@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from voxtile.operators.dataset import split_chunks
+from voxtile.session import rows_to_batch, tasks_for
 from voxtile.sources.manifests import parse_pointer
 
 _MEMBERS = "archive string, name string, offset long, size long, data binary"
@@ -79,19 +80,45 @@ def expand(path: str) -> list[str]:
     return sorted(f for f in out if not f.endswith(".idx"))
 
 
+_PAIRED = pa.schema([("archive", pa.string()), ("key", pa.string()), ("payload", pa.binary()), ("meta", pa.string())])
+
+
 def members_as_pairs(members: DataFrame) -> DataFrame:
-    """(archive, key, payload, meta): the data and the JSON of each key in one row."""
-    parts = F.split("name", r"\.(?=[^.]*$)", 2)
-    m = members.withColumn("key", parts[0]).withColumn("ext", F.try_element_at(parts, F.lit(2)))
-    return m.groupBy("archive", "key").agg(
-        F.max(F.when(F.col("ext") != "json", F.col("data"))).alias("payload"),
-        F.max(F.when(F.col("ext") == "json", F.col("data").cast("string"))).alias("meta"),
-    )
+    """(archive, key, payload, meta): the data and the JSON of each key in one row.
+
+    Members of one key are neighbours in their archive, so they are paired as they stream.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            rows = []
+            for archive, name, data in zip(*[c.to_pylist() for c in b.columns]):
+                key, _, ext = name.rpartition(".") if "." in name else (name, "", "")
+                if held is None or held[:2] != [archive, key]:
+                    if held is not None:
+                        rows.append(tuple(held))
+                    held = [archive, key, None, None]
+                if ext == "json":
+                    held[3] = data.decode()
+                else:
+                    held[2] = data
+            yield rows_to_batch(rows, _PAIRED)
+        if held is not None:
+            yield rows_to_batch([tuple(held)], _PAIRED)
+
+    return members.select("archive", "name", "data").mapInArrow(run, "archive string, key string, payload binary, meta string")
 
 
 # ---- writing and reading shards ---------------------------------------------------------------------------------
 
 
+def _numbered(df: DataFrame, size: int, order: str) -> DataFrame:
+    """Adds ``chunk``: shards of ``size`` keys in order. Only keys are sorted, payloads are not; rows of one key stay together."""
+    keys = split_chunks(df.select(F.col(order).alias("__id")).distinct(), size, "__id")
+    return df.join(keys, F.col(order).eqNullSafe(F.col("__id"))).drop("__id")
+
+
 def _add(tar: tarfile.TarFile, name: str, data: bytes) -> None:
     info = tarfile.TarInfo(name)
     info.size = len(data)
@@ -107,7 +134,7 @@ def write_shards(df: DataFrame, out_dir: str, fields: list[str], shard_size: int
     os.makedirs(out_dir, exist_ok=True)
     meta_cols = [c for c in df.columns if c not in fields]
     start = {"start": F.lit(0.0)} if "start" in df.columns else {}
-    rows = split_chunks(df, shard_size, order)
+    rows = _numbered(df, shard_size, order)
     rows = rows.select("chunk", F.col(order).cast("string").alias("__k"), F.to_json(F.struct(*[(start.get(c, F.col(c))).alias(c) for c in meta_cols])).alias("__meta"), *fields)
     work = rows.repartition("chunk").sortWithinPartitions("chunk", "__k")
 
@@ -141,7 +168,7 @@ def write_shards(df: DataFrame, out_dir: str, fields: list[str], shard_size: int
 def read_shards(spark: SparkSession, in_dir: str, fields: list[str], schema: str, shards: list[int] | None = None) -> DataFrame:
     """Cuts with their payload fields and ``shard``; a cut and a payload that do not belong together are an error."""
     numbers = sorted(int(f.split(".")[1]) for f in os.listdir(in_dir) if f.startswith("cuts.") and f.endswith(".jsonl"))
-    listed = spark.createDataFrame([(n,) for n in (numbers if shards is None else shards)], "shard long").repartition(max(1, min(len(numbers), 200)))
+    listed = spark.createDataFrame([(n,) for n in (numbers if shards is None else shards)], "shard long").repartition(tasks_for(spark, len(numbers)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +229,7 @@ def write_line_index(spark: SparkSession, paths: list[str]) -> DataFrame:
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["path", "n"])
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 200))).mapInArrow(run, "path string, n long")
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks_for(spark, len(paths))).mapInArrow(run, "path string, n long")
 
 
 def write_tar_index(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -220,7 +247,7 @@ def write_tar_index(spark: SparkSession, paths: list[str]) -> DataFrame:
                 counts.append(len(members))
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["path", "n"])
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 200))).mapInArrow(run, "path string, n long")
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks_for(spark, len(paths))).mapInArrow(run, "path string, n long")
 
 
 def index_is_fresh(path: str) -> bool:
@@ -277,7 +304,7 @@ def read_pointer(text: str) -> bytes:
 def write_bundles(df: DataFrame, out_dir: str, payload: str, shard_size: int = 1000, key: str = "id") -> DataFrame:
     """Archives of ``shard_size`` rows, each row as ``{key}.json`` and ``{key}.bin`` side by side; gives (shard, n)."""
     os.makedirs(out_dir, exist_ok=True)
-    rows = split_chunks(df, shard_size, key)
+    rows = _numbered(df, shard_size, key)
     meta = F.to_json(F.struct(*[c for c in df.columns if c != payload]))
     work = rows.select("chunk", F.col(key).cast("string").alias("k"), meta.alias("m"), payload).repartition("chunk").sortWithinPartitions("chunk", "k")
 

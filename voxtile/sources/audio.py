@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxtile.session import tasks_for
 from voxtile.sources.manifests import SCHEMAS
 
 
@@ -59,7 +60,7 @@ def wav_bytes(x: np.ndarray, rate: int) -> bytes:
 def recordings_from_dir(spark: SparkSession, folder: str, pattern: str = "*.wav", exclude: str | None = None) -> DataFrame:
     """A recording per file found in a folder and below it, probed by tasks; ids are file names without extension."""
     paths = [p for p in sorted(globbing.glob(os.path.join(folder, "**", pattern), recursive=True)) if not (exclude and re.search(exclude, p))]
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 200)))
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks_for(spark, len(paths)))
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
@@ -85,7 +86,7 @@ def load_audio(cuts: DataFrame, path: str = "path", fault_tolerant: bool = False
             samples, rates = [], []
             for p, a, d in zip(pdf[path], pdf["start"], pdf["duration"]):
                 try:
-                    x, r = read_samples(p, a, d, [0])
+                    x, r = read_samples(p, a, None if pd.isna(d) else d, [0])
                     samples.append(x[0].astype(np.float32).tolist())
                     rates.append(r)
                 except (OSError, EOFError, wave.Error, ValueError):

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxtile.session import tasks_for
+
 _SUP = "id string, recording_id string, start double, duration double, channel array<int>, text string, language string, speaker string, gender string, custom map<string,string>, alignment map<string,array<struct<symbol:string,start:double,duration:double,score:double>>>"
 SCHEMAS = {
     "recording": "id string, sources array<struct<type:string,channels:array<int>,source:string>>, sampling_rate int, num_samples long, duration double, channel_ids array<int>, transforms array<map<string,string>>",
@@ -64,7 +66,9 @@ def _listed(value, field: T.DataType):
 
 
 def read_manifest(spark: SparkSession, path: str, kind: str | None = None, permissive: bool = False) -> DataFrame:
-    """A manifest by extension: .jsonl, .json, .yaml, each with .gz. None-valued and unknown keys are ignored.
+    """A manifest by extension: .jsonl, .json, .yaml, each with .gz; a folder, as ``write_manifest`` leaves it, holds JSON lines.
+
+    None-valued and unknown keys are ignored.
 
     ``permissive`` keeps malformed lines out instead of failing.
     """
@@ -72,7 +76,8 @@ def read_manifest(spark: SparkSession, path: str, kind: str | None = None, permi
     if base.endswith((".yaml", ".yml")):
         return _read_yaml(spark, path, kind)
     if kind is None:
-        row = _first(path)
+        folder = not base.endswith((".jsonl", ".json"))
+        row = next((json.loads(r["value"]) for r in spark.read.text(path).where("value <> ''").head(1)), None) if folder or os.path.isdir(path) else _first(path)
         if row is None:
             raise ValueError(f"{path} is empty; give its kind")
         kind = kind_of(row)
@@ -81,7 +86,7 @@ def read_manifest(spark: SparkSession, path: str, kind: str | None = None, permi
     loose = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("channel", "channels") and isinstance(f.dataType, T.ArrayType) else f.dataType) for f in schema])
     if permissive:
         loose = loose.add("_corrupt_record", "string")
-    df = spark.read.schema(loose).option("multiLine", not base.endswith(".jsonl")).option("mode", "PERMISSIVE" if permissive else "FAILFAST").json(path)
+    df = spark.read.schema(loose).option("multiLine", base.endswith(".json") and not os.path.isdir(path)).option("mode", "PERMISSIVE" if permissive else "FAILFAST").json(path)
     if permissive:
         df = df.cache().where("_corrupt_record is null").drop("_corrupt_record")
     for f in schema:
@@ -148,7 +153,7 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
                             held = []
                 yield _batch(held)
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 200)))
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks_for(spark, len(paths)))
     return listed.mapInArrow(run, "path string, line long, value string")
 
 
