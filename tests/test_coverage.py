@@ -115,3 +115,31 @@ def test_null_keys_and_absent_statistics_lose_nothing(spark, tmp_path):
     order = lambda k: (k is not None, k or "")
     assert sorted(got, key=lambda r: r[1]) == sorted(rows, key=lambda r: r[1])
     assert [k for k, _ in got] == sorted((k for k, _ in rows), key=order) and len(meta) > 3
+
+
+def test_what_comes_after_a_timeout_adds_to_what_was_known(spark):
+    from voxtile.streaming.coverage import latest_periods
+
+    wrote = [("r", 0, 1, 0, 100), ("r", 0, 2, 0, 100), ("r", 0, 2, 200, 300), ("r", 0, 3, 0, 100), ("r", 0, 3, 200, 350), ("r", 0, 1, 90, 120), ("r", 0, 1, 500, 600), ("r", 1, 1, 650, 700)]
+    df = spark.createDataFrame(wrote, "recording_id string, chunk long, version long, start_ms long, end_ms long")
+    got = sorted(tuple(r) for r in latest_periods(df).select("chunk", "start_ms", "end_ms").collect())
+    assert got == [(0, 0, 120), (0, 200, 350), (0, 500, 600), (1, 650, 700)]
+
+
+def test_stream_loses_nothing_after_a_timeout(spark, tmp_path):
+    from datetime import timedelta
+
+    from voxtile.streaming.coverage import OUT, latest_periods, period_stream
+    from voxtile.streaming.sessions import settled
+
+    schema = "recording_id string, start double, duration double, received_at timestamp"
+    rounds = [[("r", 0.0, 1.0, T0)], [("q", 5.0, 1.0, T0 + timedelta(days=30))], [("q", 6.0, 2.0, T0 + timedelta(days=60))], [("r", 3.0, 1.0, T0 + timedelta(days=61)), ("r", 0.5, 1.0, T0 + timedelta(days=61))]]
+    for i, rows in enumerate(rounds):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={i}"))
+        for f in (tmp_path / f"in/part={i}").glob("*.parquet"):
+            os.utime(f, (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    wrote = settled(period_stream(stream, late="1 day"), OUT, "update").cache()
+    assert wrote.where("recording_id = 'r' and version = 1").select("_batch").distinct().count() == 2  # its state was dropped between
+    got = sorted(tuple(r) for r in latest_periods(wrote).select("recording_id", "start_ms", "end_ms").collect())
+    assert got == [("q", 5000, 8000), ("r", 0, 1500), ("r", 3000, 4000)]

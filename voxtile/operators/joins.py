@@ -87,7 +87,7 @@ def find_segments(supervisions: DataFrame, recording_id: str, channel: int | Non
     return out.withColumn("start", r8(F.col("start") - start_after)) if adjust_offset else out
 
 
-def best_features(requests: DataFrame, features: DataFrame, leeway: float = LEEWAY) -> DataFrame:
+def best_features(requests: DataFrame, features: DataFrame, leeway: float = LEEWAY, width: float = BUCKET_S) -> DataFrame:
     """For requests (request_id, recording_id, channel, q_start, q_end): the feature span of the recording and channel that fits best.
 
     Candidates start by the request's start and end after its end, up to a leeway; the
@@ -97,7 +97,10 @@ def best_features(requests: DataFrame, features: DataFrame, leeway: float = LEEW
     f = features.where("recording_id is not null and channels is not null").select(
         "recording_id", F.explode("channels").alias("channel"), F.col("start").alias("f_start"), end_of("start", "duration").alias("f_end"), "storage_key"
     ).distinct()
-    both = requests.join(f, ["recording_id", "channel"])
+    # candidates meet in the time bucket of the request's start
+    lo, hi = _bucket(F.col("f_start") - leeway, width), _bucket(F.col("f_end") + leeway, width)
+    f = f.where("f_end >= f_start").withColumn("__b", F.explode(F.sequence(lo, hi)))
+    both = requests.withColumn("__b", _bucket(F.col("q_start"), width)).join(f, ["recording_id", "channel", "__b"])
     fits = (F.col("f_start") - leeway <= F.col("q_start")) & (F.col("q_start") < F.col("f_end") + leeway) & (F.col("f_end") >= F.col("q_end") - leeway)
     err = F.pow(F.col("q_start") - F.col("f_start"), 2) + F.pow(F.col("q_end") - F.col("f_end"), 2)
     best = F.min(F.struct(F.round(err, 6).alias("err"), "storage_key", "f_start", "f_end"))

@@ -211,7 +211,7 @@ def trim_to_segments(spark, d):
 SELECT sid AS id, {us_sql('round(least(du, c_dur - off), 8)')} AS duration_us FROM g WHERE round(least(du, c_dur - off), 8) > 0""")
 def trim_to_own_segments(spark, d):
     out = C.trim_to_supervisions(cuts(spark, d), keep_overlapping=False, keep_all_channels=True)
-    return out.where(F.size("supervisions") == 1).select("id", us("duration").alias("duration_us"))
+    return out.select("id", us("duration").alias("duration_us"))
 
 
 _GROUPS = f"""{CUTS}, ok AS (SELECT rid, sid, st, en FROM seg WHERE st IS NOT NULL AND du IS NOT NULL),
@@ -317,10 +317,10 @@ def frame_masks(spark, d):
     return c.select("id", F.aggregate(C.frame_mask(c, 0.01), F.lit(0), lambda a, x: a + x).alias("active"))
 
 
-@query(f"""SELECT id, {us_sql('round(duration - 2.0, 8)')} AS right_us FROM cuts WHERE duration > 2""")
+@query(f"""SELECT id || '-left' AS id, 2000000 AS duration_us, {us_sql('start')} AS start_us FROM cuts WHERE duration > 2
+UNION ALL SELECT id || '-right', {us_sql('round(duration - 2.0, 8)')}, {us_sql('round(start + 2.0, 8)')} FROM cuts WHERE duration > 2""")
 def split_in_two(spark, d):
-    both = C.split_at(cuts(spark, d), 2.0)
-    return both.where("id like '%-right'").select(F.expr("substring(id, 1, length(id) - 6)").alias("id"), us("duration").alias("right_us"))
+    return C.split_at(cuts(spark, d), 2.0).select("id", us("duration").alias("duration_us"), us("start").alias("start_us"))
 
 
 @query(f"""WITH c AS (SELECT DISTINCT id, recording.id AS rec, duration FROM cuts WHERE recording IS NOT NULL)
@@ -887,6 +887,23 @@ def coverage_stream(spark, d):
     return latest_periods(settled(period_stream(stream), OUT, "update"))
 
 
+@query()
+def coverage_stream_batches(spark, d):
+    """The same over several micro-batches, one file each."""
+    from voxtile.session import shared_folder
+    from voxtile.streaming.coverage import OUT, latest_periods, period_stream
+    from voxtile.streaming.sessions import settled
+
+    folder = shared_folder(spark, "deliveries")
+    s = sup(spark, d)
+    s.repartitionByRange(4, "received_at").write.parquet(folder)
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return latest_periods(settled(period_stream(stream, late="3650 days"), OUT, "update"))
+
+
+ORACLES["coverage_stream_batches"] = ORACLES["coverage_stream"]
+
+
 # ---- interchange formats -----------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,9 @@
 """Continuous periods over a stream of deliveries: the interval map of voxtile.operators.coverage in keyed state.
 
 State is kept per (recording, time chunk). Every delivery is inserted by binary search;
-the key's periods go out anew when they have changed, with a version, so that a sink keeps
-the latest. A repeated delivery changes nothing; a late one merges where it belongs, up
-to the watermark, after which the chunk's state is dropped.
+the key's periods go out anew when they have changed, with a version. A repeated delivery
+changes nothing; a late one merges where it belongs. Once the watermark has passed a
+chunk's last delivery its state is dropped; the reader of the sink merges what comes later.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtile.operators.coverage import CHUNK_MS, IntervalMap
@@ -51,6 +51,16 @@ def period_stream(deliveries: DataFrame, late: str = "7 days", chunk_ms: int = C
 
 
 def latest_periods(written: DataFrame) -> DataFrame:
-    """(recording_id, chunk, start_ms, end_ms): of what a period stream wrote, each chunk's last version."""
-    newest = written.groupBy("recording_id", "chunk").agg(F.max("version").alias("version"))
-    return written.join(newest, ["recording_id", "chunk", "version"]).select("recording_id", "chunk", "start_ms", "end_ms")
+    """(recording_id, chunk, start_ms, end_ms): the periods of all that a period stream wrote.
+
+    Periods only grow, so all versions of a chunk are merged: what was delivered after the
+    chunk's state was dropped, and so counts from a first version again, adds to what was
+    known before and replaces nothing.
+    """
+    keys = ["recording_id", "chunk"]
+    order = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
+    edge = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = written.select(*keys, "start_ms", "end_ms").distinct()
+    marked = rows.withColumn("fresh", (edge.isNull() | (F.col("start_ms") > edge)).cast("int"))
+    numbered = marked.withColumn("k", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "k").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("k")
