@@ -63,15 +63,36 @@ def test_best_fit_matches_a_plain_search():
     assert fit.bins == len(rooms)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=120), st.integers(1, 40))
+def test_packing_of_counts_is_that_of_single_texts(sizes, capacity):
+    sizes = sorted((min(s, capacity) for s in sizes), reverse=True)
+    plain = packing.BestFit(capacity)
+    rooms = {}
+    for s in sizes:
+        n = plain.put(s)
+        rooms[n] = rooms.get(n, capacity) - s
+    counts = {s: sizes.count(s) for s in set(sizes)}
+    runs, opened = packing.pack_counts(counts, capacity)
+    held = {}
+    for s, log in runs.items():
+        for place, first, each in log:
+            upto = min((x[0] for x in log if x[0] > place), default=counts[s])
+            for k in range(upto - place):
+                held[first + k // each] = held.get(first + k // each, 0) + s
+    assert opened == plain.bins == len(held)
+    assert sorted(held.values()) == sorted(capacity - r for r in rooms.values()) and all(v <= capacity for v in held.values())
+
+
 def test_containers(spark):
     rnd = random.Random(7)
     sizes = [(k, rnd.choice([0, 1, 5, 100, 64, 65, 300])) for k in range(400)]
-    out = packing.pack_sizes(spark.createDataFrame(sizes, "doc_id long, n_tokens long"), 64, 3).collect()
+    out = packing.pack_sizes(spark.createDataFrame(sizes, "doc_id long, n_tokens long"), 64).collect()
     held, per = {}, {}
     for r in out:
-        held[r.shard, r.container] = held.get((r.shard, r.container), 0) + r.n_tokens
+        held[r.container] = held.get(r.container, 0) + r.n_tokens
         per.setdefault(r.doc_id, []).append((r.part, r.n_tokens, r.split))
-    assert max(held.values()) <= 64
+    assert max(held.values()) <= 64 and set(held) == set(range(len(held)))
     for d, n in sizes:
         assert sum(x[1] for x in per[d]) == n and len(per[d]) == max(1, -(-n // 64))
         assert all(x[2] == (n > 64) for x in per[d])
