@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from voxtile.llm.tokens import VOCABULARY, token_counts
 from voxtile.operators.dataset import with_position
+from voxtile.session import checkpointed
 
 
 class BestFit:
@@ -127,7 +128,8 @@ def pack_sizes(sizes: DataFrame, capacity: int) -> DataFrame:
         F.least(F.col("n_tokens") - F.col("part") * capacity, F.lit(capacity)).cast("long").alias("size"), "doc_id", "part",
         (F.col("n_tokens") > capacity).alias("split"),
     )
-    placed = with_position(items, F.desc("size"), "doc_id", "part")
+    # sorting samples its input first: the sizes are written once, or each text would be measured twice
+    placed = with_position(checkpointed(items), F.desc("size"), "doc_id", "part")
     # one row for each size, at most capacity + 1
     counts = {r["size"]: r["n"] for r in placed.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = pack_counts(counts, capacity)
