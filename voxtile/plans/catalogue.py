@@ -871,7 +871,8 @@ def session_stream(spark, d):
     from voxtile.streaming.sessions import settled
 
     stream = _stream(spark, d, "events")
-    return settled(sessions(stream, gap="2 hours"), "user_id long, start timestamp, end timestamp, n long").drop("_batch")
+    out = settled(sessions(stream, gap="2 hours"), "user_id long, start timestamp, end timestamp, n long")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @query("""WITH first AS (SELECT id, min((received_at, recording_id, "start", duration)) AS r FROM supervision WHERE id IS NOT NULL GROUP BY id),
@@ -1043,3 +1044,23 @@ x AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS p, sum(w) OVER (ORDER BY m
 g AS (SELECT p, m, CAST(0 AS DOUBLE) AS base, false AS hit FROM x WHERE p = 0
 UNION ALL SELECT x.p, x.m, CASE WHEN x.cum - g.base > x.share THEN x.cum ELSE g.base END, x.cum - g.base > x.share FROM g JOIN x ON x.p = g.p + 1)
 SELECT CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS i, m AS bound FROM g WHERE hit"""
+
+# sessions that the last watermark, an hour before the last event, has passed
+ORACLES["session_stream"] = ORACLES["session_windows"] + " HAVING max(t) + 7200000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)"
+ORACLES["weighted_sample"] = f"""SELECT id FROM (SELECT DISTINCT id, duration FROM cuts) WHERE duration > 0
+ORDER BY -ln(({_hash_sql('id', 1)} + 0.5) / 4294967296.0) / duration, id LIMIT 100"""
+ORACLES["mux_weighted"] = "SELECT DISTINCT id, 0 AS _src FROM audio UNION ALL SELECT DISTINCT id, 1 AS _src FROM cuts"
+_NF = "floor((round_even(duration * coalesce(recording.sampling_rate, 16000), 0) + floor(round_even(features.frame_shift * coalesce(recording.sampling_rate, 16000), 0) / 2)) / round_even(features.frame_shift * coalesce(recording.sampling_rate, 16000), 0))"
+_SOME = "len(list_filter(supervisions, lambda s: {c})) > 0"
+ORACLES["cut_violations"] = f"""SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([
+CASE WHEN start < 0 THEN 'start below 0' END, CASE WHEN duration <= 0 THEN 'duration not above 0' END,
+CASE WHEN round(start + duration, 8) > recording.duration + 0.001 THEN 'beyond the recording' END, CASE WHEN recording IS NULL AND features IS NULL THEN 'neither recording nor features' END,
+CASE WHEN {_NF} > features.num_frames + 1 THEN 'too few frames' END, CASE WHEN {_SOME.format(c='s.duration IS NULL OR s.duration <= 0')} THEN 'segment without duration' END,
+CASE WHEN len(list_distinct(list_transform(supervisions, lambda s: s.id))) < len(supervisions) THEN 'repeated segment' END,
+CASE WHEN len(supervisions) <= 0 THEN 'no segment' END, CASE WHEN {_SOME.format(c='s.text IS NULL')} THEN 'segment without text' END,
+CASE WHEN {_SOME.format(c='s.start < -0.002')} THEN 'segment before the cut' END, CASE WHEN {_SOME.format(c='s.start + s.duration > duration + 0.002')} THEN 'segment beyond the cut' END,
+CASE WHEN len(supervisions) <> 1 THEN 'not exactly one segment' END], lambda x: x IS NOT NULL)) AS rule FROM cuts) GROUP BY rule"""
+ORACLES["signal_mixes"] = """WITH e AS (SELECT vec_id, len(embedding) AS n, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings),
+t AS (SELECT vec_id, k AS i, v AS x FROM e UNION ALL SELECT vec_id, n - k + 9, sqrt(0.1) * v FROM e), m AS (SELECT vec_id, i, sum(x) AS x FROM t GROUP BY vec_id, i)
+SELECT vec_id, CAST(count(*) AS INTEGER) AS n, round(sum(x * x) / count(*), 4) AS energy FROM m GROUP BY vec_id"""
+ORACLES["augmented_features"] = "SELECT vec_id, 20 AS frames FROM embeddings"
