@@ -31,6 +31,7 @@ def rng_for(key, seed: int) -> np.random.Generator:
 # ---- framing, spectra, filter banks ------------------------------------------------------------------------------
 
 
+# The defaults of frames, mel banks and cepstra.
 @dataclass(frozen=True)
 class FrameOptions:
     sampling_rate: int = 16000
@@ -305,6 +306,7 @@ def probably(df: DataFrame, samples: str, name: str, p: float, key: str = "id",
 # ---- masks on features -------------------------------------------------------------------------------------------
 
 
+# The defaults of numbers and sizes of masks.
 def spec_masked(m: np.ndarray, g: np.random.Generator, freq_masks: int = 2, freq_size: int = 27, time_masks: int = 10, time_size: int = 100, max_fraction: float = 0.15, warp: int | None = 80) -> np.ndarray:
     """Time warping and masks of random widths, filled with the mean; masked frames stay within a fraction of the whole."""
     m = np.array(m, dtype=np.float32)

@@ -94,7 +94,7 @@ def chunk_pieces(spans: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Disjoint intervals per (recording, chunk); ``fresh`` ones open a period, ``edge_ms`` is the end before the gap."""
     spans = spans.select(
         "recording_id", F.floor(F.col("start_ms") / chunk_ms).cast("long").alias("chunk"), "start_ms", "end_ms"
-    ).repartition("recording_id", "chunk")
+    )
     before = Window.partitionBy("recording_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         spans.groupBy("recording_id", "chunk")
@@ -102,7 +102,8 @@ def chunk_pieces(spans: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
         .select("recording_id", "chunk", F.max("chunk_end").over(before).alias("carry"))
     )
     work = spans.join(carry, ["recording_id", "chunk"]).select("recording_id", "chunk", "start_ms", "end_ms", "carry")
-    work = work.sortWithinPartitions("recording_id", "chunk", "start_ms")
+    # after the join, so that no plan of the join can part a chunk
+    work = work.repartition("recording_id", "chunk").sortWithinPartitions("recording_id", "chunk", "start_ms")
     run = keyed_stream(["recording_id", "chunk"], _Chunk, lambda rows: rows_to_batch(rows, _PIECES))
     return work.mapInArrow(
         run, "recording_id string, chunk long, start_ms long, end_ms long, fresh boolean, edge_ms long"

@@ -6,12 +6,15 @@ position, so neither set is held in memory.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtile.functions.timeops import hash_int, r8, uniform
 from voxtile.operators.cuts import as_track, mixed_duration
 from voxtile.operators.dataset import with_position
+from voxtile.session import checkpointed
 
 
 def snr_of(key: Column | str, snr: float | tuple[float, float] | None, seed: int) -> Column:
@@ -27,21 +30,32 @@ def snr_of(key: Column | str, snr: float | tuple[float, float] | None, seed: int
 def mix_noise(cuts: DataFrame, noise: DataFrame, snr: float | tuple[float, float] | None = 20.0, mix_prob: float = 1.0, seed: int = 0) -> DataFrame:
     """(id, duration, tracks): each cut with noises one after another over its whole length, with a chance of ``mix_prob``.
 
-    The last noise is cut where the cut ends. How many noises a cut is offered follows
-    from the shortest noise, and those that would begin beyond its end are dropped before
-    they are gathered.
+    The last noise is cut where the cut ends. Noises are drawn in rounds: each offers a cut
+    about as many as the mean noise needs to reach its end, and cuts whose end is not
+    reached are offered more.
     """
     placed = with_position(noise.where("duration > 0").select("id", "start", "duration", "channel", "supervisions"), "id")
-    size = placed.agg(F.count(F.lit(1)).alias("n"), F.min("duration").alias("least")).first()
+    size = placed.agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("mean")).first()
     tracks = F.array(as_track())
     if not size["n"]:
         return cuts.select("id", "duration", tracks.alias("tracks"))
     chosen = uniform("id", seed) < mix_prob
-    offers = F.ceil(F.col("duration") / F.lit(size["least"])).cast("long")
-    wide = cuts.where(chosen & (F.col("duration") > 0)).select(F.col("id").alias("cut_id"), F.col("duration").alias("cut_duration"), F.explode(F.sequence(F.lit(1).cast("long"), offers)).alias("k"))
-    wide = wide.withColumn("_pos", F.pmod(hash_int(F.concat_ws("/", "cut_id", F.col("k").cast("string")), seed + 1), F.lit(size["n"])))
-    before = Window.partitionBy("cut_id", "cut_duration").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    found = wide.join(placed, "_pos").withColumn("offset", r8(F.coalesce(F.sum("duration").over(before), F.lit(0.0)))).where("offset < cut_duration")
+    open_cuts = cuts.where(chosen & (F.col("duration") > 0)).select(
+        F.col("id").alias("cut_id"), F.col("duration").alias("cut_duration"), F.lit(0).cast("long").alias("drawn"), F.lit(0.0).alias("at")
+    ).distinct()
+    rounds, before = [], Window.partitionBy("cut_id", "cut_duration").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        offers = F.ceil((F.col("cut_duration") - F.col("at")) / F.lit(size["mean"])).cast("long") + 2
+        wide = open_cuts.withColumn("k", F.explode(F.sequence(F.col("drawn") + 1, F.col("drawn") + offers)))
+        wide = wide.withColumn("_pos", F.pmod(hash_int(F.concat_ws("/", "cut_id", F.col("k").cast("string")), seed + 1), F.lit(size["n"])))
+        drawn = wide.join(placed, "_pos").withColumn("offset", r8(F.col("at") + F.coalesce(F.sum("duration").over(before), F.lit(0.0))))
+        drawn = checkpointed(drawn)
+        rounds.append(drawn.where("offset < cut_duration"))
+        ends = drawn.groupBy("cut_id", "cut_duration").agg(F.max("k").alias("drawn"), F.max(F.col("offset") + F.col("duration")).alias("at"))
+        open_cuts = checkpointed(ends.where("at < cut_duration"))
+        if open_cuts.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, rounds)
     length = F.least("duration", r8(F.col("cut_duration") - F.col("offset")))
     cut = F.struct("id", "start", length.alias("duration"), "channel", "supervisions")
     track = F.struct("offset", snr_of("cut_id", snr, seed + 2).alias("snr"), F.lit("noise").alias("tag"), cut.alias("cut"))
