@@ -19,7 +19,7 @@ from voxtile.plans.catalogue import CUTS, _unique, audio, cuts, feats, query, su
 from voxtile.plans.catalogue import ORACLES as _ALL_SQL
 from voxtile.plans.catalogue import QUERIES as _ALL
 from voxtile.session import shared_folder, table
-from voxtile.sources import archives, arrays, manifests
+from voxtile.sources import archives, arrays, corpora, manifests
 from voxtile.sources import audio as wav
 
 _BEFORE = set(_ALL)
@@ -350,5 +350,34 @@ def lossy_arrays(spark, d):
     return back.select("id", (worst <= 2.0**-5).alias("near"))
 
 
+# ---- corpora ---------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT id, max(CAST(round(duration * 1000) AS BIGINT)) AS ms FROM audio WHERE id IS NOT NULL AND duration > 0.001 AND duration < 1e9 GROUP BY id)
+SELECT id, 'c ' || id AS text, ms FROM a""")
+def clips_of_a_table(spark, d):
+    """Recordings as clips: a tab-separated table and one of durations."""
+    folder = shared_folder(spark, "clips")
+    a = audio(spark, d).where("id is not null and duration > 0.001 and duration < 1e9").groupBy("id").agg(F.max(F.round(F.col("duration") * 1000).cast("long")).alias("ms"))
+    tsv = lambda df, name: df.write.option("sep", "\t").option("header", "true").csv(f"{folder}/{name}")
+    tsv(a.select(F.lit("who").alias("client_id"), F.concat("id", F.lit(".mp3")).alias("path"), F.concat(F.lit("c "), "id").alias("sentence"), F.lit("x").alias("gender")), "train")
+    tsv(a.select(F.concat("id", F.lit(".mp3")).alias("clip"), F.col("ms").alias("duration[ms]")), "durations")
+    segments = corpora.clips(spark, f"{folder}/train", "/clips", f"{folder}/durations", "en")[1]
+    return segments.select("id", "text", F.round(F.col("duration") * 1000).cast("long").alias("ms"))
+
+
+@query("SELECT printf('7-%d-%04d', label, vec_id) AS id, CAST(len(embedding) AS BIGINT) AS n, '7' AS speaker, 'WORD ' || vec_id AS text FROM embeddings")
+def chapters_of_a_corpus(spark, d):
+    """Signals with transcripts as read speech by chapter."""
+    folder = local_folder(spark, "corpus")
+    e = table(spark, d, "embeddings").select(F.format_string("7-%d-%04d", "label", "vec_id").alias("id"), "vec_id", "embedding")
+    wav.save_audio(e.select("id", F.transform("embedding", lambda x: x / 1000).alias("samples"), F.lit(8000).alias("rate")), folder).write.format("noop").mode("overwrite").save()
+    e.select(F.concat("id", F.lit(" WORD "), F.col("vec_id").cast("string")).alias("value")).write.text(f"{folder}/lines")
+    for i, path in enumerate(_files(f"{folder}/lines")):
+        os.rename(path, f"{folder}/{i}.trans.txt")
+    recordings, segments = corpora.chapters(spark, folder, "wav")
+    return segments.join(recordings.select("id", "num_samples"), "id").select("id", F.col("num_samples").alias("n"), "speaker", "text")
+
+
 QUERIES = {k: f for k, f in _ALL.items() if k not in _BEFORE}
 ORACLES = {k: s for k, s in _ALL_SQL.items() if k in QUERIES}

@@ -19,14 +19,77 @@ from voxtile.session import tasks_for
 from voxtile.sources.manifests import SCHEMAS
 
 
+def _head(source: str | bytes, n: int = 65_536) -> bytes:
+    if isinstance(source, bytes):
+        return source[:n]
+    with open(source, "rb") as f:
+        return f.read(n)
+
+
+def _sphere_header(head: bytes) -> dict[str, str]:
+    """The fields of a SPHERE header, and ``header_bytes``."""
+    lines = head.decode("latin-1").split("\n")
+    out = {"header_bytes": lines[1].strip()}
+    for line in lines[2:]:
+        if line.strip() == "end_head":
+            break
+        parts = line.split(None, 2)
+        if len(parts) == 3:
+            out[parts[0]] = parts[2]
+    return out
+
+
 def probe(source: str | bytes) -> tuple[int, int, int]:
-    """(rate, samples, channels) from a WAV header."""
+    """(rate, samples, channels) from the header of a WAV, FLAC or SPHERE file, by its first bytes."""
+    head = _head(source)
+    if head[:4] == b"fLaC":
+        # the first block describes the stream: rate in 20 bits, channels in 3, sample width in 5, samples in 36
+        bits = int.from_bytes(head[18:26], "big")
+        return bits >> 44, bits & ((1 << 36) - 1), (bits >> 41 & 7) + 1
+    if head[:7] == b"NIST_1A":
+        h = _sphere_header(head)
+        return int(h["sample_rate"]), int(h["sample_count"]), int(h.get("channel_count", "1"))
     with wave.open(source if isinstance(source, str) else io.BytesIO(source), "rb") as w:
         return w.getframerate(), w.getnframes(), w.getnchannels()
 
 
+def _mu_law(x: np.ndarray) -> np.ndarray:
+    """Companded bytes to 16-bit steps."""
+    u = ~x.astype(np.uint8)
+    size = ((((u & 0x0F).astype(np.int32) << 3) + 0x84) << ((u >> 4) & 7)) - 0x84
+    return np.where(u & 0x80, -size, size)
+
+
+def _read_sphere(source: str | bytes, offset: float, duration: float | None) -> tuple[np.ndarray, int]:
+    h = _sphere_header(_head(source))
+    rate, n, c = int(h["sample_rate"]), int(h["sample_count"]), int(h.get("channel_count", "1"))
+    coding = h.get("sample_coding", "pcm").split(",")
+    if len(coding) > 1 or coding[0] not in ("pcm", "ulaw", "mu-law"):
+        raise ValueError(f"cannot read samples coded as {h['sample_coding']}")
+    width = int(h.get("sample_n_bytes", "1" if coding[0] != "pcm" else "2"))
+    first = min(max(0, int(round(offset * rate))), n)
+    count = n - first if duration is None else min(n - first, int(round(duration * rate)))
+    begin, size = int(h["header_bytes"]) + first * c * width, count * c * width
+    if isinstance(source, bytes):
+        raw = source[begin : begin + size]
+    else:
+        with open(source, "rb") as f:
+            f.seek(begin)
+            raw = f.read(size)
+    if coding[0] != "pcm":
+        steps = _mu_law(np.frombuffer(raw, dtype=np.uint8))
+    elif width == 2:
+        steps = np.frombuffer(raw, dtype=">i2" if h.get("sample_byte_format", "01") == "10" else "<i2")
+    else:
+        raise ValueError("only 16-bit PCM is supported")
+    return steps.reshape(-1, c).T / 32768.0, rate
+
+
 def read_samples(source: str | bytes, offset: float = 0.0, duration: float | None = None, channels: list[int] | None = None) -> tuple[np.ndarray, int]:
-    """((channels, samples) in [-1, 1), rate) of a span of a 16-bit WAV."""
+    """((channels, samples) in [-1, 1), rate) of a span of a 16-bit WAV, or a SPHERE file of PCM or mu-law samples."""
+    if _head(source, 7) == b"NIST_1A":
+        data, rate = _read_sphere(source, offset, duration)
+        return (data if channels is None else data[channels]), rate
     with wave.open(source if isinstance(source, str) else io.BytesIO(source), "rb") as w:
         rate, n, c = w.getframerate(), w.getnframes(), w.getnchannels()
         if w.getsampwidth() != 2:
