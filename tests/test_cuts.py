@@ -256,3 +256,12 @@ def test_task_batches(some, spark):
     assert {x.batch: x.speakers for x in task_batches.diarisation(some, b).collect()}[0] == [["a", "b"], ["a"]]
     assert task_batches.synthesis(some, b).first().cut_ids == ["c3"]
     assert task_batches.tagging(some, b, "k").where("batch = 0").first().tags == ["v", None]
+
+
+def test_no_segments_stay_none_when_ends_are_clipped(spark):
+    from voxtile.operators import cuts as C
+
+    schema = "id string, supervisions array<struct<id:string,start:double,duration:double>>"
+    df = spark.createDataFrame([("a", []), ("b", [("x", 0.0, 5.0), ("y", 2.0, 1.0)]), ("c", None)], schema)
+    got = {r.id: None if r.s is None else [(x.id, x.duration) for x in r.s] for r in df.select("id", C.next_start_clipped().alias("s")).collect()}
+    assert got == {"a": [], "b": [("x", 2.0), ("y", 1.0)], "c": None}

@@ -226,7 +226,8 @@ def trimmed_supervisions() -> Column:
 def next_start_clipped() -> Column:
     """Segments whose end is clipped to the next one's start."""
     ordered = sorted_by_start(F.col(SUPS))
-    following = F.transform(F.concat(F.slice(ordered, 2, F.size(ordered)), F.array(F.lit(None))), lambda s: s["start"])
+    following = F.slice(F.concat(F.slice(ordered, 2, F.size(ordered)), F.array(F.lit(None))), 1, F.greatest(F.size(ordered), F.lit(0)))
+    following = F.transform(following, lambda s: s["start"])
     return F.zip_with(ordered, following, lambda s, nxt: s.withField("duration", F.when(nxt.isNotNull() & (sup_end(s) > nxt), r8(nxt - s["start"])).otherwise(s["duration"])))
 
 

@@ -126,7 +126,7 @@ def malformed_lines_left_out(spark, d):
     return read.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
 
 
-@query("SELECT trim(text) AS text, count(*) AS n FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%' || chr(13) || '%' GROUP BY 1")
+@query(r"SELECT regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text, count(*) AS n FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%' || chr(13) || '%' GROUP BY 1")
 def text_examples(spark, d):
     folder = shared_folder(spark, "texts")
     one_line = table(spark, d, "documents").where("text is not null").where(~F.col("text").contains("\n") & ~F.col("text").contains("\r"))

@@ -129,7 +129,8 @@ def append_missing(df: DataFrame, path: str, key: str = "id", kind: str = "cut")
 
 
 def read_text_examples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("text"))
+    """Lines of text without white space of any kind around them."""
+    return spark.read.text(path).select(F.regexp_replace("value", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("text"))
 
 
 # ---- formats with line numbers ----------------------------------------------------------------------------------
