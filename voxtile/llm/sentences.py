@@ -16,6 +16,9 @@ Lines: a break is soft, inside a running sentence, where the line has no termina
 is about as long as the longest of the document; all other breaks end a sentence, so headings and unpunctuated captions are sentences. Numbering, bullets and
 speaker labels at the head of a line belong to what they introduce.
 
+Fixed reaches of two rules: an ellipsis is a hesitation only within 80 characters of the sentence's
+start, and a verb of saying is looked for in the 60 characters after a quotation.
+
 Scale: two narrow passes over the texts; the first counts words and aggregates before its
 shuffle. Only words with at least 1/50,000 of all stops, or 1/10,000 of all openings, are
 told to the tasks, so at most 60,000 whatever the corpus; rarer ones are judged by their
