@@ -113,6 +113,34 @@ def test_sections_change_no_piece(spark):
         assert [x[1:3] for x in a if x[0] == rec] == [x[:2] for x in got]
 
 
+def test_unbroken_speech_takes_few_rounds(spark, monkeypatch):
+    made = []
+
+    def counted(df, plain=pieces.checkpointed):
+        made.append(df)
+        assert len(made) <= 14, "the rounds grow with the number of sections"
+        return plain(df)
+
+    monkeypatch.setattr(pieces, "checkpointed", counted)
+    # 40 sections each: unbroken speech, no segment, speech with silences in the middle only, and silences after both
+    spans = {"a": [(0, 2400)], "b": [], "c": [(0, 900)] + [(900 + 11 * k, 7 + k % 3) for k in range(60)] + [(1600, 800)], "d": [(40, 700), (1500, 300)] + [(2000 + 13 * k, 9) for k in range(20)]}
+    rows = [(f"{r}{k}", r, float(s), float(d), f"word{k % 5} word{k % 7}", None, None, T0) for r, x in spans.items() for k, (s, d) in enumerate(x)]
+    end = 2_399_500.0
+    cut = pieces.pieces(spark.createDataFrame(rows, SUP), spark.createDataFrame([(r, 1000, int(end), None, T0) for r in spans], AUDIO), 30_000, 2_000, 60_000)
+    got = {}
+    for p in cut.collect():
+        got.setdefault(p.recording_id, []).append((p.start_ms, p.end_ms, p.how, p.stretch_start_ms, p.stretch_ms))
+    gaps = {}
+    for g in pieces.similar_silences(pieces.placed_spans(pieces.segment_spans(spark.createDataFrame(rows, SUP), ["text"]))).collect():
+        gaps.setdefault(g.recording_id, []).append((float(g.gap_start), float(g.gap_end), g.similar))
+    for r, x in spans.items():
+        lo, hi = (1000.0 * min(s for s, _ in x), 1000.0 * max(s + d for s, d in x)) if x else (None, None)
+        edges = [(0.0, lo, None), (hi, end, None)] if x else [(0.0, end, None)]
+        silent = sorted((s, min(e, end), v) for s, e, v in [*edges, *gaps.get(r, [])] if s < min(e, end))
+        want, _ = pieces.cut_section(0.0, end, end, silent, 30_000, 2_000, lo, hi)
+        assert sorted(got[r]) == [(s, e, how, a, n) for s, e, how, _, a, n in want]
+
+
 def test_chunks_change_no_similarity(spark):
     rows = [(f"i{k:03d}", f"r{k % 2}", k * 7.3 % 900, 1.0 + k % 3, f"word{k % 5} word{k % 7}" if k % 6 else None, None, None, T0) for k in range(200)]
     spans = pieces.segment_spans(spark.createDataFrame(rows, SUP), ["text"])

@@ -12,9 +12,11 @@ after the chunk given to it; silences come from the interval map of
 voxtile.operators.coverage. A piece depends on the one before, so a recording is cut in
 sections that are guessed and verified: each section is cut from a guessed first piece, the
 piece that its forerunner hands on then replaces the guess, and only sections whose first
-piece changes are cut again, until none does. The pieces are those of one pass from the
-recording's start, whatever the section's length. A task holds the silences of one section
-or the segments of one chunk; a recording with a third of all rows is many of both.
+piece changes are cut again. What two rounds leave (hours of unbroken speech or of silence
+have nothing at which two sequences of pieces meet) is followed in order, one section at a
+time, so the rounds do not grow with the length of a recording. The pieces are those of one
+pass from the recording's start, whatever the section's length. A task holds the silences of
+one section or the segments of one chunk; a recording with a third of all rows is many of both.
 
 Defined results: a recording without a length, or not in audio, gives no piece; one that
 is no longer than the limit gives one piece; a block without words (null, empty and blank
@@ -28,6 +30,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,6 +40,8 @@ from voxtile.operators.coverage import CHUNK_MS, IntervalMap, segment_spans
 from voxtile.session import RECORDING_FIELDS, checkpointed, finite, first_delivery, keyed_stream, rows_to_batch, salted_join
 
 SECTION_MS = 3_600_000
+#: How often all sections with another first piece are cut at once, before those left are followed in order.
+ROUNDS = 2
 BLOCK = 4
 _WORDS = re.compile(r"\w+")
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿]{2,}")
@@ -226,27 +231,63 @@ def _sections(placed: DataFrame, ends: DataFrame, piece_max: int, section: int)
     )
 
 
+_CUT = pa.schema([("recording_id", pa.string()), ("section", pa.int64()), ("entry", pa.float64()), ("next", pa.float64()), ("pieces", pa.list_(pa.struct(
+    [("start_ms", pa.float64()), ("end_ms", pa.float64()), ("how", pa.string()), ("depth", pa.float64()), ("stretch_start_ms", pa.int64()), ("stretch_ms", pa.float64())])))])
+_PIECE_FIELDS = [f.name for f in _CUT.field("pieces").type.value_type]
+_CUT_SQL = f"recording_id string, section long, entry double, next double, pieces {_PIECE}"
+
+
+def _cut_row(x: dict, entry: float, piece_max: int, overlap: int, section: int) -> tuple:
+    """The row of one section, cut from ``entry`` on; an entry below 0 gives no piece."""
+    found, following = [], None
+    if entry >= 0:
+        gaps = [(g["s"], g["e"], g["similar"]) for g in x["gaps"] or ()]
+        found, following = cut_section(entry, (x["section"] + 1) * section, x["rec_end"], gaps, piece_max, overlap, x["before"], x["after"])
+    made = [dict(zip(_PIECE_FIELDS, (float(p), float(q), how, d, None if s is None else int(s), None if n is None else float(n)))) for p, q, how, d, s, n in found]
+    return x["recording_id"], x["section"], entry, following, made
+
+
 def _cut(sections: DataFrame, piece_max: int, overlap: int, section: int) -> DataFrame:
-    """(recording_id, section, entry, next, pieces): sections cut from their entry on; an entry below 0 gives no piece."""
+    """(recording_id, section, entry, next, pieces): sections cut from their entry on."""
     names = sections.columns
-    schema = pa.schema([("recording_id", pa.string()), ("section", pa.int64()), ("entry", pa.float64()), ("next", pa.float64()), ("pieces", pa.list_(pa.struct(
-        [("start_ms", pa.float64()), ("end_ms", pa.float64()), ("how", pa.string()), ("depth", pa.float64()), ("stretch_start_ms", pa.int64()), ("stretch_ms", pa.float64())])))])
-    fields = [f.name for f in schema.field("pieces").type.value_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [dict(zip(names, r)) for r in zip(*[c.to_pylist() for c in b.columns])]
+            yield rows_to_batch([_cut_row(x, x["entry"], piece_max, overlap, section) for x in rows], _CUT)
+
+    return sections.mapInArrow(run, _CUT_SQL)
+
+
+def _followed(sections: DataFrame, done: DataFrame, wrong: DataFrame, piece_max: int, overlap: int, section: int) -> DataFrame:
+    """The rows of ``_cut`` that change when each recording of ``wrong`` is followed in order from its first wrong section on.
+
+    A section that was cut from the entry which its forerunner hands on stays as it is; one row is held at a time.
+    """
+    keys = ["recording_id", "section"]
+    first = wrong.groupBy("recording_id").agg(F.min(F.struct("section", F.col("entry").alias("given"))).alias("f"))
+    rest = sections.join(first, "recording_id").where("section >= f.section").select(sections["*"], F.col("f.given").alias("given"))
+    rest = rest.join(done.select(*keys, "entry", F.coalesce("next", F.lit(-1.0)).alias("next")), keys)
+    # after the joins, so that no plan of a join can part a recording
+    rest = rest.repartition("recording_id").sortWithinPartitions(*keys)
+    names = rest.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, entry = None, None
         for b in batches:
             rows = []
             for r in zip(*[c.to_pylist() for c in b.columns]):
                 x = dict(zip(names, r))
-                found, following = [], None
-                if x["entry"] >= 0:
-                    gaps = [(g["s"], g["e"], g["similar"]) for g in x["gaps"] or ()]
-                    found, following = cut_section(x["entry"], (x["section"] + 1) * section, x["rec_end"], gaps, piece_max, overlap, x["before"], x["after"])
-                made = [dict(zip(fields, (float(p), float(q), how, d, None if s is None else int(s), None if n is None else float(n)))) for p, q, how, d, s, n in found]
-                rows.append((x["recording_id"], x["section"], x["entry"], following, made))
-            yield rows_to_batch(rows, schema)
+                if x["recording_id"] != current:
+                    current, entry = x["recording_id"], x["given"]
+                if entry == x["entry"]:
+                    entry = x["next"]
+                    continue
+                rows.append(_cut_row(x, entry, piece_max, overlap, section))
+                entry = -1.0 if rows[-1][3] is None else rows[-1][3]
+            yield rows_to_batch(rows, _CUT)
 
-    return sections.mapInArrow(run, f"recording_id string, section long, entry double, next double, pieces {_PIECE}")
+    return rest.mapInArrow(run, _CUT_SQL)
 
 
 def pieces(supervision: DataFrame, audio: DataFrame, piece_max: int, overlap: int, section_ms: int = SECTION_MS) -> DataFrame:
@@ -263,13 +304,16 @@ def pieces(supervision: DataFrame, audio: DataFrame, piece_max: int, overlap: in
     sections = checkpointed(_sections(placed_spans(segment_spans(supervision, ["text"])), checkpointed(recording_ends(audio)), piece_max, section))
     # the first guess: a piece starts where the section does; that is true of the first section
     done = checkpointed(_cut(sections.withColumn("entry", F.col("section").cast("double") * section), piece_max, overlap, section))
-    while True:
+    for turn in count():
         handed = done.select("recording_id", (F.col("section") + 1).alias("section"), F.coalesce("next", F.lit(-1.0)).alias("given"))
         wrong = checkpointed(done.select(*keys, "entry").join(handed, keys).where("entry <> given").select(*keys, F.col("given").alias("entry")))
         if wrong.isEmpty():
             break
-        again = _cut(sections.join(wrong, keys), piece_max, overlap, section)
-        done = checkpointed(done.join(wrong.select(*keys), keys, "left_anti").unionByName(again))
+        if turn < ROUNDS:
+            again, changed = _cut(sections.join(wrong, keys), piece_max, overlap, section), wrong
+        else:
+            again = changed = checkpointed(_followed(sections, done, wrong, piece_max, overlap, section))
+        done = checkpointed(done.join(changed.select(*keys), keys, "left_anti").unionByName(again))
     return done.select(*keys, F.explode("pieces").alias("p")).select(*keys, "p.*")
 
 
