@@ -1,17 +1,19 @@
 """Construction of mini-batches: constraints, buckets, greedy batching, distribution to ranks, packing.
 
-A greedy batch depends on the item before. The items of a stratum are cut into ranges of
-their order; each range is batched from a guessed open batch (none), the open batch that
-its forerunner hands on then replaces the guess, and only ranges whose guess was wrong are
-batched again. Batches soon fall into step, so a few rounds give what one pass over the
-stratum would, whether strata are many or one. A task holds one open batch at a time.
+A greedy batch depends on the items before only by where it starts. The items of a stratum
+are cut into ranges of their order. A batch that comes into a range from before ends there no
+later than one that starts with the range would, as it already holds more; so a range tells,
+for each start within its own first batch, which open batch it ends with and how many it
+closes. One pass over these few rows finds what each range is handed, and all ranges are then
+numbered at once. The number of Spark jobs does not depend on the number of ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,11 @@ class Constraint:
     quadratic: float | None = None
     concatenate: bool = False
 
+    @property
+    def needs_order(self) -> bool:
+        """Whether sizes below 0 or no numbers, if there are any, may let a batch that holds more end later."""
+        return self.concatenate and self.max_total is not None
+
     def size(self, measure: float) -> float:
         return measure if self.quadratic is None else measure + measure * measure / self.quadratic
 
@@ -64,6 +71,17 @@ class Greedy:
     def state(self) -> tuple[float, ...]:
         return (float(self.n), self.longest, self.total)
 
+    @property
+    def constraints(self) -> list[Constraint]:
+        return [self.c]
+
+    def sizes(self, measure: np.ndarray) -> list[np.ndarray]:
+        return [self.c.size(measure)]
+
+    def closes(self, n: int, longest: list, total: list):
+        """Whether a batch that comes to this is closed: before its last item if ``simple``, else after it."""
+        return (self.c.exceeded if self.simple else self.c.close_to_exceeding)(n, longest[0], total[0])
+
     def _open(self) -> None:
         self.n, self.longest, self.total = 0, 0.0, 0.0
 
@@ -84,6 +102,7 @@ class GreedyPairs:
     """One open batch of pairs under two constraints; a pair that would break either opens the next."""
 
     EMPTY = (0.0, 0.0, 0.0, 0.0, 0.0)
+    simple = True
 
     def __init__(self, source: Constraint, target: Constraint, state: tuple[float, ...] = EMPTY):
         self.source, self.target, self.batch = source, target, 0
@@ -93,6 +112,16 @@ class GreedyPairs:
     def state(self) -> tuple[float, ...]:
         return (float(self.n), *self.long, *self.sums)
 
+    @property
+    def constraints(self) -> list[Constraint]:
+        return [self.source, self.target]
+
+    def sizes(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        return [self.source.size(a), self.target.size(b)]
+
+    def closes(self, n: int, longest: list, total: list):
+        return np.logical_or(self.source.exceeded(n, longest[0], total[0]), self.target.exceeded(n, longest[1], total[1]))
+
     def add(self, a: float, b: float) -> int:
         sizes = [self.source.size(a), self.target.size(b)]
         longest = [max(x, y) for x, y in zip(self.long, sizes)]
@@ -104,6 +133,77 @@ class GreedyPairs:
 
 
 RANGE = 65_536
+#: Where batches have more items than this, a range's items are followed one by one instead of from each start.
+WIDE = 1_024
+
+
+def _ends_of_range(machine: Greedy | GreedyPairs, measures: list[np.ndarray]) -> tuple[list[tuple], list[int]] | None:
+    """For each start within the first batch of a range: the state that the range ends with, and the batches it closes.
+
+    All starts take their k-th item at once. None where sizes are below 0 or no numbers, as a
+    batch that holds more need not end earlier then, or where batches are wide.
+    """
+    sizes, n = machine.sizes(*measures), len(measures[0])
+    if not all((s >= 0).all() for s in sizes):
+        return None
+    after = np.full(n, -1)  # start of the next batch; -1: open at the end
+    left: dict[int, tuple] = {n: machine.EMPTY}
+    at, longest, total, k = np.arange(n), sizes, sizes, 1
+    while at.size:
+        if k > WIDE:
+            return None
+        if not machine.simple:
+            shut = np.broadcast_to(machine.closes(k, longest, total), at.shape)
+            after[at[shut]] = at[shut] + k
+            at, longest, total = at[~shut], [x[~shut] for x in longest], [x[~shut] for x in total]
+        if at.size and at[-1] + k == n:
+            left[int(at[-1])] = (float(k), *[float(x[-1]) for x in longest], *[float(x[-1]) for x in total])
+            at, longest, total = at[:-1], [x[:-1] for x in longest], [x[:-1] for x in total]
+        item = [s[at + k] for s in sizes]
+        longest, total = [np.maximum(x, y) for x, y in zip(longest, item)], [x + y for x, y in zip(total, item)]
+        if machine.simple:
+            shut = np.broadcast_to(machine.closes(k + 1, longest, total), at.shape)
+            after[at[shut]] = at[shut] + k
+            at, longest, total = at[~shut], [x[~shut] for x in longest], [x[~shut] for x in total]
+        k += 1
+    following = after.tolist()
+    last, closed = [n] * (n + 1), [0] * (n + 1)
+    for p in range(n - 1, -1, -1):
+        if (q := following[p]) < 0:
+            last[p] = p
+        else:
+            last[p], closed[p] = last[q], closed[q] + 1
+    head = min(following[0] + 1, n) if following[0] >= 0 else n
+    return [left[q] for q in last[:head]], closed[:head]
+
+
+def _keyed_tables(keys: list[str], work: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function for input that is hash-partitioned and sorted by whole-number keys whose rows fit a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.iinfo(np.int64).min
+        current, kept, ready = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(batch.schema.get_field_index(k)).fill_null(none).to_numpy() for k in keys]
+            turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            bounds = [0, *turns.tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:]):
+                key = tuple(None if c[a] == none else int(c[a]) for c in cols)
+                if kept and key != current:
+                    ready.append(work(current, pa.Table.from_batches(kept)))
+                    kept = []
+                    if sum(t.num_rows for t in ready) >= 20_000 or len(ready) >= 1_000:
+                        yield from pa.concat_tables(ready).combine_chunks().to_batches()
+                        ready = []
+                current = key
+                kept.append(batch.slice(a, b - a))
+        if kept:
+            ready.append(work(current, pa.Table.from_batches(kept)))
+            yield from pa.concat_tables(ready).combine_chunks().to_batches()
+
+    return run
 
 
 def _in_order(rows: DataFrame, measures: list[str], start: Callable[[tuple], Greedy | GreedyPairs], empty: tuple, size: int = RANGE) -> DataFrame:
@@ -112,53 +212,65 @@ def _in_order(rows: DataFrame, measures: list[str], start: Callable[[tuple], Gre
     placed = with_position(rows, "stratum", "__o", "id").withColumn("range", F.floor(F.col("_pos") / size).cast("long"))
     placed = placed.select(*keys, "_pos", "id", *measures)
     width = len(measures)
-    told = pa.schema([("stratum", pa.int64()), ("range", pa.int64()), ("entry", pa.list_(pa.float64())), ("next", pa.list_(pa.float64())), ("closed", pa.int64())])
-
-    class Tried:
-        """State of one range: what the next one is handed."""
-
-        def __init__(self, key: tuple):
-            self.key, self.machine, self.entry = key, None, None
-
-        def add(self, row: tuple) -> None:
-            if self.machine is None:
-                self.entry = tuple(row[-1])
-                self.machine = start(self.entry)
-            self.machine.add(*row[4 : 4 + width])
+    summed = [(m, c) for m, c in zip(measures, start(empty).constraints) if c.needs_order]
+    odd = any((c.quadratic or 0) < 0 or placed.where((F.col(m) < 0) | F.isnan(m)).head(1) for m, c in summed)
+    numbers = [pa.field(m, pa.float64()) for m in measures]
+    spelt = "".join(f"{m} double, " for m in measures)
+    told = pa.schema([("stratum", pa.int64()), ("range", pa.int64()), ("_pos", pa.int64()), *numbers, ("end", pa.list_(pa.float64())), ("closed", pa.int64())])
+
+    def tell(key: tuple, table: pa.Table) -> pa.Table:
+        """The first rows of a range with what it ends with if a batch starts there; all rows without it where that is not known."""
+        found = None if odd else _ends_of_range(start(empty), [table[m].to_numpy() for m in measures])
+        if found is not None:
+            table = table.slice(0, len(found[1]))
+        n = table.num_rows
+        ends, closed = found or ([None] * n, [None] * n)
+        cols = [table["stratum"], table["range"], table["_pos"], *[table[m] for m in measures], pa.array([None if e is None else list(e) for e in ends], told.field("end").type), pa.array(closed, pa.int64())]
+        return pa.Table.from_arrays(cols, schema=told)
+
+    handed = pa.schema([("stratum", pa.int64()), ("range", pa.int64()), ("entry", pa.list_(pa.float64())), ("base", pa.int64())])
+
+    class Followed:
+        """The batches of a stratum from range to range: item by item until one starts, from there to the range's end."""
 
-        def finish(self) -> list[tuple]:
-            return [(*self.key, list(self.entry), list(self.machine.state), self.machine.batch)]
-
-    def tried(df: DataFrame) -> DataFrame:
-        work = df.select(*keys, "_pos", "id", *measures, "entry").repartition(*keys).sortWithinPartitions(*keys, "_pos")
-        return work.mapInArrow(keyed_stream(keys, Tried, lambda out: rows_to_batch(out, told)), "stratum long, range long, entry array<double>, next array<double>, closed long")
-
-    done = checkpointed(tried(placed.withColumn("entry", F.array(*[F.lit(x) for x in empty]))))
-    while True:
-        handed = done.select("stratum", (F.col("range") + 1).alias("range"), F.col("next").alias("given"))
-        wrong = checkpointed(done.join(handed, keys).where("entry <> given").select(*keys, F.col("given").alias("entry")))
-        if wrong.isEmpty():
-            break
-        done = checkpointed(done.join(wrong.select(*keys), keys, "left_anti").unionByName(tried(placed.join(wrong, keys))))
-    before = Window.partitionBy("stratum").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    entries = done.select(*keys, "entry", F.coalesce(F.sum("closed").over(before), F.lit(0)).alias("base"))
-    schema = pa.schema([("stratum", pa.int64()), ("id", pa.string()), *[(m, pa.float64()) for m in measures], ("batch", pa.int64())])
-
-    class State:
         def __init__(self, key: tuple):
-            self.key, self.machine, self.base, self.out = key[0], None, 0, []
+            self.key, self.machine, self.range, self.through, self.out = key[0], start(empty), None, False, []
 
         def add(self, row: tuple) -> None:
-            if self.machine is None:
-                self.machine, self.base = start(tuple(row[-2])), row[-1]
-            values = row[4 : 4 + width]
-            self.out.append((self.key, row[3], *values, self.base + self.machine.add(*values)))
+            if row[1] != self.range:
+                self.range, self.through = row[1], False
+                self.out.append((self.key, self.range, list(self.machine.state), self.machine.batch))
+            if self.through:
+                return
+            end, closed = row[-2:]
+            starts = self.machine.n == 0
+            if not starts or end is None:
+                self.machine.add(*row[3 : 3 + width])
+                starts = self.machine.n == 1
+            if starts and end is not None:
+                batch = self.machine.batch + closed
+                self.machine, self.through = start(tuple(end)), True
+                self.machine.batch = batch
 
         def finish(self) -> list[tuple]:
             return self.out
 
-    work = placed.join(entries, keys).select(*keys, "_pos", "id", *measures, "entry", "base").repartition(*keys).sortWithinPartitions(*keys, "_pos")
-    return work.mapInArrow(keyed_stream(keys, State, lambda out: rows_to_batch(out, schema)), "stratum long, id string, " + "".join(f"{m} double, " for m in measures) + "batch long")
+    schema = pa.schema([("stratum", pa.int64()), ("id", pa.string()), *numbers, ("batch", pa.int64())])
+
+    def number(key: tuple, table: pa.Table) -> pa.Table:
+        machine, base = start(tuple(table["entry"][0].as_py())), table["base"][0].as_py()
+        table = table.slice(1)
+        batch = [base + machine.add(*x) for x in zip(*[table[m].to_numpy().tolist() for m in measures])]
+        return pa.Table.from_arrays([table["stratum"], table["id"].cast(pa.string()), *[table[m] for m in measures], pa.array(batch, pa.int64())], schema=schema)
+
+    work = placed.select(*keys, "_pos", *measures).repartition(*keys).sortWithinPartitions(*keys, "_pos")
+    ends = work.mapInArrow(_keyed_tables(keys, tell), f"stratum long, range long, _pos long, {spelt}end array<double>, closed long")
+    ends = ends.repartition("stratum").sortWithinPartitions("stratum", "range", "_pos")
+    entries = ends.mapInArrow(keyed_stream(["stratum"], Followed, lambda out: rows_to_batch(out, handed)), "stratum long, range long, entry array<double>, base long")
+    first = entries.select(*keys, F.lit(-1).cast("long").alias("_pos"), F.lit(None).cast("string").alias("id"), *[F.lit(0.0).alias(m) for m in measures], "entry", "base")
+    work = first.unionByName(placed.withColumns({"entry": F.lit(None).cast("array<double>"), "base": F.lit(None).cast("long")}))
+    work = work.repartition(*keys).sortWithinPartitions(*keys, "_pos")
+    return work.mapInArrow(_keyed_tables(keys, number), f"stratum long, id string, {spelt}batch long")
 
 
 def greedy_batches(df: DataFrame, constraint: Constraint, measure: str = "duration", mode: str = "dynamic", stratum: str | None = None, order: tuple[str, ...] = ("id",), size: int = RANGE) -> DataFrame:
