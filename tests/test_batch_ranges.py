@@ -55,3 +55,10 @@ def test_wide_batches_and_null_strata(spark, monkeypatch):
     c = B.Constraint(max_total=40.0)
     got = B.greedy_batches(spark.createDataFrame(rows, "s int, id string, duration double"), c, stratum="s", size=17).collect()
     assert {(r.stratum or 0, r.id): r.batch for r in got} == one_pass([(s or 0, *x) for s, *x in rows], lambda: B.Greedy(c, "dynamic")) and len(got) == 120
+
+
+def test_batches_of_one_order_of_many_ranges(spark, monkeypatch):
+    in_ranges(monkeypatch, 20)
+    rows, c = [(0, f"i{k:04d}", 1.0) for k in range(540)], B.Constraint(max_total=7.0)
+    got = both(spark, rows, "s int, id string, duration double", lambda df: B.greedy_batches(df, c))
+    assert {(r.stratum, r.id): r.batch for r in got} == one_pass(rows, lambda: B.Greedy(c, "dynamic")) and len(got) == 540
