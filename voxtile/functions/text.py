@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,13 +91,24 @@ def merged_with_delimiter(values: Column, prefix: str = "cat", delimiter: str =
 def encoded_characters(df: DataFrame, text: str, vocab: DataFrame, key: str = "id", bos: bool = True, eos: bool = True) -> DataFrame:
     """(key, ids): character ids of each text between the marks of its begin and end; characters outside the vocabulary are <unk>.
 
-    A text's characters meet the vocabulary in one join, made distinct per text before it.
-    Texts are told apart by their digest, so repeated and null keys give a row for each of their texts.
+    The vocabulary, bounded by Unicode, goes to all tasks as one array with an id at each code point, so no
+    text is taken apart into rows, and repeated and null keys give a row for each of their texts. A batch of texts
+    is looked up at once in Python: a built-in lookup would copy the array into each row.
     """
-    special = {r["token"]: r["token_id"] for r in vocab.where(F.col("token").isin("<pad>", "<unk>", "<bos>", "<eos>")).collect()}
-    chars = df.where(F.col(text).isNotNull()).select(key, F.sha2(text, 256).alias("__t"), F.filter(F.split(text, ""), lambda x: x != "").alias("__c"))
-    wide = chars.select("__t", F.explode(F.array_distinct("__c")).alias("token")).distinct().join(vocab, "token")
-    per = wide.groupBy("__t").agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("__m"))
-    ids = F.transform("__c", lambda c: F.coalesce(F.try_element_at("__m", c), F.lit(special["<unk>"]).cast("long")))
+    known = vocab.select("token", F.col("token_id").cast("long").alias("token_id"), F.when(F.char_length("token") == 1, F.ascii("token")).alias("point")).toArrow()
+    special = {t: known["token_id"][i].as_py() for i, t in enumerate(known["token"].to_pylist()) if t in ("<pad>", "<unk>", "<bos>", "<eos>")}
+    single = known.filter(known["point"].is_valid())
+    points = single["point"].to_numpy()
+    by_point = np.full((int(points.max()) if len(points) else 0) + 2, special["<unk>"], dtype=np.int64)  # the last for all beyond
+    by_point[points] = single["token_id"].to_numpy()
+
+    def looked_up(texts: pa.Array) -> pa.Array:
+        strings = texts.to_pylist()
+        codes = np.frombuffer("".join(strings).encode("utf-32-le"), dtype="<u4")
+        ends = np.cumsum([0, *map(len, strings)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(by_point[np.minimum(codes, len(by_point) - 1)], pa.int64()))
+
+    looked_up.__annotations__ = {"texts": pa.Array, "return": pa.Array}  # as types, not as their names
+    ids = F.arrow_udf(looked_up, "array<long>")
     one = lambda name, on: F.array(F.lit(special[name]).cast("long")) if on else F.expr("cast(array() as array<bigint>)")
-    return chars.join(per, "__t", "left").select(key, F.concat(one("<bos>", bos), F.coalesce(ids, F.expr("cast(array() as array<bigint>)")), one("<eos>", eos)).alias("ids"))
+    return df.where(F.col(text).isNotNull()).select(key, F.concat(one("<bos>", bos), ids(text), one("<eos>", eos)).alias("ids"))
