@@ -62,3 +62,10 @@ def test_batches_of_one_order_of_many_ranges(spark, monkeypatch):
     rows, c = [(0, f"i{k:04d}", 1.0) for k in range(540)], B.Constraint(max_total=7.0)
     got = both(spark, rows, "s int, id string, duration double", lambda df: B.greedy_batches(df, c))
     assert {(r.stratum, r.id): r.batch for r in got} == one_pass(rows, lambda: B.Greedy(c, "dynamic")) and len(got) == 540
+
+
+def test_dynamic_batches_of_many_ranges(spark, monkeypatch):
+    in_ranges(monkeypatch, 20)
+    rows, c = [(k % 3, f"i{k:04d}", 1.0 + (k % 2) / 4) for k in range(540)], B.Constraint(max_total=14.0)
+    got = both(spark, rows, "s int, id string, duration double", lambda df: B.greedy_batches(df, c, stratum="s"))
+    assert {(r.stratum, r.id): r.batch for r in got} == one_pass(rows, lambda: B.Greedy(c, "dynamic")) and len(got) == 540
