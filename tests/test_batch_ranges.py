@@ -69,3 +69,14 @@ def test_dynamic_batches_of_many_ranges(spark, monkeypatch):
     rows, c = [(k % 3, f"i{k:04d}", 1.0 + (k % 2) / 4) for k in range(540)], B.Constraint(max_total=14.0)
     got = both(spark, rows, "s int, id string, duration double", lambda df: B.greedy_batches(df, c, stratum="s"))
     assert {(r.stratum, r.id): r.batch for r in got} == one_pass(rows, lambda: B.Greedy(c, "dynamic")) and len(got) == 540
+
+
+def test_bucketed_batches_of_many_ranges(spark, monkeypatch):
+    in_ranges(monkeypatch, 20)
+    rows, c = [(f"i{k:04d}", float(1 + 4 * (k % 2))) for k in range(540)], B.Constraint(max_total=35.0)
+    got = both(spark, rows, "id string, duration double", lambda df: B.bucketed_batches(df, [2.0], c, shards=1))
+    kept = {}
+    for r in got:
+        kept.setdefault((r.bucket, r.batch), set()).add(r.id)
+    sizes = {b: [len(v) for (x, _), v in sorted(kept.items()) if x == b] for b in (0, 1)}
+    assert sizes == {0: [35] * 7 + [25], 1: [7] * 38 + [4]} and len(got) == 540
