@@ -80,3 +80,11 @@ def test_bucketed_batches_of_many_ranges(spark, monkeypatch):
         kept.setdefault((r.bucket, r.batch), set()).add(r.id)
     sizes = {b: [len(v) for (x, _), v in sorted(kept.items()) if x == b] for b in (0, 1)}
     assert sizes == {0: [35] * 7 + [25], 1: [7] * 38 + [4]} and len(got) == 540
+
+
+def test_paired_batches_of_many_ranges(spark, monkeypatch):
+    in_ranges(monkeypatch, 20)
+    rows = [(0, f"i{k:04d}", 1.0, 10.0) for k in range(540)]
+    a, b = B.Constraint(max_total=9.0), B.Constraint(max_total=110.0)
+    got = both(spark, rows, "s int, id string, a double, b double", lambda df: B.paired_batches(df, a, b, "a", "b"))
+    assert {(r.stratum, r.id): r.batch for r in got} == one_pass(rows, lambda: B.GreedyPairs(a, b)) and len(got) == 540
